@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.common import read
 
@@ -14,3 +15,36 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.piece_codec import digest_column
 
     return digest_column(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards by its key alone."""
+    from graphloom.llm.sharding import assign_shards
+
+    placed = assign_shards(read(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in windows of 1024; a checksum of each piece's ids."""
+    import public_tokenizers
+
+    from graphloom.llm.packing import pack_documents
+
+    pieces = pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op9_binary_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; half of the keys stand for the snapshot that the
+    other half comes in against."""
+    from graphloom.llm.exact_dedup import group_texts
+
+    return group_texts(read(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0)
+
+
+def op7_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, three-word shingles, 0.85."""
+    from graphloom.llm.minmax_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)

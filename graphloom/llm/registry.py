@@ -10,6 +10,10 @@ from graphloom.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": q.op1_sentencepiece,
+    "op5_rendezvous": q.op5_rendezvous,
+    "op7_minmax": q.op7_minmax,
+    "op8_packing": q.op8_packing,
+    "op9_binary_fuse": q.op9_binary_fuse,
 }
 
 ORACLE_SQL: dict[str, str] = {}
