@@ -48,3 +48,21 @@ def op7_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.minmax_dedup import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a network fit on labels that aren't held out."""
+    from graphloom.llm.toxicity import fit_on, held_out, score
+
+    docs = read(spark, sf_dir, "documents")
+    net = fit_on(docs, read(spark, sf_dir, "labels"))
+    return score(docs.select("doc_id", "text"), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    from graphloom.llm.pii import find_pii, of_kind, span_text
+
+    found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))

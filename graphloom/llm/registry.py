@@ -11,9 +11,11 @@ from graphloom.llm import queries as q
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": q.op1_sentencepiece,
     "op5_rendezvous": q.op5_rendezvous,
+    "op6_toxicity": q.op6_toxicity,
     "op7_minmax": q.op7_minmax,
     "op8_packing": q.op8_packing,
     "op9_binary_fuse": q.op9_binary_fuse,
+    "op10_pii": q.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
