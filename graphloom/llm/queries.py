@@ -66,3 +66,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    from graphloom.llm.nn_descent import nearest
+
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)

@@ -10,6 +10,7 @@ from graphloom.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": q.op1_sentencepiece,
+    "op4_nn_descent": q.op4_nn_descent,
     "op5_rendezvous": q.op5_rendezvous,
     "op6_toxicity": q.op6_toxicity,
     "op7_minmax": q.op7_minmax,
