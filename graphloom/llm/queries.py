@@ -74,3 +74,25 @@ def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = read(spark, sf_dir, "embeddings")
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response."""
+    from graphloom.llm.warc import as_responses, derive
+
+    return derive(as_responses(read(spark, sf_dir, "pages")))
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents. The table has no paths: ten ids make a directory and
+    ten directories a larger one; the first id of either is its licence file."""
+    from graphloom.llm.licences import scan
+
+    docs, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    upper, lower = F.floor(i / 100).cast("string"), F.floor(i / 10).cast("string")
+    name = (
+        F.when(i % 100 == 0, F.concat_ws("/", F.lit("corpus"), upper, F.lit("LICENSE")))
+        .when(i % 10 == 0, F.concat_ws("/", F.lit("corpus"), upper, lower, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", F.lit("corpus"), upper, lower, F.concat(F.lit("doc"), i.cast("string"))))
+    )
+    return scan(docs.select("doc_id", "text", name.alias("path")))

@@ -10,6 +10,8 @@ from graphloom.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": q.op1_sentencepiece,
+    "op2_warc": q.op2_warc,
+    "op3_licences": q.op3_licences,
     "op4_nn_descent": q.op4_nn_descent,
     "op5_rendezvous": q.op5_rendezvous,
     "op6_toxicity": q.op6_toxicity,
