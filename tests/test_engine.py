@@ -63,7 +63,7 @@ def test_templates_round_trip(spark):
 
 
 def test_confirm_completes_from_answers(spark):
-    key = "q|lis:Role|bob"
+    key = "q|lis:Role||bob"
     answers = spark.createDataFrame([("activity", key, "act2")], "missing string, key string, value string")
     got = templates.confirm(ROLE, roles(spark), answers)
     assert ("q", "lis:realizedIn", "act2") in {tuple(r) for r in got.collect()}
