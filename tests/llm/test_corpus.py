@@ -1,0 +1,266 @@
+"""Corpus operators on small fixtures: brute force, round trips and odd input."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+P = pytest.importorskip("public_tokenizers")
+DOCS = "doc_id long, text string, kept string"
+ODD = [(1, None, "a"), (2, "", "b"), (3, "hello  world", "c"), (4, "hello  world", "d"), (5, "x" * 20000, "e"), (6, "a b", "f"), (6, "a b", "f"), (7, "é ▁ 中 \n\n🙂", "g")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+def test_codec_equals_the_library():
+    import sentencepiece
+
+    from graphloom.llm.piece_codec import PieceCodec
+
+    model = P.path("piece_bpe_32k.model")
+    codec, sp, r = PieceCodec(model), sentencepiece.SentencePieceProcessor(model_file=model), random.Random(1)
+    parts = [*"abcdeth ▁\n\t.,'éüñ0中🙂\x00\x1f", "the", "tion", "    ", "http://"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(3000)] + [" " * n + "the" for n in range(60)] + ["1" * 9000, "中" * 5000]
+    for t in texts:
+        ids = sp.encode(t, add_bos=True, add_eos=True)
+        assert codec.encode(t) == ids and codec.decode(ids) == sp.decode(ids) == codec.decode_array(np.array(ids))
+    for _ in range(500):
+        ids = [r.choice([r.randrange(3, 259), r.randrange(32000)]) for _ in range(r.randint(0, 9))]
+        assert codec.decode(ids) == sp.decode(ids)
+
+
+def test_digests_of_odd_rows(odd):
+    import sentencepiece
+
+    from graphloom.llm.piece_codec import digest_column
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = digest_column(odd, P.path("piece_bpe_32k.model")).collect()
+    assert len(got) == len(ODD)
+    text = {k: t or "" for k, t, _ in ODD}
+    for r in got:
+        ids = sp.encode(text[r.doc_id], add_bos=True, add_eos=True)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert digest_column(odd.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_warc_round_trip(spark):
+    from graphloom.llm.warc import as_responses, derive, parse, to_warc
+
+    pages = spark.createDataFrame([(1, "http://a/", "<title>T &amp; U</title><p>one &lt;b&gt;</p><script>x</script>two"), (2, None, None)], "page_id long, url string, html string")
+    responses = as_responses(pages)
+    ids = {r.page_id: r.record_id for r in responses.collect()}
+    rows = to_warc(derive(responses)).collect()
+    assert len(rows) == 4
+    for r in rows:
+        (record,) = parse(r.warc.encode())
+        assert record["WARC-Refers-To"] == ids[r.page_id] and record["block"] == r.block.encode() and "HTTP/1.1 200 OK" in record["WARC-Source-Header"]
+        assert record["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest()
+    assert {r.block for r in rows if r.type == "conversion"} == {"T & U\none <b>\ntwo", ""}
+    assert derive(responses.withColumn("type", F.lit("request"))).count() == 0
+
+
+def test_licences_match_and_are_inherited(spark):
+    from graphloom.llm.licences import scan
+
+    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "no words on it"), (3, "a/b/y.py", "x\nLicensed under the Apache License, Version 2.0.\ny"), (4, "z/q.py", "plain"), (5, None, None)]
+    got = {r.doc_id: (r.licence, r.found) for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: (None, "none"), 5: (None, "none")}
+
+
+def test_neighbours_reach_nine_tenths(spark):
+    from graphloom.llm.nn_descent import nearest
+
+    r = np.random.default_rng(2)
+    x = r.standard_normal((600, 16))
+    x[5] = x[4]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(600)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for row in nearest(df, df.filter("vec_id % 20 = 0"), 10).orderBy("query_id", "rank").collect():
+        got[row.query_id].append(row.vec_id)
+    hits = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(600), -s))[:10]) & set(got[q]))
+    assert set(got) == set(range(0, 600, 20)) and all(len(v) == 10 for v in got.values()) and hits >= 0.9 * 300
+    assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_shards_move_only_into_the_new_one(spark, odd):
+    from graphloom.llm.sharding import assign_shards, shard_of
+
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    rows = assign_shards(df, 8).collect()
+    assert all(r.grown_shard in (r.shard, 8) for r in rows) and any(r.grown_shard == 8 for r in rows)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 8 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    grown = {r.doc_id: r.shard for r in assign_shards(df, 9).collect()}
+    assert all(grown[r.doc_id] == r.grown_shard for r in rows)
+    heavy = spark.range(4000).select(shard_of(F.col("id").cast("string"), 2, [3.0, 1.0]).alias("s")).groupBy("s").count().collect()
+    assert 2700 < next(r["count"] for r in heavy if r.s == 0) < 3300
+    got = assign_shards(odd, 3).collect()
+    assert len(got) == len(ODD) and {r.size for r in got if r.doc_id in (1, 2)} == {8}
+
+
+def test_toxicity_learns_words_and_keeps_columns(spark):
+    from graphloom.llm.toxicity import logits_of, score, train
+
+    r = random.Random(3)
+    clean = lambda: " ".join(r.choices(["la", "mi", "so", "ti", "re", "do", "fa"], k=r.randint(5, 90)))
+    texts, labels = [], []
+    for i in range(400):
+        words = clean().split()
+        if i % 4 == 0:
+            words.insert(r.randrange(len(words)), r.choice(["vile", "rotten"]))
+        texts.append(" ".join(words))
+        labels.append(int(i % 4 == 0))
+    net = train(texts[:320], labels[:320])
+    p = logits_of(net, texts[320:]) * net.scale[0] + net.scale[1]
+    assert np.mean((p > 0) == (np.array(labels[320:]) == 1)) > 0.9
+    odd = spark.createDataFrame(ODD, DOCS).withColumn("score", F.lit("clash"))
+    rows = score(odd, net).collect()
+    assert len(rows) == len(ODD) and all(0 <= x.score <= 1 for x in rows) and {x.kept for x in rows} == {x[2] for x in ODD}
+    assert train(["a"], [0]).scale[0] == 0.0
+
+
+def brute_components(docs, words, percent):
+    sets = {}
+    for k, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[k] = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+    parent = {k: k for k in sets}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    from graphloom.llm.minmax_dedup import near_duplicates
+
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(500)]
+    docs, k = [], 0
+    for _ in range(12):
+        base = r.choices(vocab, k=120)
+        for n in range(7):
+            w = list(base)
+            for _ in range(n % 4):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            docs.append((k, " ".join(w).upper() if n == 6 else " ".join(w)))
+            k += 1
+    docs += [(900, None), (901, ""), (902, "one two"), (903, "One\tTWO"), (904, " \n ")]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute_components(docs, 3, 85)
+
+
+def test_differencing_and_groups():
+    from graphloom.llm.packing import differencing, pack_group
+
+    dealt = differencing([8, 7, 6, 5, 4], 2)
+    assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in dealt) in ([14, 16], [15, 15])
+    r = random.Random(1)
+    for _ in range(50):
+        sizes = [r.randint(1, 100) for _ in range(r.randint(1, 40))]
+        windows = pack_group(sizes, 100)
+        assert len(windows) == -(-sum(sizes) // 100) and all(sum(p[2] for p in w) <= 100 for w in windows)
+        for i, n in enumerate(sizes):
+            cuts = sorted((a, b) for w in windows for j, a, b in w if j == i)
+            assert sum(b for _, b in cuts) == n and all(x[0] + x[1] == y[0] for x, y in zip(cuts, cuts[1:]))
+
+
+def test_pieces_hold_every_token_once(odd):
+    from tokenizers import Tokenizer
+
+    from graphloom.llm.packing import pack_documents
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    rows = pack_documents(odd.filter("doc_id <> 6"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    text = {k: t or "" for k, t, _ in ODD}
+    found = collections.defaultdict(dict)
+    for r in rows:
+        found[r.doc_id][r.start] = bytes(r.ids)
+    for k in set(text) - {6}:
+        want = np.array([*tok.encode(text[k], add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert b"".join(v for _, v in sorted(found[k].items())) == want
+
+
+def test_binary_fuse_and_groups(spark, odd):
+    from graphloom.llm.exact_dedup import BinaryFuse, group_texts
+
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 5000):
+        keys = r.integers(-(1 << 62), 1 << 62, n)
+        f = BinaryFuse.load(BinaryFuse.build(keys).dump())
+        assert f.holds(keys).all()
+        assert f.holds(r.integers(-(1 << 62), 1 << 62, 20000)).mean() < 0.02
+    rows = group_texts(odd, F.col("doc_id") % 2 == 0).collect()
+    by = {x.doc_id: (x.keep_id, x.group_size) for x in rows}
+    assert by == {1: (2, 2), 2: (2, 2), 3: (4, 2), 4: (4, 2), 5: (5, 1), 6: (6, 2), 7: (7, 1)}
+    assert collections.Counter(x.doc_id for x in rows if x.kept) == {2: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert group_texts(odd.limit(0), F.lit(True)).count() == 0
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    def ok(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        luhn = sum(int(c) if i % 2 == 0 else 2 * int(c) % 10 + int(c) // 5 for i, c in enumerate(reversed(d))) % 10 == 0
+        return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in s.split(".")), "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, rx in BASE.items() for m in re.finditer(rx, text) if ok(k, m[0]))
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    from graphloom.llm.pii import find_pii, redact, span_text
+
+    r = random.Random(3)
+    parts = [*"ab1234567890.@+-() é\x01\x02_%", "@a.b", "1.2.3.4", "4111 1111 1111 1111", "+1 (614) 555-8001", "😀", "a@b.c_d@e.f", "0255.000.1.9"]
+    rows = [(i, "".join(r.choices(parts, k=r.randint(0, 30)))) for i in range(1500)] + [(9001, None), (9002, "1 " * 20000), (9003, "a" * 50000), (9004, "api_key = aB3dE5fG7hJ9kL1mN3pQ5rS7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {x.doc_id: x for x in find_pii(df).select("doc_id", span_text("base").alias("b"), span_text("spans").alias("s")).collect()}
+    assert all(got[k].b == base_spans(t or "") and got[k].s.startswith(got[k].b) for k, t in text.items() if k not in (9002, 9003))
+    assert got[9004].s == "secret:10:34"
+    done = {x.doc_id: x.text for x in redact(df.filter("doc_id > 9000")).collect()}
+    assert done[9001] is None and done[9004] == "api_key = [SECRET]"
+
+
+def test_pipeline_stages_take_odd_tables(spark, tmp_path):
+    cp = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one and the same text", "x", 1), (2, "one and the same text", "x", 1), (2, "one and the same text", "x", 1), (3, long, "x", 1), (4, long + " more", "x", 1), (None, None, None, None), (6, "mail a@b.cd now", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, n_chars long")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = cp.exact_dedup(spark, docs, "")
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 3, 4, 6] and kept.columns == docs.columns
+    near = cp.near_dedup(spark, kept, "")
+    assert sorted((r.doc_id or 0) for r in near.collect()) == [0, 2, 3, 6]
+    clean = {r.doc_id: (r.text, r.n_chars) for r in cp.pii(spark, near, "").collect()}
+    assert clean[6] == ("mail [EMAIL] now", 16) and clean[None] == (None, None)
+    assert cp.toxicity(spark, docs, str(tmp_path)).columns == docs.columns
+    assert cp.packing(spark, docs.limit(0), "").count() == 0
