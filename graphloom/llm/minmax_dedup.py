@@ -8,7 +8,7 @@ on their full shingle sets.
 
 Texts with one shingle set are one class and travel as one. Within a bucket nobody
 meets everybody: the members are compared with a leader, those that link become one
-component, and further leaders are taken, twice as many each time, only while a
+component, and further leaders are taken, four times as many each time, only while a
 bucket has members in different components that haven't met. What was not compared
 is then in one component already or has been compared through a leader.
 """
@@ -96,8 +96,8 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-def band_prints(sets: list[np.ndarray]) -> np.ndarray:
-    """A print for each band of each non-empty set: len(sets) x BANDS."""
+def min_max(sets: list[np.ndarray]) -> np.ndarray:
+    """The signatures of non-empty sets: len(sets) x BANDS * ROWS."""
     sizes = np.array([len(s) for s in sets])
     at = np.cumsum(sizes) - sizes
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
@@ -106,10 +106,22 @@ def band_prints(sets: list[np.ndarray]) -> np.ndarray:
         y = x * _MUL[j] + _ADD[j]
         values[:, 2 * j] = np.minimum.reduceat(y, at)
         values[:, 2 * j + 1] = np.maximum.reduceat(y, at)
-    bands = (values.reshape(len(sets), BANDS, ROWS) * _FOLD[:, :ROWS]).sum(axis=2, dtype=np.uint64)
+    return values
+
+
+def band_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """A print for each band of each non-empty set: len(sets) x BANDS."""
+    bands = (min_max(sets).reshape(len(sets), BANDS, ROWS) * _FOLD[:, :ROWS]).sum(axis=2, dtype=np.uint64)
     return _mix(bands + _FOLD[:, ROWS]).view(np.int64)
 
 
+def least_equal(percent: int) -> int:
+    """Values of two signatures that are equal at least, for a pair at ``percent``: five
+    standard deviations under the mean, so that a link fails once in 3 million times."""
+    p, n = percent / 100, BANDS * ROWS
+    return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
+
+
 def _slices(sizes: np.ndarray, most: int = 1_000_000) -> Iterator[slice]:
     """Runs of rows with at most ``most`` bytes, or one row."""
     a = held = 0
@@ -174,7 +186,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
 
 def _link(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(rep, component) of every class that links reach, from buckets ``members``."""
-    ids = materialize(members.select("rep").distinct(), "ids")
+    ids = materialize(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("print").alias("own")), "ids")
     n_ids = ids.count()
     if n_ids == 0:
         return ids.select("rep", F.col("rep").alias("component"))
@@ -183,12 +195,18 @@ def _link(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
         for b in batches:
             for part in _slices(b["body"].str.len().to_numpy(), 4_000_000):
                 sets = shingle_sets(b["body"].iloc[part].tolist(), words)
-                yield pd.DataFrame({"id": b["id"].iloc[part].to_numpy(), "print": [_print_of(s) for s in sets], "set": [s.view(np.int64) for s in sets]})
+                # a key that stands on several rows names the row whose print its class has
+                own = [i for i, (s, p) in enumerate(zip(sets, b["own"].iloc[part])) if len(s) and _print_of(s) == bytes(p)]
+                if own:
+                    sets = [sets[i] for i in own]
+                    marks = (_mix(min_max(sets)) & np.uint64(255)).astype(np.uint8)
+                    yield pd.DataFrame({"id": b["id"].iloc[part].to_numpy()[own], "marks": [m.tobytes() for m in marks], "set": [s.view(np.int64) for s in sets]})
 
     few = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
-    wanted = docs.join(few, docs["id"] == ids["rep"], "left_semi").mapInPandas(full_sets, "id long, print binary, set array<long>")
-    # a key that stands on several rows names the row whose print its class has
-    sets = materialize(wanted.join(classes.select(F.col("rep").alias("id"), "print"), ["id", "print"]).dropDuplicates(["id"]).drop("print"), "sets")
+    wanted = docs.join(few, docs["id"] == ids["rep"]).select("id", "own", "body")
+    sets = materialize(wanted.mapInPandas(full_sets, "id long, marks binary, set array<long>"), "sets")
+    if sets.count() > n_ids:  # rows that repeat key and text
+        sets = materialize(sets.dropDuplicates(["id"]), "sets")
 
     labels = materialize(ids.select("rep", F.col("rep").alias("component")), "labels")
     led = None  # (band, rep) of members that have led
@@ -230,14 +248,35 @@ def _link(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
         led = now if led is None else led.unionByName(now)
         seen = pairs if seen is None else seen.unionByName(pairs)
         discard(open_rows)
-        leaders *= 2
+        leaders *= 4
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links, by their full sets. A document in many pairs is dealt
-    to parts, so that its pairs don't meet in one task."""
+def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b) with a column of both as x and y. A document in many pairs is
+    dealt to parts, so that its pairs don't meet in one task."""
     cut = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    lead = cut.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    both = cut.join(lead, ["a", "salt"]).join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    lead = cut.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col(column).alias("x")), "a")
+    return cut.join(lead, ["a", "salt"]).join(sets.select(F.col("id").alias("b"), F.col(column).alias("y")), "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links. Signatures, a byte of each value, rule out most of the
+    others; the rest are compared on their full sets, and only those sets travel."""
+    least = least_equal(percent)
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(map(bytes, b[c])), np.uint8).reshape(len(b), -1) for c in "xy")
+                yield b.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
+
+    likely = materialize(_beside(pairs, sets, "marks").select("a", "b", "x", "y").mapInPandas(alike, "a long, b long"), "likely")
+    n = likely.count()
+    if n == 0:
+        return likely
+    if 2 * n <= BROADCAST_IDS:
+        ends = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = sets.join(F.broadcast(ends), "id", "left_semi")
     common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    both = _beside(likely, sets, "set").withColumn("common", common)
+    return both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
