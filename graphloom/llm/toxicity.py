@@ -54,7 +54,7 @@ def _gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram ids of all words on end, and where each word's begin."""
     raw = [b"<" + w.encode("utf-8", "surrogatepass")[:64] + b">" for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-    sizes = np.array([len(r) for r in raw])
+    sizes = np.array([len(r) for r in raw], np.int64)
     at = np.cumsum(sizes) - sizes
     grams = (data[:-2] * np.uint32(40503) + data[1:-1] * np.uint32(2654435) + data[2:] * np.uint32(97)) * np.uint32(2654435761)
     inside = np.ones(len(data), bool)
@@ -62,6 +62,34 @@ def _gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (grams[inside[:-2]] >> np.uint32(19)).astype(np.int64) % GRAMS, at - 2 * np.arange(len(raw))
 
 
+def _sums(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``values`` added up by ``index``: one sort, then runs."""
+    out = np.zeros((size, values.shape[1]), np.float32)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        ranked = index[order]
+        at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        out[ranked[at]] = np.add.reduceat(values[order], at, axis=0)
+    return out
+
+
+class _Vocabulary:
+    """The words of training rows, each hashed once: its row and its trigrams."""
+
+    def __init__(self, docs: list[list[str]]):
+        names = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+        self.docs = [np.fromiter(map(names.__getitem__, d), np.int64, len(d)) for d in docs]
+        self.ids = _word_ids(list(names))
+        self.grams, self.at = _gram_ids(list(names))
+        self.counts = np.diff(np.append(self.at, len(self.grams)))
+
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Trigrams of ``words`` on end, and how many each has."""
+        counts = self.counts[words]
+        ends = np.cumsum(counts)
+        return self.grams[np.repeat(self.at[words] - (ends - counts), counts) + np.arange(ends[-1])], counts
+
+
 def windows_of(n: int, stride: int) -> np.ndarray:
     """Starts of windows that cover ``n`` words; the last ends with the text."""
     if n <= WINDOW:
@@ -83,13 +111,10 @@ class Net:
         self.word = np.zeros((WORDS, SEEN), np.float32)
         self.scale = (1.0, 0.0)
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors of words, with what training needs to go back."""
-        ids = _word_ids(words)
-        grams, at = _gram_ids(words)
-        counts = np.diff(np.append(at, len(grams)))
-        mean = np.add.reduceat(self.p["gram"][grams], at) / counts[:, None].astype(np.float32)
-        return np.concatenate([self.word[ids], mean.astype(np.float32)], axis=1), grams, counts
+    def inputs(self, ids: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Vectors of words from their rows and trigrams, ``counts`` to a word."""
+        mean = np.add.reduceat(self.p["gram"][grams], np.cumsum(counts) - counts) / counts[:, None].astype(np.float32)
+        return np.concatenate([self.word[ids], mean.astype(np.float32)], axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """A word's share of the gates in both directions: n x 2 x 3H."""
@@ -140,10 +165,11 @@ class Net:
         gs = weight * (gw - (weight * gw).sum(axis=0))
         out["att"] = np.einsum("tn,tnh->h", gs, both, optimize=True)
         gb = weight[:, :, None] * gp + gs[:, :, None] * self.p["att"]
-        rows = np.zeros((size, 2, 3 * h_), np.float32)
+        rows = []
         out["wh"] = np.zeros_like(self.p["wh"])
         for d in (0, 1):
             wh, gh = self.p["wh"][d], np.zeros((len(index), h_), np.float32)
+            gates = np.empty((index.shape[1], len(index), 3 * h_), np.float32)
             for t in range(index.shape[1] - 1, -1, -1) if d == 0 else range(index.shape[1]):
                 h, z, r, c, un = saved[d][t]
                 gh = gh + gb[t][:, d * h_ : (d + 1) * h_]
@@ -152,10 +178,12 @@ class Net:
                 gr = gc * un * r * (1 - r)
                 gu = np.concatenate([gz, gr, gc * r], axis=1)
                 out["wh"][d] += h.T @ gu
-                np.add.at(rows[:, d], index[:, t], np.concatenate([gz, gr, gc], axis=1))
+                gates[t, :, : 2 * h_], gates[t, :, 2 * h_ :] = gu[:, : 2 * h_], gc
                 gh = gh * z + gu @ wh.T
-        rows[_PAD] = 0
-        return out, rows
+            rows.append(gates.reshape(-1, 3 * h_))
+        total = _sums(np.concatenate(rows, axis=1), index.T.ravel(), size).reshape(size, 2, 3 * h_)
+        total[_PAD] = 0
+        return out, total
 
 
 def _pool(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -191,18 +219,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7, passes: int = 4) -
         return net
     order = r.permutation(len(docs))
     fit = [i for i in order[len(order) // 5 :] if 0 < len(docs[i]) <= TRAIN_WORDS]
-    _start_from_odds(net, [docs[i] for i in fit], y[fit])
+    known = _Vocabulary([docs[i] for i in fit])
+    coded = dict(zip(fit, known.docs))
+    _start_from_odds(net, [known.ids[d] for d in known.docs], y[fit])
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for turn in range(passes if len(fit) > 1500 else 3 * passes):
         for batch in _batches([fit[i] for i in r.permutation(len(fit))], docs):
             step += 1
-            words = [w for i in batch for w in docs[i]]
-            names = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
+            words, places = np.unique(np.concatenate([coded[i] for i in batch]), return_inverse=True)
             index, at = _layout([len(docs[i]) for i in batch], WINDOW)
-            flat = np.array([0, *[names[w] for w in words]])
-            index = flat[index]
-            x, grams, counts = net.inputs(list(names))
+            index = np.append(0, places + 1)[index]
+            grams, counts = known.grams_of(words)
+            x = net.inputs(known.ids[words], grams, counts)
             table = np.concatenate([net.pad(), net.project(x)])
             logit, kept = net.forward(table, index, keep=True)
             doc = _pool(logit, at)
@@ -214,8 +243,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, passes: int = 4) -
             grads["wx"] = np.stack([x.T @ rows[:, d] for d in (0, 1)])
             grads["b"] = rows.sum(axis=0)
             gx = sum(rows[:, d] @ net.p["wx"][d].T for d in (0, 1))
-            grads["gram"] = np.zeros_like(net.p["gram"])
-            np.add.at(grads["gram"], grams, np.repeat(gx[:, SEEN:] / counts[:, None], counts, axis=0))
+            grads["gram"] = _sums(np.repeat(gx[:, SEEN:] / counts[:, None], counts, axis=0), grams, GRAMS)
             # every row of the table is touched by few words: it moves slowly
             speed = 0.02 * 0.6 ** (turn if len(fit) > 1500 else turn / 3)
             for k, grad in grads.items():
@@ -229,11 +257,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7, passes: int = 4) -
     return net
 
 
-def _start_from_odds(net: Net, docs: list[list[str]], y: np.ndarray) -> None:
-    """Words enter as their smoothed log-odds in the training rows."""
+def _start_from_odds(net: Net, docs: list[np.ndarray], y: np.ndarray) -> None:
+    """Words (by their rows) enter as their smoothed log-odds in the training rows."""
     hits = np.zeros((2, WORDS))
-    for words, label in zip(docs, y):
-        hits[int(label), np.unique(_word_ids(words))] += 1
+    for ids, label in zip(docs, y):
+        hits[int(label), np.unique(ids)] += 1
     total = np.array([(y == 0).sum(), (y == 1).sum()])[:, None]
     rate = (hits + 0.5) / (total + 1)
     seen = hits.sum(axis=0)
@@ -305,7 +333,8 @@ class Scorer:
             need = self.used + len(fresh)
             if need > len(self.table):
                 self.table = np.concatenate([self.table[: self.used], np.empty((need, 2, 3 * HIDDEN), np.float32)])
-            self.table[self.used : need] = self.net.project(self.net.inputs(fresh)[0])
+            grams, at = _gram_ids(fresh)
+            self.table[self.used : need] = self.net.project(self.net.inputs(_word_ids(fresh), grams, np.diff(np.append(at, len(grams)))))
             self.used = need
             self.memo.fresh = []
         index, at = _layout([len(d) for d in docs], STRIDE)
