@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
 
+#: Rows that are sent to all executors at most, and parts that one key is dealt to.
+FEW, PARTS = 1_000_000, 64
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, by: str, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key and ``n`` rows at
+    most. A key may stand on most of ``rows``: up to ``FEW`` rows the table goes to all
+    executors, a larger one meets each key's rows in parts dealt by ``by``."""
+    if n <= FEW:
+        return rows.join(F.broadcast(table), key, how)
+    cut = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    return cut.join(cut.select(key, "part").distinct().join(table, key), [key, "part"], how).drop("part")
+
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in ``links`` (u, v); a component is named by
@@ -17,19 +30,19 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = materialize(links.select("u", "v").filter("u <> v").distinct(), "links")
-    before = None
+    n, before = edges.count(), None
     for _ in range(most_rounds):
         around = both(edges)
         low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = look_up(around, low, "u", "v", 2 * n).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = look_up(down, low, "u", "v", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.filter("u <> v").distinct(), "links")
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         if before == (state["n"], state["h"]):
             break
-        before = state["n"], state["h"]
+        n, before = state["n"], (state["n"], state["h"])
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import discard, materialize, text_or_empty
-from graphloom.llm.components import connected_components
+from graphloom.llm.components import connected_components, look_up
 
 #: 32 bands of 8 values: a pair at 0.85 escapes all of them once in 25,000 times, one
 #: at 0.9 once in 10**8, and a pair at 0.5 meets once in eight times.
@@ -236,14 +236,10 @@ def _link(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
         links = materialize(_verified(pairs, sets, percent), "verified")
         if not links.isEmpty():
             # link the components, not the documents
-            ends = links.join(labels.select(F.col("rep").alias("a"), F.col("component").alias("u")), "a").join(
-                labels.select(F.col("rep").alias("b"), F.col("component").alias("v")), "b"
-            )
-            moved = connected_components(ends.select("u", "v"))
-            labels = materialize(
-                labels.join(moved.select(F.col("node").alias("old"), F.col("component").alias("new")), labels["component"] == F.col("old"), "left").select("rep", F.coalesce("new", "component").alias("component")),
-                "labels",
-            )
+            ends = _beside(links, labels.withColumnRenamed("rep", "id"), "component")
+            moved = connected_components(ends.select(F.col("x").alias("u"), F.col("y").alias("v"))).toDF("component", "new")
+            labels = look_up(labels, moved, "component", "rep", moved.count(), "left")
+            labels = materialize(labels.select("rep", F.coalesce("new", "component").alias("component")), "labels")
         now = chosen.select("band", F.col("head.rep").alias("rep"), F.lit(True).alias("led"))
         led = now if led is None else led.unionByName(now)
         seen = pairs if seen is None else seen.unionByName(pairs)

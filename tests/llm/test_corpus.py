@@ -264,3 +264,16 @@ def test_pipeline_stages_take_odd_tables(spark, tmp_path):
     assert clean[6] == ("mail [EMAIL] now", 16) and clean[None] == (None, None)
     assert cp.toxicity(spark, docs, str(tmp_path)).columns == docs.columns
     assert cp.packing(spark, docs.limit(0), "").count() == 0
+
+
+def test_components_by_broadcast_and_by_parts(spark, monkeypatch):
+    from graphloom.llm import components
+
+    links = spark.createDataFrame([(1, k) for k in range(2, 60)] + [(90, 91), (91, 92), (92, 59), (200, 201), (201, 200), (7, 7)], "u long, v long")
+    want = {k: 1 for k in [*range(1, 60), 90, 91, 92]} | {200: 200, 201: 200}
+    for most in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", most)
+        got = components.connected_components(links).collect()
+        assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+        left = components.look_up(links, spark.createDataFrame([(1, "x")], "u long, m string"), "u", "v", 1, "left")
+        assert left.count() == links.count() and left.filter("m = 'x'").count() == 58
