@@ -2,7 +2,8 @@
 
 Every line of a text is a passage. Its words, weighted by inverse document
 frequency over the whole corpus, are compared with short template notices; the best
-line that reaches the threshold names the file's licence. A file without one takes
+line that reaches the threshold names the file's licence. Document frequencies are
+counted for every word; only lines that could reach the threshold look theirs up. A file without one takes
 that of the licence file (LICENSE, COPYING ...) in the nearest directory above it,
 found by joining paths.
 """
@@ -14,7 +15,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ TEMPLATES = {
 LICENCE_FILES = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 SALTS = 64
+#: What a word of every text weighs; words that a task counts before it passes them on.
+LEAST, HELD = 0.1, 300_000
 
 
 def tokens(line: str) -> list[str]:
@@ -46,49 +51,76 @@ def _vocabulary() -> set[str]:
     return {t for notice in TEMPLATES.values() for t in tokens(notice)}
 
 
-def document_frequencies(texts: DataFrame) -> tuple[int, dict[str, int]]:
-    """The number of all texts (column ``body``), and for each template word the number
-    of texts that hold it. As many counts as the templates have words come back."""
-    vocabulary = _vocabulary()
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(word, n): the number of texts (column ``body``) that hold each word of theirs.
+    The number of all texts stands at the empty word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, n = Counter(), 0
+        seen = Counter({"": 0})
         for b in batches:
             for t in b["body"]:
-                n += 1
-                seen.update(vocabulary.intersection(tokens(t)))
-        yield pd.DataFrame([("", n), *seen.items()], columns=["word", "n"])
+                seen[""] += 1
+                seen.update(set(tokens(t)))
+                if len(seen) > HELD:
+                    yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
+                    seen = Counter({"": 0})
+        yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
 
-    found = {r["word"]: r["n"] for r in texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return found.pop("", 0), found
+    return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Matcher:
-    """Cosines of lines to the templates under fixed document frequencies."""
+    """Cosines of bags of words to the templates under fixed document frequencies."""
 
     def __init__(self, n: int, frequencies: dict[str, int], threshold: float):
-        self.threshold = threshold
-        self.rare = math.log(1 + n)
-        self.idf = {w: math.log((1 + n) / (1 + frequencies.get(w, 0))) + 0.1 for w in _vocabulary()}
-        self.templates = {name: self._vector(Counter(tokens(notice))) for name, notice in TEMPLATES.items()}
+        self.n, self.threshold = n, threshold
+        self.idf = {w: self.weight(frequencies.get(w, 0)) for w in _vocabulary()}
+        self.templates = {name: self._unit(Counter(tokens(notice))) for name, notice in TEMPLATES.items()}
 
-    def _vector(self, counts: Counter) -> dict[str, float]:
-        v = {w: c * self.idf.get(w, self.rare) for w, c in counts.items()}
+    def weight(self, frequency: int) -> float:
+        return math.log((1 + self.n) / (1 + frequency)) + LEAST
+
+    def _unit(self, counts: Counter) -> dict[str, float]:
+        v = {w: c * self.idf[w] for w, c in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {w: x / norm for w, x in v.items()}
 
-    def line(self, line: str) -> tuple[float, str] | None:
-        words = tokens(line)
-        if not any(w in self.idf for w in words):
-            return None
-        v = self._vector(Counter(words))
-        best = max((sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.templates.items())
-        return best if best[0] >= self.threshold else None
+    def best(self, words: list[str], weights: dict[str, float]) -> tuple[float, str]:
+        """The highest cosine (ties: the name that sorts last) when words of no template
+        weigh what ``weights`` says, or ``LEAST``."""
+        v = {w: c * (self.idf[w] if w in self.idf else weights.get(w, LEAST)) for w, c in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return max((sum(x * v.get(w, 0.0) for w, x in t.items()) / norm, name) for name, t in self.templates.items())
+
+    def candidates(self, text: str) -> list[str]:
+        """The words of each line that could reach the threshold, as sorted text: no word
+        weighs less than ``LEAST``, so the cosine with that is a bound."""
+        found = set()
+        for line in text.split("\n"):
+            words = tokens(line)
+            if not self.idf.keys().isdisjoint(words) and self.best(words, {})[0] >= self.threshold - 1e-9:
+                found.add(" ".join(sorted(words)))
+        return sorted(found)
+
+
+def _cosines(bags: DataFrame, frequencies: DataFrame, matcher: Matcher) -> DataFrame:
+    """(bag, cosine, own) of the bags that reach the threshold. A word that stands in
+    many bags is dealt to parts, so that they don't meet in one task."""
+    words = bags.select("bag", F.explode(F.array_distinct(F.split("bag", " "))).alias("word"))
+    words = words.withColumn("salt", F.pmod(F.xxhash64("bag"), F.lit(SALTS)).cast("int"))
+    counts = words.select("word", "salt").distinct().join(frequencies, "word")
+    known = words.join(counts, ["word", "salt"]).groupBy("bag").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for bag, counts in zip(b["bag"], b["counts"]):
+                cosine, name = matcher.best(bag.split(" "), {c["word"]: matcher.weight(c["n"]) for c in counts})
+                if cosine >= matcher.threshold:
+                    rows.append((bag, cosine, name))
+            yield pd.DataFrame(rows, columns=["bag", "cosine", "own"])
 
-    def text(self, text: str) -> tuple[str | None, float]:
-        """The licence of the best line (ties: the name that sorts last) and its cosine."""
-        best = max((m for line in text.split("\n") if (m := self.line(line))), default=None)
-        return (best[1], best[0]) if best else (None, 0.0)
+    return known.mapInPandas(judge, "bag string, cosine double, own string")
 
 
 def scan(df: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", threshold: float = 0.6) -> DataFrame:
@@ -101,18 +133,27 @@ def scan(df: DataFrame, path: str = "path", text: str = "text", key: str = "doc_
     no rows.
     """
     files = df.select(F.col(key).alias("id"), F.col(path).cast("string").alias("path"), text_or_empty(text).alias("body"))
-    n, frequencies = document_frequencies(files.select("body"))
+    frequencies = materialize(document_frequencies(files.select("body")), "frequencies")
+    found = {r["word"]: r["n"] for r in frequencies.filter(F.col("word").isin(["", *sorted(_vocabulary())])).collect()}
+    matcher = Matcher(found.pop("", 0), found, threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(n, frequencies, threshold)
+        row = TaskContext.get().partitionId() << 36
         for b in batches:
-            found = [matcher.text(t) for t in b["body"]]
-            yield b[["id", "path"]].assign(own=[f[0] for f in found], cosine=[f[1] for f in found])
+            yield b[["id", "path"]].assign(row=np.arange(row, row + len(b)), bags=[matcher.candidates(t) for t in b["body"]])
+            row += len(b)
 
     kind = df.schema[key].dataType.simpleString()
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    rows = materialize(files.mapInPandas(run, f"id {kind}, path string, row long, bags array<string>"), "lines")
+    lines = rows.select("row", F.explode("bags").alias("bag")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    cosines = _cosines(lines.select("bag").distinct(), frequencies, matcher)
+    # a line that stands in many texts is dealt to parts
+    dealt_lines = lines.select("bag", "salt").distinct().join(cosines, "bag")
+    best = lines.join(dealt_lines, ["bag", "salt"]).groupBy("row").agg(F.max(F.struct("cosine", "own")).alias("best"))
     own = materialize(
-        files.mapInPandas(run, f"id {kind}, path string, own string, cosine double")
+        rows.drop("bags").join(best, "row", "left")
+        .select("id", "path", F.col("best.own").alias("own"), F.coalesce("best.cosine", F.lit(0.0)).alias("cosine"))
         .withColumn("dir", folder)
         .withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")),
         "licences",

@@ -78,6 +78,16 @@ def test_licences_match_and_are_inherited(spark):
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: (None, "none"), 5: (None, "none")}
 
 
+def test_a_line_has_one_licence_at_every_corpus_size(spark):
+    from graphloom.llm.licences import scan
+
+    line = "Package released under the MIT License"
+    for n in (200, 8000):
+        rows = [(i, None, line if i % 10 == 0 else "some package" if i % 2 else "plain") for i in range(n)]
+        got = scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).filter("doc_id % 10 = 0").collect()
+        assert len(got) == n // 10 and {r.own_licence for r in got} == {"MIT"} and min(r.cosine for r in got) > 0.9
+
+
 def test_neighbours_reach_nine_tenths(spark):
     from graphloom.llm.nn_descent import nearest
 
