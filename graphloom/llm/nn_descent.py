@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
@@ -32,6 +32,8 @@ DEGREE, TABLES, ROUNDS, HOPS = 48, 4, 4, 2
 BUCKET, JOIN = 128, 256
 #: Candidates that a local join names for each of its members.
 NAMED = 8
+#: Nodes of a group dealt by hash, which gives each node starting neighbours.
+DEALT = 32
 
 
 def usable(df: DataFrame, key: str, vector: str, dims: int | None = None) -> DataFrame:
@@ -117,8 +119,10 @@ def build_graph(nodes: DataFrame, dims: int, limit: float, degree: int = DEGREE,
     bits = max(1, min(30, round(math.log2(max(2, count / BUCKET)))))
     coded = materialize(_codes(nodes, TABLES, bits, dims, limit), "codes")
     spark = nodes.sparkSession
-    # hyperplane buckets; one that is too large is dealt by hash
-    placed = coded.select("node", "q", F.explode("codes").alias("code"))
+    # hyperplane buckets; one that is too large is dealt by hash. A vector may be alone in
+    # all of them, so each node is in a group dealt by hash as well
+    dealt_to = F.pmod(F.xxhash64("node", F.lit(DEALT)), F.lit(max(1, count // DEALT))) + F.lit(TABLES << 40)
+    placed = coded.select("node", "q", F.explode(F.concat("codes", F.array(dealt_to))).alias("code"))
     parts = placed.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / JOIN).cast("int").alias("parts"))
     member = F.struct("node", "q", F.lit(-3.0e38).cast("float").alias("least")).alias("m")
     dealt = placed.join(parts, "code").select("code", F.pmod(F.xxhash64("node", "code"), F.col("parts")).alias("part"), member)
@@ -190,12 +194,29 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     graph, coded = build_graph(nodes.select("node", "v"), facts["n"], max(facts["x"], 1e-300))
     asked = rows.join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     asked = materialize(asked.join(nodes.select("node", "v"), "v").select(F.col("id").alias("query_id"), "node", "v"), "queries")
-    found = search(graph, coded, asked.select("node").distinct(), facts["n"])
+    found = search(graph, coded, asked.select("node").distinct(), facts["n"], max(DEGREE, 2 * k))
     # all keys of the nodes found, and of the query's own
     near = asked.join(found, "node", "left").select(
         "query_id", F.col("v").alias("x"), F.explode(F.array_union(F.coalesce("found", F.array().cast("array<bigint>")), F.array("node"))).alias("node")
     )
-    exact = near.join(nodes, "node").withColumn("score", F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    exact = near.join(nodes, "node").withColumn("score", _product("x", "v"))
+    ranked = materialize(_ranked(exact, k, key), "ranked")
+    # queries that found too few are compared with every node
+    due = min(k, rows.count() - 1)
+    counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    short = asked.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < due).select("query_id", F.col("v").alias("x"))
+    short = materialize(short, "short")
+    if short.isEmpty():
+        return ranked
+    every = short.crossJoin(nodes).withColumn("score", _product("x", "v"))
+    return ranked.join(short, "query_id", "left_anti").unionByName(_ranked(every, k, key))
+
+
+def _product(x: str, v: str) -> Column:
+    return F.aggregate(F.zip_with(x, v, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def _ranked(exact: DataFrame, k: int, key: str) -> DataFrame:
     each = exact.select("query_id", "score", F.explode("ids").alias("vec")).filter("vec <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec").alias(key), "score")

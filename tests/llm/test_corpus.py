@@ -108,6 +108,13 @@ def test_neighbours_reach_nine_tenths(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vectors_alone_in_their_buckets_are_found(spark):
+    from graphloom.llm.nn_descent import nearest
+
+    two = spark.createDataFrame([(1, [1.0, 2.0, -3.0]), (2, [-1.0, -2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r["rank"], r.vec_id) for r in nearest(two, two, 5).collect()} == {(1, 1, 2), (2, 1, 1)}
+
+
 def test_shards_move_only_into_the_new_one(spark, odd):
     from graphloom.llm.sharding import assign_shards, shard_of
 
