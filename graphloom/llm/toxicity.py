@@ -2,7 +2,9 @@
 
 A word enters as two vectors: what the training rows say of the word (its smoothed
 log-odds and how sure they are), and the learned mean over its character trigrams,
-so that a word in a new spelling or with marks around it still resembles itself. A window of 32 words goes through a gated recurrent layer in both
+so that a word in a new spelling or with marks around it still resembles itself. A
+word of over 48 characters enters as its parts, cut after marks, and those still long as
+overlapping pieces, so that none of it is left out. A window of 32 words goes through a gated recurrent layer in both
 directions; attention pools the states; windows overlap by half, and the document's
 logit is the log-sum-exp of its windows', put on the scale of probabilities by a
 logistic fit on rows held back from training.
@@ -13,6 +15,7 @@ labelled rows on the driver; scoring runs on the executors over whole texts.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +34,9 @@ HIDDEN, DIM, SEEN, WORDS, GRAMS = 8, 8, 2, 1 << 17, 1 << 13
 TRAIN_ROWS, TRAIN_WORDS = 5000, 4096
 _MARKS = ".,;:!?()[]{}<>\"'`#*$%&-_+=~|/\\@^…“”‘’«»¿¡"
 _PAD = 0
+#: Characters of a word that is taken whole, and of a piece of a longer one.
+LONG, PIECE = 48, 8
+_PARTS = re.compile("[^{0}]+[{0}]*|[{0}]+".format(re.escape(_MARKS)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -43,7 +49,22 @@ def held_out(key: Column) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """The words between white space; one of over ``LONG`` characters as its pieces."""
+    words = text.lower().split()
+    if len(text) <= LONG or all(len(w) <= LONG for w in words):
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONG else _pieces(w))]
+
+
+def _pieces(word: str) -> list[str]:
+    """The parts of a long word, cut after marks; those still long as overlapping pieces."""
+    out = []
+    for part in _PARTS.findall(word):
+        if len(part) <= LONG:
+            out.append(part)
+        else:
+            out += [part[i : i + PIECE] for i in range(0, len(part) - PIECE // 2, PIECE // 2)]
+    return out
 
 
 def _word_ids(words: list[str]) -> np.ndarray:
@@ -52,7 +73,7 @@ def _word_ids(words: list[str]) -> np.ndarray:
 
 def _gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram ids of all words on end, and where each word's begin."""
-    raw = [b"<" + w.encode("utf-8", "surrogatepass")[:64] + b">" for w in words]
+    raw = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     sizes = np.array([len(r) for r in raw], np.int64)
     at = np.cumsum(sizes) - sizes

@@ -154,6 +154,20 @@ def test_toxicity_learns_words_and_keeps_columns(spark):
     assert train(["a"], [0]).scale[0] == 0.0
 
 
+def test_toxicity_reads_long_words_to_their_end():
+    from graphloom.llm.toxicity import LONG, Net, _gram_ids, logits_of, words_of
+
+    assert words_of("One " + "x" * LONG) == ["one", "x" * LONG]
+    assert words_of("a_" * 40 + "vile") == ["a_"] * 40 + ["vile"]
+    for long in ("中文" * 60 + "坏话", "ab" * 40 + "z", "x" * 49):
+        pieces = words_of(long)
+        assert pieces[0] + "".join(w[4:] for w in pieces[1:]) == long
+    assert len(_gram_ids(["é" * 48])[0]) == 96
+    net = Net()
+    a, b = logits_of(net, ["中文" * 60 + "坏话", "中文" * 60 + "好人"])
+    assert a != b
+
+
 def brute_components(docs, words, percent):
     sets = {}
     for k, t in docs:
