@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import discard, materialize, text_or_empty
 from graphloom.llm.components import connected_components, look_up
 
-#: 32 bands of 8 values: a pair at 0.85 escapes all of them once in 25,000 times, one
-#: at 0.9 once in 10**8, and a pair at 0.5 meets once in eight times.
-BANDS, ROWS = 32, 8
+#: Values of a signature, at most so many to a band, and how often a pair at the
+#: threshold may escape all bands.
+VALUES, ROWS, MISSED = 256, 8, 1 / 25_000
 #: A side of at most so many ids (16 MB) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Parts into which the rows of one class are dealt.
@@ -37,9 +37,9 @@ SALTS = 64
 _R = np.random.default_rng(20240607)
 _BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = _R.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_MUL = (_R.integers(1, 1 << 32, BANDS * ROWS // 2, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _R.integers(0, 1 << 32, BANDS * ROWS // 2, dtype=np.uint64).astype(np.uint32)
-_FOLD = _R.integers(1, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) | np.uint64(1)
+_MUL = (_R.integers(1, 1 << 32, VALUES // 2, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_ADD = _R.integers(0, 1 << 32, VALUES // 2, dtype=np.uint64).astype(np.uint32)
+_FOLD = _R.integers(1, 1 << 63, (VALUES, ROWS + 1), dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -96,29 +96,38 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
+def band_rows(percent: int) -> int:
+    """Values of a band: as many whole permutations as keep a pair at ``percent`` from
+    escaping more than ``MISSED``, or one value. 8 at 85, 6 at 80."""
+    p = percent / 100
+    return next((r for r in range(ROWS, 1, -2) if (1 - p**r) ** (VALUES // r) <= MISSED), 1)
+
+
 def min_max(sets: list[np.ndarray]) -> np.ndarray:
-    """The signatures of non-empty sets: len(sets) x BANDS * ROWS."""
+    """The signatures of non-empty sets: len(sets) x VALUES."""
     sizes = np.array([len(s) for s in sets])
     at = np.cumsum(sizes) - sizes
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    values = np.empty((len(sets), BANDS * ROWS), np.uint64)
-    for j in range(BANDS * ROWS // 2):
+    values = np.empty((len(sets), VALUES), np.uint64)
+    for j in range(VALUES // 2):
         y = x * _MUL[j] + _ADD[j]
         values[:, 2 * j] = np.minimum.reduceat(y, at)
         values[:, 2 * j + 1] = np.maximum.reduceat(y, at)
     return values
 
 
-def band_prints(sets: list[np.ndarray]) -> np.ndarray:
-    """A print for each band of each non-empty set: len(sets) x BANDS."""
-    bands = (min_max(sets).reshape(len(sets), BANDS, ROWS) * _FOLD[:, :ROWS]).sum(axis=2, dtype=np.uint64)
-    return _mix(bands + _FOLD[:, ROWS]).view(np.int64)
+def band_prints(sets: list[np.ndarray], rows: int = ROWS) -> np.ndarray:
+    """A print for each band of each non-empty set: len(sets) x bands of ``rows`` values."""
+    n = VALUES // rows
+    values = min_max(sets)[:, : n * rows].reshape(len(sets), n, rows)
+    bands = (values * _FOLD[:n, :rows]).sum(axis=2, dtype=np.uint64)
+    return _mix(bands + _FOLD[:n, ROWS]).view(np.int64)
 
 
 def least_equal(percent: int) -> int:
     """Values of two signatures that are equal at least, for a pair at ``percent``: five
     standard deviations under the mean, so that a link fails once in 3 million times."""
-    p, n = percent / 100, BANDS * ROWS
+    p, n = percent / 100, VALUES
     return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
 
 
@@ -148,6 +157,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     key are in a component of their own class only. Empty tables give no rows.
     """
 
+    per_band = band_rows(percent)
+
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in _slices(b["body"].str.len().to_numpy()):
@@ -155,7 +166,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
                 if full:
-                    for i, row in zip(full, band_prints([sets[i] for i in full])):
+                    for i, row in zip(full, band_prints([sets[i] for i in full], per_band)):
                         bands[i] = row
                 yield pd.DataFrame(
                     {"id": b["id"].iloc[part].to_numpy(), "n": [len(s) for s in sets], "print": [_print_of(s) if len(s) else None for s in sets], "bands": bands}

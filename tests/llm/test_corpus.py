@@ -206,6 +206,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(docs, 3, 85)
 
 
+def test_bands_follow_the_threshold():
+    from graphloom.llm.minmax_dedup import band_prints, band_rows
+
+    assert (band_rows(85), band_rows(80)) == (8, 6)
+    r = np.random.default_rng(9)
+    sets = [np.sort(r.integers(0, 1 << 63, 10).astype(np.uint64)) for _ in range(4000)]
+    # 8 of 10 shingles in common
+    x, y = (band_prints([np.delete(s, k) for s in sets], band_rows(80)) for k in (0, 1))
+    assert (x == y).any(axis=1).sum() >= 3999
+
+
 def test_differencing_and_groups():
     from graphloom.llm.packing import differencing, pack_group
 
