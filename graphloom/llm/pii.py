@@ -39,7 +39,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ADDED_PATTERN = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+\b",
     "ssn": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{16,200}(?![A-Za-z0-9_+/=-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+(?![A-Za-z0-9_+/=-])",
     "birth": r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])",
     "local_phone": r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
 }

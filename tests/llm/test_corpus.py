@@ -319,3 +319,14 @@ def test_components_by_broadcast_and_by_parts(spark, monkeypatch):
         assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
         left = components.look_up(links, spark.createDataFrame([(1, "x")], "u long, m string"), "u", "v", 1, "left")
         assert left.count() == links.count() and left.filter("m = 'x'").count() == 58
+
+
+@pytest.mark.parametrize("n, lead", [(300, ""), (5000, ""), (150, "abcdefgh" * 10)])
+def test_secrets_of_any_length(spark, n, lead):
+    from graphloom.llm.pii import find_pii, redact, span_text
+
+    r = random.Random(4)
+    key = lead + "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789", k=n))
+    df = spark.createDataFrame([(1, f"api_key = {key} end")], "doc_id long, text string")
+    assert find_pii(df).select(span_text("spans").alias("s")).first().s == f"secret:10:{10 + len(key)}"
+    assert redact(df).first().text == "api_key = [SECRET] end"
