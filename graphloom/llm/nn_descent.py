@@ -8,8 +8,8 @@ nodes are expanded, the best of what they lead to are kept, until nothing change
 the hops are used up. Results are scored afresh on the original vectors in double
 precision.
 
-Equal vectors are one node. Vectors travel as 8-bit integers while the graph is
-built. Lists in the graph are bounded (that is the graph's degree, not a cap on the
+Equal vectors are one node. Vectors travel as 8-bit integers, each with its own scale,
+while the graph is built. Lists in the graph are bounded (that is the graph's degree, not a cap on the
 data): reverse neighbours are one for each of a node's slots, picked by hash, so a
 hub's are never gathered. Every vector is indexed and every query answered.
 """
@@ -50,21 +50,31 @@ def usable(df: DataFrame, key: str, vector: str, dims: int | None = None) -> Dat
 
 
 def _codes(vectors: DataFrame, tables: int, bits: int, dims: int, limit: float) -> DataFrame:
-    """(node, q: bytes, codes: one bucket for each table). One scale for all vectors,
-    so that integer products rank pairs as the inner products do."""
+    """(node, q: bytes, codes: one bucket for each table). Before its integers stands a
+    vector's own scale, as a share of ``limit``, so that a large vector doesn't round
+    the others to zero."""
     planes = np.random.default_rng(5).standard_normal((dims, tables * bits)).astype(np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array(b["v"].tolist(), np.float32).reshape(len(b), dims)
-            q = np.clip(np.rint(x * (127 / limit)), -127, 127).astype(np.int8)
+            x = np.array(b["v"].tolist(), np.float64).reshape(len(b), dims) / limit
+            most = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+            q = np.rint(x / most * 127).astype(np.int8)
+            scale = np.maximum(most[:, 0], 1e-18).astype(np.float32)
+            x = (x / most).astype(np.float32)
             side = (x @ planes > 0).reshape(len(b), tables, bits)
             codes = side @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << 40)
-            yield pd.DataFrame({"node": b["node"], "q": [r.tobytes() for r in q], "codes": list(codes)})
+            yield pd.DataFrame({"node": b["node"], "q": [k.tobytes() + r.tobytes() for k, r in zip(scale, q)], "codes": list(codes)})
 
     return vectors.mapInPandas(run, "node long, q binary, codes array<long>")
 
 
+def _decoded(blobs: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scales and integers (as floats, whose products are exact) of coded vectors."""
+    raw = np.frombuffer(b"".join(map(bytes, blobs)), np.uint8).reshape(len(blobs), dims + 4)
+    return raw[:, :4].copy().view(np.float32)[:, 0], raw[:, 4:].view(np.int8).astype(np.float32)
+
+
 def _local_join(groups: DataFrame, dims: int, named: int = NAMED) -> DataFrame:
     """(u, w, s): for each member u of each group, the nearest others w that beat u's
     worst known neighbour. groups: array ``m`` of (node, q, least)."""
@@ -78,8 +88,8 @@ def _local_join(groups: DataFrame, dims: int, named: int = NAMED) -> DataFrame:
                     continue
                 ids = np.array([r["node"] for r in members], np.int64)
                 least = np.array([r["least"] for r in members], np.float32)
-                x = np.frombuffer(b"".join([bytes(r["q"]) for r in members]), np.int8).reshape(n, dims).astype(np.float32)
-                s = x @ x.T
+                scale, x = _decoded([r["q"] for r in members], dims)
+                s = (x @ x.T) * (scale[:, None] * scale)
                 np.fill_diagonal(s, -np.inf)
                 k = min(named, n - 1)
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -153,12 +163,12 @@ def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, dims: int, bea
         for b in batches:
             rows = []
             for r in b.itertuples():
-                x = np.frombuffer(r.q, np.int8).astype(np.float32)
+                (scale,), (x,) = _decoded([r.q], dims)
                 known = {e["w"]: e["s"] for e in r.beam}
                 fresh = [m for m in r.m if m["node"] not in known and m["node"] != r.node]
                 if fresh:
-                    y = np.frombuffer(b"".join([bytes(m["q"]) for m in fresh]), np.int8).reshape(len(fresh), dims)
-                    known |= dict(zip((m["node"] for m in fresh), (y.astype(np.float32) @ x).tolist()))
+                    scales, y = _decoded([m["q"] for m in fresh], dims)
+                    known |= dict(zip((m["node"] for m in fresh), ((y @ x) * (scales * scale)).tolist()))
                 top = sorted(known.items(), key=lambda e: (-e[1], e[0]))[:beam]
                 rows.append((r.node, [{"w": w, "s": s} for w, s in top]))
             yield pd.DataFrame(rows, columns=["node", "beam"])

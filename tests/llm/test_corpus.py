@@ -115,6 +115,23 @@ def test_vectors_alone_in_their_buckets_are_found(spark):
     assert {(r.query_id, r["rank"], r.vec_id) for r in nearest(two, two, 5).collect()} == {(1, 1, 2), (2, 1, 1)}
 
 
+def test_neighbours_beside_a_large_vector(spark):
+    from graphloom.llm.nn_descent import nearest
+
+    x = np.random.default_rng(6).standard_normal((600, 16))
+    x[7] *= 1000
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for row in nearest(df, df.filter("vec_id % 20 = 0"), 10).collect():
+        got[row.query_id].add(row.vec_id)
+    hits = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:10]) & got[q])
+    assert hits >= 0.9 * 300
+
+
 def test_shards_move_only_into_the_new_one(spark, odd):
     from graphloom.llm.sharding import assign_shards, shard_of
 
