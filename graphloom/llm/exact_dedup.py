@@ -3,8 +3,9 @@
 Each snapshot has static binary-fuse filters, one for each bucket of digests, built
 once. An incoming batch is grouped by digest on its own first; the distinct digests
 are screened by the filters. Those that pass meet the snapshot's exact buckets;
-those that don't are new without another look. Equal digests are borne out by
-comparing the texts byte by byte where they lie together.
+those that don't are new without another look. Equal SHA-256 digests
+count as equal texts: texts are compared byte by byte only with the neighbour in the
+same part of a digest, so most pairs, and those of snapshot and batch, are not.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def group_texts(df: DataFrame, in_snapshot: Column, key: str = "doc_id", text: s
         F.coalesce(in_snapshot, F.lit(False)).alias("old"),
     ).withColumn("digest", F.unhex(F.sha2("body", 256))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     # texts travel once, to lie beside those of their digest: a byte check with the
-    # neighbour in each part; parts of one digest agree through their digests' rows
+    # neighbour in each part; parts of one digest are joined by SHA-256 alone
     beside = Window.partitionBy("digest", "salt").orderBy("id")
     agree = F.coalesce(F.lag("body").over(beside) == F.col("body"), F.lit(True))
     checked = materialize(
