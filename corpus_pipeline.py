@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, read
+from graphloom.llm.components import FEW
 from graphloom.llm.exact_dedup import group_texts
-from graphloom.llm.minmax_dedup import BROADCAST_IDS, near_duplicates
+from graphloom.llm.minmax_dedup import near_duplicates
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.pii import redact
 from graphloom.llm.toxicity import fit_on, score
@@ -35,7 +36,7 @@ def _without(docs: DataFrame, gone: DataFrame, on: list[tuple[str, str]]) -> Dat
     """Rows of ``docs`` that ``gone`` doesn't name; nulls equal nulls. Only a list of
     checked size is broadcast; a longer one is joined by shuffle."""
     gone = materialize(gone, "gone")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    few = F.broadcast(gone) if gone.count() <= FEW else gone
     same = [docs[a].eqNullSafe(gone[b]) for a, b in on]
     return docs.join(few, [c for c in same] if len(same) > 1 else same[0], "left_anti")
 

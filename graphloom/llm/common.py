@@ -5,9 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes that go to Python at once, and bytes of text that it works on at once.
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 2000, 8 << 20, 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
@@ -55,3 +63,48 @@ def text_or_empty(name: str = "text") -> Column:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder, by a path only Spark needs to open."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, in a session whose Arrow batches are bounded in rows and bytes; a
+    smaller bound that is set already stays. A single long row may exceed it."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        set_to = int(str(df.sparkSession.conf.get(name)).removesuffix("b"))
+        if not 0 < set_to <= most:
+            df.sparkSession.conf.set(name, str(most))
+    return df
+
+
+def byte_slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``most`` bytes of ``text``, or one row. Whatever type
+    the other columns have, their values stay as they are, nulls and large numbers too."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of rows on end that agree in ``keys``, across the batches' borders."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        if held:
+            new[0] = any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != c[0] for k, c in zip(keys, columns))
+        at = [*np.flatnonzero(new).tolist(), b.num_rows]
+        if at[0]:
+            held.append(b.slice(0, at[0]))
+        for i, j in zip(at, at[1:]):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [b.slice(i, j - i)]
+    if held:
+        yield pa.Table.from_batches(held)

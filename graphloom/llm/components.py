@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
 
-#: Rows that are sent to all executors at most, and parts that one key is dealt to.
-FEW, PARTS = 1_000_000, 64
+#: Rows (of two numbers; 10 MB as a hash table) that are sent to all executors at most, and parts that one key is dealt to.
+FEW, PARTS = 200_000, 64
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, by: str, n: int, how: str = "inner") -> DataFrame:
