@@ -119,7 +119,7 @@ def escape_html(text: Column) -> Column:
 
 
 #: Entities in the order in which they are decoded; the ampersand comes first.
-INLINE_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+INLINE_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
 
 
 def inline_text(text: Column) -> Column:
@@ -177,15 +177,35 @@ def json_object(text: Column) -> Column:
     return F.nullif(F.regexp_replace(body, r'\\(?!["\\/bfnrtu])', ""), F.lit(""))
 
 
-def binding_hash(template: str, slots: dict[str, Column]) -> Column:
-    """16 hex digits of the hash of a template's bindings in canonical JSON: keys
-    sorted, each value a list of strings. ASCII values only."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+def json_text(text: Column) -> Column:
+    """A string as JSON in ASCII: quotes and backslashes escaped, all else that isn't
+    printable ASCII as UTF-16 units."""
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
+
+    def unit(h: Column) -> Column:
+        code = F.conv(h, 16, 10).cast("int")
+        out = F.when(code.between(32, 126), F.char(code)).otherwise(F.concat(F.lit("\\u"), F.lower(h)))
+        for k, v in short.items():
+            out = F.when(code == k, F.lit(v)).otherwise(out)
+        return out
+
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), 1)
+    slow = F.array_join(F.transform(units, unit), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[^\x20-\x7e]"), slow).otherwise(plain), F.lit('"'))
+
+
+def binding_hash(template: str, slots: dict[str, Column], many: set[str] = frozenset()) -> Column:
+    """16 hex digits of the hash of a template's bindings in canonical JSON: keys sorted,
+    each value a list of the terms' texts, empty where a slot has none. Slots in ``many``
+    are arrays, whose order counts."""
+    said = lambda c: json_text(F.coalesce(lexical(c), c))
     entries = []
     for name in sorted(slots):
         if entries:
             entries.append(F.lit(", "))
-        entries += [F.lit(f'"{name}": ['), quoted(slots[name]), F.lit("]")]
+        inner = F.array_join(F.transform(slots[name], said), ", ") if name in many else said(slots[name])
+        entries += [F.lit(f'"{name}": ['), F.coalesce(inner, F.lit("")), F.lit("]")]
     return F.substring(F.sha2(F.concat(F.lit(template + "|{"), *entries, F.lit("}")), 256), 1, 16)
 
 

@@ -21,7 +21,7 @@ GROUP = r"\bclass-\d+\b"
 _TAG = re.compile(TAG, re.DOTALL)
 _ATTR = {name: re.compile(ATTRIBUTE % name) for name in ("id", "data-note", "class")}
 _GROUP = re.compile(GROUP)
-_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
 
 
 def open_tags(html: Column) -> Column:

@@ -14,23 +14,51 @@ def by_label(values: DataFrame, labels: DataFrame, fold_case: bool = False) -> D
     return values.join(known, same("value") == F.col("_l"), "left").drop("_l")
 
 
+#: What words are made of, as the inside of a character class; words of a label that
+#: texts are looked up by.
+WORD, HEAD = r"\p{L}\p{N}_", 3
+
+
 def words(text: Column) -> Column:
-    """Lower-case ASCII words of a text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), 0)
+    """The words of a text, in lower case: runs of letters, digits and _ of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+"), 0)
+
+
+def _head(found: Column, at: Column, n: Column | int) -> Column:
+    return F.xxhash64(F.array_join(F.slice(found, at, n), " "))
+
+
+def _marks(text: Column) -> Column:
+    """Characters that are in no word, each once."""
+    return F.array_distinct(F.split(F.regexp_replace(text, f"[{WORD}]+", ""), ""))
 
 
 def mentions(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, s): labels that stand in a text as whole words, case ignored.
+    """(key, s): labels that stand in a text as they are, case ignored, with a word's
+    edge on both sides. Empty labels and rows with a null key are left out.
 
-    Instead of trying every label on every text, texts and labels meet on the label's
-    first word; only those that do are tried in full.
+    Texts and labels meet on hashes of a label's first words (or its first character,
+    where it has no word); texts stay behind and come back to the rows that met, to be
+    searched for the whole label.
     """
-    spoken = F.array_join(words(F.col("label")), " ")
-    heads = labels.select("s", spoken.alias("said")).filter("said <> ''").withColumn("head", F.substring_index("said", " ", 1))
-    bodies = texts.select(key, F.array_join(words(F.col(text)), " ").alias("body"))
-    met = bodies.select(key, "body", F.explode(F.array_distinct(F.split("body", " "))).alias("head")).join(heads, "head")
-    inside = F.concat(F.lit(" "), "body", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("said"), F.lit(" ")))
-    return met.filter(inside).select(key, "s").distinct()
+    low = labels.select("s", F.lower("label").alias("said")).filter("said <> ''").withColumn("w", words(F.col("said")))
+    sign = F.xxhash64(F.concat(F.lit("\x00"), F.substring("said", 1, 1)))
+    head = F.when(F.size("w") > 0, _head(F.col("w"), F.lit(1), F.lit(HEAD))).otherwise(sign)
+    inner = lambda c: c.rlike(f"^[{WORD}]")
+    last = F.substring("said", -1, 1)
+    edge = lambda c, inside, outside: F.when(inner(c), inside).otherwise(outside)
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("said"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(edge(F.col("said"), f"(?<![{WORD}])", f"(?<=[{WORD}])"), quoted, edge(last, f"(?![{WORD}])", f"(?=[{WORD}])"))
+    heads = low.select("s", "said", head.alias("head"), pattern.alias("pattern"))
+    bodies = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.lower(text).alias("_body"))
+    starting = lambda n: lambda _, i: _head(F.col("w"), i + 1, n)
+    runs = [F.transform(F.col("w"), starting(n)) for n in range(1, HEAD + 1)]
+    signs = F.transform(_marks(F.col("_body")), lambda c: F.xxhash64(F.concat(F.lit("\x00"), c)))
+    keys = bodies.select("_k", "_body", words(F.col("_body")).alias("w")).select("_k", F.explode(F.array_distinct(F.concat(*runs, signs))).alias("head"))
+    # labels are few beside the words of all texts: what no label begins with goes first
+    met = keys.join(heads.select("head").distinct(), "head", "left_semi").join(heads, "head").select("_k", "s", "said", "pattern").distinct()
+    hits = met.join(bodies, "_k").filter(F.col("_body").contains(F.col("said")) & F.rlike("_body", F.col("pattern")))
+    return hits.select(F.col("_k").alias(key), "s").distinct()
 
 
 def infer_links(entities: DataFrame, allowed: DataFrame, taken: DataFrame, ok: DataFrame) -> DataFrame:
@@ -61,16 +89,35 @@ def guard(statements: DataFrame, labels: DataFrame, domain: DataFrame, range_: D
     return j.select("name", "property", "value", F.col("e.s").alias("s"), F.col("t.s").alias("o"), verdict.alias("verdict"))
 
 
-def lookup(probes: DataFrame, library: DataFrame, most: int = 5) -> DataFrame:
-    """(probe, uri, label, confidence): an exact label, case ignored, is 1.0; else the
-    first of the labels that hold the probe, 0.6. ``library``: uri, label. Probes that
-    are found exactly don't go through the slow comparison."""
-    ref = library.select("uri", "label", F.lower("label").alias("low"))
-    asked = probes.select("probe", F.lower("probe").alias("p")).distinct()
+def _grams(text: Column, n: int) -> Column:
+    """Runs of ``n`` characters, each once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n))))
+
+
+def lookup(probes: DataFrame, library: DataFrame) -> DataFrame:
+    """(probe, uri, label, confidence): a label, case ignored, that equals the probe is
+    1.0; else the smallest of the entities with a label that holds it, 0.6 (0.7 where the
+    label differs in nothing but case after all). ``library``: uri, label and, where
+    there are alternative labels, ``alternative``: those count for equality alone.
+    White space in probes is collapsed; empty ones find nothing.
+
+    A probe meets the labels on the rarest of its three-character runs (on itself if it
+    is shorter) and is then looked for in them.
+    """
+    other = F.coalesce(F.col("alternative"), F.lit(False)) if "alternative" in library.columns else F.lit(False)
+    ref = library.select("uri", "label", F.lower("label").alias("low"), other.alias("other"))
+    asked = probes.select("probe", F.lower(F.trim(F.regexp_replace("probe", r"\s+", " "))).alias("p")).filter("p <> ''").distinct()
     exact = asked.join(ref, F.col("p") == F.col("low")).groupBy("probe").agg(F.min(F.struct("uri", "label")).alias("m")).select("probe", "m.uri", "m.label", F.lit(1.0).alias("confidence"))
     rest = asked.join(exact, "probe", "left_anti")
-    near = rest.join(ref, F.col("low").contains(F.col("p"))).withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("uri"))).filter("r = 1")
-    return exact.unionByName(near.select("probe", "uri", "label", F.lit(0.6).alias("confidence")))
+    named = ref.filter(~F.col("other"))
+    low = F.col("low")
+    grams = named.select("uri", "label", "low", F.explode(F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    mine = rest.select("probe", "p", F.explode(F.when(F.length("p") < 3, F.array("p")).otherwise(_grams(F.col("p"), 3))).alias("gram"))
+    rare = mine.join(counts, "gram", "left").groupBy("probe", "p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    near = rare.join(grams, "gram").filter(F.col("low").contains(F.col("p"))).groupBy("probe", "p").agg(F.min(F.struct("uri", "label", "low")).alias("m"))
+    found = near.select("probe", "m.uri", "m.label", F.when(F.col("m.low") == F.col("p"), 0.7).otherwise(0.6).alias("confidence"))
+    return exact.unionByName(found)
 
 
 def refine(entities: DataFrame, library: DataFrame, existing: DataFrame, floor: float = 0.5) -> DataFrame:

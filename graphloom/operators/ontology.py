@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.terms import is_literal, local_name
 
 _BLANK = "_:"
+#: Names that are sent to all executors at most.
+FEW = 100_000
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -24,6 +26,8 @@ def materialized(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     path = f"{named}/closure-{uuid.uuid4().hex}"
@@ -150,7 +154,10 @@ def select_properties(types: DataFrame, onto: DataFrame, up: DataFrame, property
     """(type, property) worth asking for: of the type's domain or without domain, not
     opted out; of inverse pairs the one called has..., else the smaller; none that is
     above another one kept."""
-    every = properties_of(types, onto, up).unionByName(types.crossJoin(F.broadcast(domainless(onto)))).distinct()
+    free = materialized(domainless(onto))
+    # every type takes every one of them; they are sent round only where they are few
+    free = F.broadcast(free) if free.count() <= FEW else free
+    every = properties_of(types, onto, up).unionByName(types.crossJoin(free)).distinct()
     kept = every.withColumnRenamed("property", "term").join(opted_out(onto), "term", "left_anti").withColumnRenamed("term", "property")
     pairs = kept.join(inverses(onto), "property", "left")
     partner = kept.select("type", F.col("property").alias("inverse"), F.lit(True).alias("both"))

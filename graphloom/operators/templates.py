@@ -126,37 +126,65 @@ def partial(template: Template, triples: DataFrame) -> DataFrame:
 
 
 def anchor(template: Template, bindings: DataFrame) -> Column:
-    slots = {s.name: F.col(s.name) for s in template.slots if s.name in bindings.columns}
-    return F.concat(F.lit(f"urn:tpl/{template.slug}/"), binding_hash(template.slug, slots))
+    """The name of an invocation: its template and the hash of what fills its slots."""
+    slots = {s.name: F.col(s.name) if s.name in bindings.columns else F.lit(None).cast("string") for s in template.slots}
+    many = {n for n in slots if n in bindings.columns and bindings.schema[n].dataType.typeName() == "array"}
+    return F.concat(F.lit(f"urn:tpl-instance/{template.slug}-"), binding_hash(template.slug, slots, many))
 
 
-def _term(template: Template, bindings: DataFrame, term: str, base: Column) -> Column:
+def repeated_terms(template: Template) -> set[str]:
+    """Terms that each value of the many-valued slot has for itself: the slot, and the
+    nameless variables (``?anon-...``) that patterns tie to it. Named ones are shared."""
+    if template.multi is None:
+        return set()
+    own = {f"?{template.multi}"}
+    ties = [{t for t in (s, o) if t in own or t.startswith("?anon-")} for s, _, o in template.lowered]
+    while more := {t for tie in ties if tie & own for t in tie} - own:
+        own |= more
+    return own
+
+
+def _term(template: Template, bindings: DataFrame, term: str, own: set[str]) -> Column:
     """A slot's value, the anchor itself, a name under the anchor, or a constant."""
     if not term.startswith("?"):
         return F.lit(term)
-    if term[1:] in bindings.columns:
-        return F.col(term[1:])
     if any(s.name == term[1:] for s in template.slots):
-        return F.lit(None).cast("string")
-    return base if term == "?this" else F.concat(base, F.lit(f"-{term[1:]}"))
+        return F.col(term[1:]) if term[1:] in bindings.columns else F.lit(None).cast("string")
+    if term == "?this":
+        return F.col("_base")
+    name = F.concat(F.col("_base"), F.lit(f"-{term[1:]}"))
+    return F.concat(name, F.lit("-"), F.col("_at").cast("string")) if term in own else name
 
 
 def expand(template: Template, bindings: DataFrame) -> DataFrame:
-    """Lowered triples of invocations; patterns of slots without a value are left out."""
-    multi = template.multi
-    based = bindings.withColumn("_base", anchor(template, bindings.withColumn(multi, F.array_join(multi, '", "')) if multi else bindings))
-    rows = based.withColumn(multi, F.explode(multi)) if multi and based.schema[multi].dataType.typeName() == "array" else based
-    terms = F.array(*[F.struct(*[_term(template, rows, t, F.col("_base")).alias(c) for c, t in zip("spo", p)]) for p in template.lowered])
-    return rows.select(F.inline(terms)).dropna().distinct()
+    """Lowered triples of invocations; patterns of slots without a value are left out.
+    What hangs on the many-valued slot is written once for each of its values."""
+    multi, own = template.multi, repeated_terms(template)
+    based = bindings.withColumn("_base", anchor(template, bindings))
+
+    def written(rows: DataFrame, patterns: list[bgp.Pattern]) -> DataFrame:
+        terms = F.array(*[F.struct(*[_term(template, rows, t, own).alias(c) for c, t in zip("spo", p)]) for p in patterns])
+        return rows.select(F.inline(terms)).dropna()
+
+    each = [p for p in template.lowered if own & set(p)]
+    once = [p for p in template.lowered if not own & set(p)]
+    parts = [written(based, once)] if once else []
+    if each and multi in bindings.columns:
+        many = bindings.schema[multi].dataType.typeName() == "array"
+        others = [c for c in based.columns if c != multi]
+        rows = based.select(*others, F.posexplode(multi).alias("_at", multi)) if many else based.withColumn("_at", F.lit(0))
+        parts.append(written(rows, each))
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct() if parts else based.select(*[F.lit("").alias(c) for c in "spo"]).limit(0)
 
 
 def lift(template: Template, bindings: DataFrame) -> DataFrame:
     """Lifted triples: the anchor's type and one triple for every value of a slot."""
-    base = anchor(template, bindings)
     slots = [s.name for s in template.slots if s.name in bindings.columns]
-    pairs = [F.struct(F.lit("rdf:type").alias("p"), F.lit(template.uri).alias("o"))]
-    pairs += [F.struct(F.lit(f"urn:tpl/{template.slug}/slot/{n}").alias("p"), F.col(n).alias("o")) for n in slots]
-    return bindings.select(base.alias("s"), F.inline(F.array(*pairs))).dropna().distinct()
+    listed = lambda n: F.col(n) if bindings.schema[n].dataType.typeName() == "array" else F.array(n)
+    said = lambda n: lambda v: F.struct(F.lit(f"urn:tpl/{template.slug}/slot/{n}").alias("p"), v.alias("o"))
+    kind = F.array(F.struct(F.lit("rdf:type").alias("p"), F.lit(template.uri).alias("o")))
+    pairs = F.concat(kind, *[F.transform(F.coalesce(listed(n), F.array().cast("array<string>")), said(n)) for n in slots])
+    return bindings.select(anchor(template, bindings).alias("s"), F.inline(pairs)).dropna().distinct()
 
 
 def fold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
@@ -169,29 +197,65 @@ def fold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
 
 
 def unfold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
-    """The other way: lifted invocations read back and written out in full."""
+    """The other way: lifted invocations read back, all values of a many-valued slot
+    with them, and written out in full."""
     out = triples
     for t in templates:
         mine = triples.join(triples.filter((F.col("p") == "rdf:type") & (F.col("o") == t.uri)).select("s"), "s", "left_semi")
-        cols = [F.max(F.when(F.col("p") == f"urn:tpl/{t.slug}/slot/{s.name}", F.col("o"))).alias(s.name) for s in t.slots]
+        value = lambda s: F.when(F.col("p") == f"urn:tpl/{t.slug}/slot/{s.name}", F.col("o"))  # noqa: B023, E731
+        cols = [(F.array_sort(F.collect_set(value(s))) if s.multi else F.max(value(s))).alias(s.name) for s in t.slots]
         out = out.join(mine.select("s").distinct(), "s", "left_anti").unionByName(expand(t, mine.groupBy("s").agg(*cols).drop("s")))
     return out.distinct()
 
 
+def validate(template: Template, bindings: DataFrame, strict: bool = True) -> DataFrame:
+    """``bindings`` whose required slots all have a value and whose single-valued slots
+    have one at most. Columns that are no slot are an error; with ``strict`` so are rows
+    that don't fit, else they are left out."""
+    names = {s.name: s for s in template.slots}
+    if extra := sorted(set(bindings.columns) - set(names)):
+        raise ValueError(f"{template.slug}: no such slots: {', '.join(extra)}")
+    if lost := sorted(n for n, s in names.items() if s.required and n not in bindings.columns):
+        raise ValueError(f"{template.slug}: required slots without values: {', '.join(lost)}")
+    faults = []
+    for n in bindings.columns:
+        many = bindings.schema[n].dataType.typeName() == "array"
+        empty = F.col(n).isNull() | (F.size(n) == 0) if many else F.col(n).isNull()
+        if names[n].required:
+            faults.append(F.when(empty, F.lit(f"{n} is required")))
+        if many and not names[n].multi:
+            faults.append(F.when(F.size(n) > 1, F.lit(f"{n} takes one value")))
+    if not faults:
+        return bindings
+    fault = F.concat_ws("; ", *faults)
+    if strict:
+        return bindings.filter(F.when(fault == "", True).otherwise(F.raise_error(F.concat(F.lit(f"{template.slug}: "), fault)).cast("boolean")))
+    return bindings.filter(fault == "")
+
+
 def confirm(template: Template, triples: DataFrame, answers: DataFrame, rounds: int = 5, questions: int = 20) -> DataFrame:
     """Complete partial matches from a table of answers (missing, key, value): each
     round asks the matches that know most first, adds what the answers give and stops
-    when nothing new comes. Bounded by the number of rounds and questions."""
-    known = triples
+    when there is nothing left to ask. A question is asked once, answered or not; a
+    round asks ``questions`` at most."""
+    known, put = triples, None
     for _ in range(rounds):
         asked = partial(template, known)
         slots = [s.name for s in template.slots if s.name in asked.columns]
         key = F.concat_ws("|", *[F.coalesce(F.col(s), F.lit("")) for s in slots])
         size = reduce(lambda a, b: a + b, [F.col(s).isNotNull().cast("int") for s in slots])
-        picked = asked.withColumn("key", key).withColumn("known", size).orderBy(F.desc("known"), "key").limit(questions)
-        told = picked.join(answers, ["missing", "key"])
-        if told.isEmpty():
+        fresh = asked.withColumn("key", key).withColumn("known", size)
+        if put is not None:
+            fresh = fresh.join(put, ["missing", "key"], "left_anti")
+        picked = fresh.orderBy(F.desc("known"), "missing", "key").limit(questions)
+        # few rows by the limit: they are kept, so that a round asks what it says
+        rows = picked.collect()
+        if not rows:
             break
+        picked = known.sparkSession.createDataFrame(rows, picked.schema)
+        now = picked.select("missing", "key")
+        put = now if put is None else put.unionByName(now)
+        told = picked.join(answers, ["missing", "key"])
         for slot in [s.name for s in template.slots if s.required]:
             mine = told.filter(F.col("missing") == slot)
             if slot in mine.columns:

@@ -66,17 +66,25 @@ class TaskGraph:
         return done
 
     def run(self, target: str, ctx: dict | None = None, force: Iterable[str] = (), exclude: Iterable[str] = ()) -> list[str]:
-        """Run what is dirty or forced; returns the names that ran, in order."""
+        """Run what is dirty or forced; returns the names that ran, in order. The order is
+        walked again until a walk runs nothing, so that an iterating task sees what later
+        ones did; other tasks run once, and forced ones whatever their rule says."""
         ctx, force, exclude, ran = ctx if ctx is not None else {}, set(force), set(exclude), []
-        for n in self.order(target):
-            t = self.tasks[n]
-            rounds = 0
-            while n not in exclude and (n in force and rounds == 0 or (t.dirty is None and rounds == 0) or (t.dirty is not None and t.dirty(ctx))):
-                if rounds == self.most_rounds:
-                    raise RuntimeError(f"{n} does not settle")
-                t.run(ctx)
-                ran.append(n)
-                rounds += 1
-                if not t.iterate:
-                    break
-        return ran
+        if unknown := sorted((force | exclude) - set(self.tasks)):
+            raise ValueError(f"no task {', '.join(unknown)}")
+        order = [n for n in self.order(target) if n not in exclude]
+        for _ in range(self.most_rounds):
+            before = len(ran)
+            for n in order:
+                t = self.tasks[n]
+                again = n in ran
+                if again and not t.iterate:
+                    continue
+                forced = n in force and not again
+                has_work = t.dirty(ctx) if t.dirty is not None else not again
+                if forced or has_work:
+                    t.run(ctx)
+                    ran.append(n)
+            if len(ran) == before:
+                return ran
+        raise RuntimeError(f"{target} does not settle")

@@ -150,7 +150,7 @@ STATUS = templates.Template("x:OrderStatus", "order-status", "x:Order", (templat
 
 @query(
     "template_lift",
-    """WITH b AS (SELECT 'urn:tpl/order-status/' || substr(sha256('order-status|{"order": ["x:order/' || o_orderkey || '"], "status": ["\\"' || o_orderstatus || '\\""]}'), 1, 16) AS s, * FROM orders)
+    """WITH b AS (SELECT 'urn:tpl-instance/order-status-' || substr(sha256('order-status|{"order": ["x:order/' || o_orderkey || '"], "status": ["' || o_orderstatus || '"]}'), 1, 16) AS s, * FROM orders)
   SELECT s, 'rdf:type' AS p, 'x:OrderStatus' AS o FROM b UNION ALL SELECT s, 'urn:tpl/order-status/slot/order', 'x:order/' || o_orderkey FROM b
   UNION ALL SELECT s, 'urn:tpl/order-status/slot/status', '"' || o_orderstatus || '"' FROM b""",
 )
@@ -160,7 +160,7 @@ def template_lift(spark, d):
 
 @query(
     "template_fold",
-    """WITH b AS (SELECT 'urn:tpl/order-status/' || substr(sha256('order-status|{"order": ["x:order/' || o_orderkey || '"], "status": ["\\"' || o_orderstatus || '\\""]}'), 1, 16) AS s, * FROM orders)
+    """WITH b AS (SELECT 'urn:tpl-instance/order-status-' || substr(sha256('order-status|{"order": ["x:order/' || o_orderkey || '"], "status": ["' || o_orderstatus || '"]}'), 1, 16) AS s, * FROM orders)
   SELECT s, 'rdf:type' AS p, 'x:OrderStatus' AS o FROM b UNION SELECT s, 'urn:tpl/order-status/slot/order', 'x:order/' || o_orderkey FROM b
   UNION SELECT s, 'urn:tpl/order-status/slot/status', '"' || o_orderstatus || '"' FROM b UNION SELECT 'x:order/' || l_orderkey, 'x:holds', 'x:part/' || l_partkey FROM lineitem""",
 )
@@ -168,6 +168,33 @@ def template_fold(spark, d):
     return templates.fold_graph([STATUS], M.order_lines(spark, d))
 
 
+_MANY = """WITH f AS (SELECT o_orderkey, o_orderstatus AS status, list(DISTINCT 'x:part/' || l_partkey ORDER BY 'x:part/' || l_partkey) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  b AS (SELECT 'urn:tpl-instance/order-holds-' || substr(sha256('order-holds|{"order": ["x:order/' || o_orderkey || '"], "part": ["' || array_to_string(parts, '", "') || '"], "status": ["' || status || '"]}'), 1, 16) AS s, * FROM f)"""
+
+
+def _held(spark, d):
+    return templates.recognize(ORDER, M.order_lines(spark, d).distinct())
+
+
+@query("template_many_expand", f"""{_MANY} SELECT 'x:order/' || o_orderkey AS s, 'rdf:type' AS p, 'x:Order' AS o FROM b UNION ALL SELECT 'x:order/' || o_orderkey, 'x:status', '"' || status || '"' FROM b UNION ALL SELECT 'x:order/' || o_orderkey, 'x:holds', unnest(parts) FROM b""")
+def template_many_expand(spark, d):
+    return templates.expand(ORDER, templates.validate(ORDER, _held(spark, d)))
+
+
+@query(
+    "template_many_lift",
+    f"""{_MANY} SELECT s, 'rdf:type' AS p, 'x:OrderHolds' AS o FROM b UNION ALL SELECT s, 'urn:tpl/order-holds/slot/order', 'x:order/' || o_orderkey FROM b
+  UNION ALL SELECT s, 'urn:tpl/order-holds/slot/status', '"' || status || '"' FROM b UNION ALL SELECT s, 'urn:tpl/order-holds/slot/part', unnest(parts) FROM b""",
+)
+def template_many_lift(spark, d):
+    return templates.lift(ORDER, _held(spark, d))
+
+
+@query("template_many_round_trip", """SELECT 'x:order/' || o_orderkey AS s, 'rdf:type' AS p, 'x:Order' AS o FROM orders UNION SELECT 'x:order/' || o_orderkey, 'x:status', '"' || o_orderstatus || '"' FROM orders UNION SELECT 'x:order/' || l_orderkey, 'x:holds', 'x:part/' || l_partkey FROM lineitem""")
+def template_many_round_trip(spark, d):
+    return templates.unfold_graph([ORDER], templates.fold_graph([ORDER], M.order_lines(spark, d).distinct()))
+
+
 @query("template_binding_hash", """SELECT n_nationkey, substr(sha256('nation|{"key": ["' || n_nationkey || '"], "name": ["' || n_name || '"]}'), 1, 16) AS anchor FROM nation""")
 def template_binding_hash(spark, d):
     n = table(spark, d, "nation")
@@ -354,12 +381,12 @@ def onto_disjoint(spark, d):
 
 
 def _uses(spark, d):
-    n = table(spark, d, "nation")
-    other = n.select(F.col("n_nationkey").alias("k2")).filter("k2 < 10")
-    return n.join(other).select(T.iri("x:prop/", F.col("n_nationkey")).alias("property"), T.iri("x:nation/", F.col("k2")).alias("type"))
+    """Each property beside the nations of the customers whose keys fall to it."""
+    c = table(spark, d, "customer")
+    return c.select(T.iri("x:prop/", F.col("c_custkey") % 25).alias("property"), T.iri("x:nation/", F.col("c_nationkey")).alias("type")).distinct()
 
 
-_SAT = """WITH {props}, u AS (SELECT property, domain, range, 'x:nation/' || b.n_nationkey AS type, 'x:region/' || b.n_regionkey AS above FROM props, nation b WHERE b.n_nationkey < 10)
+_SAT = """WITH {props}, u AS (SELECT DISTINCT property, domain, range, 'x:nation/' || n_nationkey AS type, 'x:region/' || n_regionkey AS above FROM customer JOIN props ON k = c_custkey % 25 JOIN nation ON n_nationkey = c_nationkey)
   SELECT property, type, ({c} IS NULL OR {c} = type OR {c} = above) AS ok FROM u"""
 
 
@@ -646,28 +673,58 @@ def link_casefold(spark, d):
     return link.by_label(s.select("s_suppkey", F.lower("n_name").alias("value")), _labels(spark, d), fold_case=True)
 
 
-_WORDS = ["the", "License", "is the", "trash", "version 3", "et les"]
+_WORDS = ["the", "License", "is the", "trash", "version 3", "et les", "C++"]
+
+
+def _spoken(spark, d):
+    """Labels: some words, the names of all parts, and the opening of each benchmark item."""
+    given = spark.createDataFrame([(f"x:{w.lower()}", w) for w in _WORDS], "s string, label string")
+    p, b = table(spark, d, "part"), table(spark, d, "benchmark")
+    opening = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    return given.unionByName(p.select(T.iri("x:part/", p.p_partkey).alias("s"), p.p_name.alias("label"))).unionByName(b.select(T.iri("x:item/", b.item_id).alias("s"), opening.alias("label")))
 
 
 @query(
     "link_cooccurrence",
-    "WITH b AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' ') || ' ' AS body FROM documents), l AS (SELECT unnest(['the', 'license', 'is the', 'trash', 'version 3', 'et les']) AS w) "
-    "SELECT doc_id, 'x:' || w AS s FROM b, l WHERE contains(body, ' ' || w || ' ')",
+    r"""WITH b AS (SELECT doc_id, lower(text) AS body FROM documents WHERE text IS NOT NULL), l AS (SELECT 'x:' || lower(w) AS s, lower(w) AS w FROM (SELECT unnest(['the', 'License', 'is the', 'trash', 'version 3', 'et les', 'C++']) AS w)
+  UNION ALL SELECT 'x:part/' || p_partkey, lower(p_name) FROM part UNION ALL SELECT 'x:item/' || item_id, lower(array_to_string(string_split(text, ' ')[1:6], ' ')) FROM benchmark),
+  k AS (SELECT s, w, CASE WHEN regexp_matches(w, '^[\p{L}\p{N}_]') THEN '(^|[^\p{L}\p{N}_])' ELSE '[\p{L}\p{N}_]' END || regexp_escape(w) || CASE WHEN regexp_matches(w, '[\p{L}\p{N}_]$') THEN '([^\p{L}\p{N}_]|$)' ELSE '[\p{L}\p{N}_]' END AS pattern FROM l WHERE w <> ''),
+  m AS (SELECT doc_id, s, body, pattern FROM b, k WHERE contains(body, w)) SELECT DISTINCT doc_id, s FROM m WHERE regexp_matches(body, pattern)""",
 )
 def link_cooccurrence(spark, d):
-    labels = spark.createDataFrame([(f"x:{w.lower()}", w) for w in _WORDS], "s string, label string")
-    return link.mentions(table(spark, d, "documents"), labels)
+    return link.mentions(table(spark, d, "documents"), _spoken(spark, d))
+
+
+@query(
+    "link_infer",
+    """WITH e AS (SELECT s_suppkey, n_nationkey AS a, (s_suppkey * 7 + 3) % 25 AS b FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 5 <> 0)
+  SELECT 'x:supplier/' || s_suppkey AS s, 'x:tradesWith' AS property, 'x:nation/' || least(a, b) AS other FROM e""",
+)
+def link_infer(spark, d):
+    """Suppliers whose evidence names two nations, and a supplier, which doesn't fit."""
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    far = n.select((F.col("n_nationkey")).alias("far"), F.lower("n_name").alias("far_name"))
+    both = s.join(n, n.n_nationkey == s.s_nationkey).withColumn("far", (F.col("s_suppkey") * 7 + 3) % 25).join(far, "far")
+    said = F.concat(F.lit("From "), "n_name", F.lit(", by "), "s_name", F.lit(" to ("), "far_name", F.lit(")."))
+    none = F.lit(None).cast("string")
+    ents = both.select(T.iri("x:supplier/", F.col("s_suppkey")).alias("s"), F.lit("x:Supplier").alias("type"), F.col("s_name").alias("label"), said.alias("evidence"), (F.col("s_suppkey") + 1000).cast("long").alias("pos")).unionByName(
+        n.select(T.iri("x:nation/", n.n_nationkey).alias("s"), F.lit("x:Nation").alias("type"), n.n_name.alias("label"), none.alias("evidence"), n.n_nationkey.cast("long").alias("pos"))
+    )
+    one = lambda a, b, t: spark.createDataFrame([(a, b)], t)
+    taken = s.filter("s_suppkey % 5 = 0").select(T.iri("x:supplier/", F.col("s_suppkey")).alias("s"), F.lit("x:tradesWith").alias("property"))
+    return link.infer_links(ents, one("x:Supplier", "x:tradesWith", "type string, property string"), taken, one("x:tradesWith", "x:Nation", "property string, other_type string"))
 
 
 @query(
     "lookup_exact_fuzzy",
-    """WITH q AS (SELECT DISTINCT upper(p_name) AS probe FROM part WHERE p_partkey <= 20 UNION SELECT DISTINCT substr(p_name, 2, 6) FROM part WHERE p_partkey BETWEEN 21 AND 40), r AS (SELECT 'x:part/' || p_partkey AS uri, p_name AS label FROM part),
-  e AS (SELECT probe, arg_min(label, (uri, label)) AS label, min(uri) AS uri FROM q JOIN r ON lower(probe) = lower(label) GROUP BY 1), f AS (SELECT probe, uri, label, row_number() OVER (PARTITION BY probe ORDER BY uri) n FROM q JOIN r ON contains(lower(label), lower(probe)) WHERE probe NOT IN (SELECT probe FROM e))
-  SELECT probe, uri, label, CAST(1.0 AS DOUBLE) AS confidence FROM e UNION ALL SELECT probe, uri, label, CAST(0.6 AS DOUBLE) FROM f WHERE n = 1""",
+    """WITH q AS (SELECT DISTINCT upper(p_name) AS probe FROM part UNION SELECT DISTINCT substr(p_name, 2, 6) FROM part), r AS (SELECT 'x:part/' || p_partkey AS uri, p_name AS label FROM part),
+  e AS (SELECT probe, arg_min(label, (uri, label)) AS label, min(uri) AS uri FROM q JOIN r ON lower(probe) = lower(label) GROUP BY 1), t AS (SELECT DISTINCT probe, lower(trim(regexp_replace(probe, '\\s+', ' ', 'g'))) AS p FROM q WHERE probe NOT IN (SELECT probe FROM e)),
+  f AS (SELECT probe, arg_min(label, (uri, label)) AS label, min(uri) AS uri FROM t JOIN r ON contains(lower(label), p) WHERE p <> '' GROUP BY 1)
+  SELECT probe, uri, label, CAST(1.0 AS DOUBLE) AS confidence FROM e UNION ALL SELECT probe, uri, label, CAST(0.6 AS DOUBLE) FROM f""",
 )
 def lookup_exact_fuzzy(spark, d):
     p = table(spark, d, "part")
-    probes = p.filter("p_partkey <= 20").select(F.upper("p_name").alias("probe")).unionByName(p.filter("p_partkey between 21 and 40").select(F.substring("p_name", 2, 6).alias("probe")))
+    probes = p.select(F.upper("p_name").alias("probe")).unionByName(p.select(F.substring("p_name", 2, 6).alias("probe")))
     return link.lookup(probes, p.select(T.iri("x:part/", p.p_partkey).alias("uri"), p.p_name.alias("label")))
 
 
@@ -759,7 +816,7 @@ def scalar_escape(spark, d):
 
 @query(
     "scalar_inline",
-    r"""SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '\s+', ' ', 'g') AS inline FROM pages""",
+    r"""SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '\s+', ' ', 'g') AS inline FROM pages""",
 )
 def scalar_inline(spark, d):
     return table(spark, d, "pages").select("page_id", T.inline_text(F.col("html")).alias("inline"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "scope string, seq long, parent_seq long, step string, agent string, ts timestamp, op string, s string, p string, o string"
@@ -40,19 +40,34 @@ def scopes(log: DataFrame) -> DataFrame:
 
 
 def to_ntriples(triples: DataFrame) -> DataFrame:
-    """One line of text per triple."""
-    shown = lambda c: F.when(F.col(c).startswith('"'), F.regexp_replace(F.col(c), r'"\^\^(.*)$', r'"^^<$1>')).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
+    """One line of text per triple; line ends and tabs in literals are escaped."""
+
+    def shown(c: str) -> Column:
+        term = F.col(c)
+        for raw, said in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            term = F.replace(term, F.lit(raw), F.lit(said))
+        typed = F.regexp_replace(term, r'"\^\^([^"]*)$', r'"^^<$1>')
+        return F.when(term.startswith('"'), typed).when(term.startswith("_:"), term).otherwise(F.concat(F.lit("<"), term, F.lit(">")))
+
     return triples.select(F.concat_ws(" ", shown("s"), shown("p"), shown("o"), F.lit(".")).alias("value"))
 
 
 def from_ntriples(lines: DataFrame) -> DataFrame:
-    """Triples of text lines (column ``value``); lines that are none are left out."""
-    term = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z-]+)?)'
-    pattern = rf"^\s*{term}\s+{term}\s+{term}\s*\.\s*$"
-    bare = lambda c: F.when(c.startswith('"'), F.regexp_replace(c, r'"\^\^<(.*)>$', r'"^^$1')).otherwise(F.regexp_replace(c, "^<|>$", ""))
-    return lines.filter(F.col("value").rlike(pattern)).select(
-        *[bare(F.regexp_extract("value", pattern, i)).alias(c) for i, c in enumerate(TERMS, 1)]
-    )
+    """Triples of text lines (column ``value``). Empty lines and comments are passed
+    over; any other line that is no triple is an error."""
+    term = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*+"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
+    pattern = rf"^\s*{term}\s+{term}\s+{term}\s*\.\s*(?:#.*)?$"
+
+    def bare(c: Column) -> Column:
+        text = F.regexp_replace(c, r'"\^\^<(.*)>$', r'"^^$1')
+        for raw, said in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+            # an escape counts only after an even number of backslashes
+            text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\" + said, "$1" + raw)
+        return F.when(c.startswith('"'), text).otherwise(F.regexp_replace(c, "^<|>$", ""))
+
+    said = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    fine = F.when(F.col("value").rlike(pattern), True).otherwise(F.raise_error(F.concat(F.lit("no triple: "), F.substring("value", 1, 200))).cast("boolean"))
+    return said.filter(fine).select(*[bare(F.regexp_extract("value", pattern, i)).alias(c) for i, c in enumerate(TERMS, 1)])
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:

@@ -121,3 +121,61 @@ def test_coverage_by_class_and_collapse(spark):
     cited = spark.createDataFrame([("id-1",), ("id-2",), ("id-3",), ("id-9",)], "id string")
     assert {r.fragment for r in html.collapse(m, cited).collect()} == {"class-1", "id-3", "id-9"}
     assert html.citations(spark.createDataFrame([("e", "lis:representedBy", "d#id-1"), ("e", "lis:representedBy", '"d#x"')], S)).select(F.max("fragment")).first()[0] == "id-1"
+
+
+HOLDS = templates.Template("t:Holds", "holds", "t:Box", (templates.Slot("box"), templates.Slot("note", required=False), templates.Slot("item", multi=True)),
+                           (("?box", "rdf:type", "t:Box"), ("?box", "t:note", "?note"), ("?this", "t:about", "?box"), ("?anon-1", "t:of", "?item"), ("?box", "t:has", "?anon-1")))
+
+
+def test_many_valued_slots(spark):
+    import hashlib
+    import json
+
+    rows = spark.createDataFrame([("b", '"né \\"x\\" 🙂"', ["i", "j"]), ("c", None, ["k"])], "box string, note string, item array<string>")
+    canon = json.dumps({"box": ["b"], "note": ['né "x" 🙂'], "item": ["i", "j"]}, sort_keys=True)
+    base = "urn:tpl-instance/holds-" + hashlib.sha256(f"holds|{canon}".encode()).hexdigest()[:16]
+    got = {tuple(r) for r in templates.expand(HOLDS, rows).collect()}
+    assert {("b", "rdf:type", "t:Box"), (base, "t:about", "b"), (f"{base}-anon-1-0", "t:of", "i"), (f"{base}-anon-1-1", "t:of", "j"), ("b", "t:has", f"{base}-anon-1-1")} <= got
+    empty = "urn:tpl-instance/holds-" + hashlib.sha256(("holds|" + json.dumps({"box": ["c"], "note": [], "item": ["k"]}, sort_keys=True)).encode()).hexdigest()[:16]
+    lifted = {tuple(r) for r in templates.lift(HOLDS, rows).collect()}
+    assert (base, "urn:tpl/holds/slot/item", "j") in lifted and (empty, "urn:tpl/holds/slot/item", "k") in lifted
+    with pytest.raises(ValueError):
+        templates.validate(HOLDS, rows.withColumnRenamed("note", "other"))
+    broken = spark.createDataFrame([("b", []), (None, ["i"]), ("d", ["i"])], "box string, item array<string>")
+    assert [r.box for r in templates.validate(HOLDS, broken, strict=False).collect()] == ["d"]
+
+
+def test_confirm_goes_past_unanswered_questions(spark):
+    rows = [(f"q{i:02}", "rdf:type", "lis:Role") for i in range(30)] + [(f"p{i:02}", "lis:hasRole", f"q{i:02}") for i in range(30)]
+    answers = spark.createDataFrame([("activity", "q29|lis:Role||p29", "act")], "missing string, key string, value string")
+    got = templates.confirm(ROLE, spark.createDataFrame(rows, S), answers, rounds=5, questions=20)
+    assert ("q29", "lis:realizedIn", "act") in {tuple(r) for r in got.collect()}
+
+
+def test_mentions_by_words_of_any_script(spark):
+    from graphloom.operators import link
+
+    texts = spark.createDataFrame([(1, "Les étés. A lone C here"), (2, "Use C++x or c++ now; ÉTÉ, (t)"), (None, "c"), (3, None)], "doc_id int, text string")
+    labels = spark.createDataFrame([("C++", "C++"), ("t", "t"), ("été", "été"), ("plus", "++"), ("none", "")], "s string, label string")
+    assert {tuple(r) for r in link.mentions(texts, labels).collect()} == {(2, "C++"), (2, "t"), (2, "été"), (2, "plus")}
+
+
+def test_lines_of_triples_keep_line_ends_and_blank_nodes(spark):
+    from graphloom.sources.log import from_ntriples, to_ntriples
+
+    rows = [("_:b", "p", '"a\nb\tc \\\\n d"'), ("s", "p", '"x"^^xsd:string')]
+    lines = to_ntriples(spark.createDataFrame(rows, S))
+    assert all("\n" not in r.value for r in lines.collect()) and any(r.value.startswith("_:b ") for r in lines.collect())
+    assert {tuple(r) for r in from_ntriples(lines).collect()} == set(rows)
+    with pytest.raises(Exception, match="no triple"):
+        from_ntriples(spark.createDataFrame([("<a> <b> .",)], "value string")).collect()
+
+
+def test_an_iterating_task_sees_what_later_ones_did():
+    g, ctx = TaskGraph(), {"work": 0}
+    g.task(name="a", iterate=True)(lambda c: c.update(work=c["work"] - 1))
+    g.dirty("a")(lambda c: c["work"] > 0)
+    g.task("a", name="b")(lambda c: c.update(work=2))
+    assert g.run("b", ctx) == ["b", "a", "a"] and ctx["work"] == 0
+    with pytest.raises(ValueError):
+        g.run("b", ctx, force=["nobody"])
