@@ -1,31 +1,38 @@
 """Packing token streams into windows by Karmarkar-Karp multiway differencing.
 
 Documents give whole windows first; what is left of them is packed in groups. In a
-group every remainder starts as a partial partition of its own. The two partial
-partitions with the largest imbalance are merged, the fullest window of one beside
-the emptiest of the other, until one partition is left, whose windows are near
-equal. When the tokens exceed the capacity of the windows the count rises, and what
-still overhangs a full window is cut and fills the emptiest ones.
-
-A task packs the rows it reads as they come and holds one group at a time, so
-memory doesn't grow and nothing is shuffled.
+group every piece starts as a partial partition of its own. The two partial partitions
+with the largest imbalance are merged, the fullest window of one beside the emptiest of
+the other, until one partition is left, whose windows are near equal. Should a window
+exceed its capacity, the count of windows rises and the pieces are differenced again.
+
+Cuts are free, so a few of a group's remainders are cut into pieces of many sizes, by
+which the differencing levels the windows; the others stay whole. A task packs the rows
+it reads as they come and holds one group at a time, so memory doesn't grow and nothing
+is shuffled. The windows of a task's last group have what tokens there are, near equally;
+all others are filled but for a token or two.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.chunks import ChunkMemo, split_chunks
-from graphloom.llm.common import text_or_empty
+from graphloom.llm.common import small_batches, text_or_empty
 
-#: Windows of one group.
-GROUP = 24
+#: Windows of a group, and the tokens that each of them leaves free, on average.
+GROUP, FREE = 24, 2
+#: The share of a group's tokens that is cut fine, and the sizes of such pieces in turn.
+FINE, SIZES = 0.12, (64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -43,35 +50,45 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     return [w[1] for w in heap[0][2]] if heap else []
 
 
+def _cut(sizes: list[int], share: float) -> list[tuple[int, int, int]]:
+    """(index, start, length) of pieces: the longest rows, as many as make ``share`` of all
+    tokens, are cut fine, the others stay whole."""
+    due, out = share * sum(sizes), []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        if due <= 0:
+            out.append((i, 0, sizes[i]))
+            continue
+        due -= sizes[i]
+        at, turn = 0, itertools.cycle(SIZES)
+        while at < sizes[i]:
+            n = min(next(turn), sizes[i] - at)
+            out.append((i, at, n))
+            at += n
+    return out
+
+
 def pack_group(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (index, start, length) parts; every token lies in one part and no
-    window exceeds the capacity. As many windows as the tokens need."""
+    window exceeds the capacity. As many windows as the tokens need; more, one by one,
+    while differencing leaves a window over its capacity. No size may exceed it."""
     windows = max(1, -(-sum(sizes) // capacity))
-    dealt = differencing(sizes, windows)
-    out: list[list[tuple[int, int, int]]] = []
-    over: list[tuple[int, int, int]] = []
-    for indices in dealt:
-        window, room = [], capacity
-        for i in sorted(indices, key=lambda i: -sizes[i]):
-            fits = min(sizes[i], room)
-            if fits:
-                window.append((i, 0, fits))
-                room -= fits
-            if fits < sizes[i]:
-                over.append((i, fits, sizes[i] - fits))
-        out.append(window)
-    for window in out:
-        room = capacity - sum(p[2] for p in window)
-        while room and over:
-            i, start, length = over.pop()
-            fits = min(length, room)
-            window.append((i, start, fits))
-            room -= fits
-            if fits < length:
-                over.append((i, start + fits, length - fits))
-    if over:
-        raise AssertionError("tokens are left over")
-    return [w for w in out if w]
+    pieces = _cut(sizes, FINE if windows > 1 else 0)
+    while True:
+        dealt = differencing([p[2] for p in pieces], windows)
+        if max(sum(pieces[i][2] for i in w) for w in dealt) <= capacity:
+            return [_joined(sorted(pieces[i] for i in w)) for w in dealt if w]
+        windows += 1
+
+
+def _joined(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Neighbouring parts of one row as one."""
+    out: list[tuple[int, int, int]] = []
+    for i, start, n in parts:
+        if out and out[-1][0] == i and out[-1][1] + out[-1][2] == start:
+            out[-1] = (i, out[-1][1], out[-1][2] + n)
+        else:
+            out.append((i, start, n))
+    return out
 
 
 _MEMOS: dict[str, ChunkMemo] = {}
@@ -97,21 +114,52 @@ def _chunks(text: str) -> list[str]:
     return [text] if any(c[-1:].isspace() or c[1:2].isspace() for c in chunks) else chunks
 
 
+@functools.cache
+def _special(tokenizer_file: str) -> tuple[str, ...]:
+    """Strings that the tokenizer takes whole wherever they stand."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f)["added_tokens"])
+
+
+@functools.cache
+def _tokenizer(tokenizer_file: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file)
+
+
+def ids_of(text: str, tokenizer_file: str, ranks_file: str, pattern: str) -> bytes:
+    """Little-endian unsigned 32-bit ids of a whole text, as the tokenizer file gives
+    them without special tokens added. A text that holds one of the special strings goes
+    through the tokenizer itself; others through the same vocabulary's ranks, chunk by
+    chunk, which is faster and gives the same ids."""
+    if not text:
+        return b""
+    if any(x in text for x in _special(tokenizer_file)):
+        from array import array
+
+        return array("I", _tokenizer(tokenizer_file).encode(text, add_special_tokens=False).ids).tobytes()
+    memo = _ids_of(ranks_file, pattern)
+    out = b"".join(map(memo.__getitem__, _chunks(text)))
+    memo.trim()
+    return out
+
+
 def pack_documents(
-    df: DataFrame, ranks_file: str, pattern: str, capacity: int = 1024, separator: int = 0, key: str = "doc_id", text: str = "text"
+    df: DataFrame, tokenizer_file: str, ranks_file: str, pattern: str, capacity: int = 1024, separator: int = 0, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Pieces of all rows' tokens: key, start, length, ids (little-endian unsigned
     32-bit), doc_tokens, sequence_id, offset.
 
     Every row's tokens are followed by ``separator``; null texts count as empty and
-    are the separator alone. Rows with one key are separate documents. Only the
-    last window of a task can be short. Empty tables give no rows.
+    are the separator alone. Rows with one key, a null one too, are separate documents.
+    Keys of any type come back as they are. Empty tables give no rows.
     """
     kind = df.schema[key].dataType.simpleString()
     size, end = 4 * capacity, separator.to_bytes(4, "little")
+    full = 4 * GROUP * (capacity - min(FREE, capacity - 1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _ids_of(ranks_file, pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         rest: list[tuple] = []  # (key, start, ids, doc_tokens)
@@ -128,33 +176,39 @@ def pack_documents(
                 sequence += 1
             rest, held = [], 0
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=[key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [of_key, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             rows.clear()
             return out
 
+        of_key = None
         for b in batches:
-            for k, t in zip(b["_key"].tolist(), b["_text"]):
-                ids = b"".join([*map(memo.__getitem__, _chunks(t) if t else ()), end])
-                memo.trim()
+            of_key = b.column("_key").type
+            for k, t in zip(b.column("_key").to_pylist(), b.column("_text")):
+                ids = ids_of(t.as_py(), tokenizer_file, ranks_file, pattern) + end
                 tokens, at = len(ids) // 4, 0
                 while len(ids) - at >= size:
                     rows.append((k, at // 4, capacity, ids[at : at + size], tokens, sequence, 0))
                     sequence += 1
                     at += size
+                    if len(rows) >= 2000:
+                        yield flush()
                 while at < len(ids):
                     # the last remainder of a group is cut so that the group fills its windows
-                    part = ids[at : at + GROUP * size - held]
+                    part = ids[at : at + full - held]
                     rest.append((k, at // 4, part, tokens))
                     at, held = at + len(part), held + len(part)
-                    if held == GROUP * size:
+                    if held == full:
                         close()
                 if len(rows) >= 2000:
                     yield flush()
         if rest:
             close()
-        yield flush()
+        if rows:
+            yield flush()
 
-    return df.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).mapInPandas(
+    return small_batches(df.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))).mapInArrow(
         run, f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )

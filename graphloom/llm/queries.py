@@ -31,7 +31,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from graphloom.llm.packing import pack_documents
 
-    pieces = pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
