@@ -1,6 +1,7 @@
 """SentencePiece merge-type encoding and decoding by backtracking.
 
-A text is encoded left to right. An Aho-Corasick automaton over the vocabulary
+A text is encoded left to right, chunk by chunk, since no piece of the model has a
+space behind another character. An Aho-Corasick automaton over the vocabulary
 lists, for every position, the pieces that start there. The longest is tried
 first. A piece may follow another only if merging their joined text afresh gives
 back exactly these two pieces; a sequence whose neighbours all agree in this way
@@ -9,7 +10,9 @@ position from which no piece works is struck from a bitfield and never tried
 again, which keeps the search linear.
 
 Exact for models with an identity normaliser, byte fallback and no
-user-defined pieces; others are refused when loaded.
+user-defined pieces; others are refused when loaded. Runs of spaces, whose pieces all
+have one score so that the leftmost pair merges first, come out right because the
+longest piece is tried first.
 """
 
 from __future__ import annotations
@@ -21,25 +24,57 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.chunks import ChunkMemo, split_chunks
-from graphloom.llm.common import text_or_empty
+from graphloom.llm.common import byte_slices, small_batches, text_or_empty
 
 SPACE = "▁"
-#: Runs of this many spaces or more are merged as one unit: their pieces all
-#: have one score, and with ties the leftmost pair wins, which neighbours alone
-#: can't tell.
-_TIED_RUN = SPACE * 2
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer message's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            n = {1: 8, 5: 4}.get(tag & 7) or varint()
+            yield tag >> 3, raw[at : at + n]
+            at += n
+
+
+def _kinds(model_file: str) -> tuple[set[int], int]:
+    """The kinds of pieces in a model file (4: user-defined), and the model's (2: merges)."""
+    with open(model_file, "rb") as f:
+        fields = list(_fields(f.read()))
+    pieces = {dict(_fields(v)).get(3, 1) for n, v in fields if n == 1}
+    return pieces, next((dict(_fields(v)).get(3, 1) for n, v in fields if n == 2), 1)
 
 
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
     def __init__(self, model_file: str):
+        kinds, model = _kinds(model_file)
+        if model != 2 or 4 in kinds:
+            raise ValueError("only models of merges without user-defined pieces can be used")
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
@@ -53,13 +88,15 @@ class PieceCodec:
         self.unknown, self.bos, self.eos = sp.unk_id(), sp.bos_id(), sp.eos_id()
         plain = [i for i in range(size) if not (self.control[i] or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id_of = {self.pieces[i]: i for i in plain}
+        if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
+            raise ValueError("only models whose pieces have spaces in front alone can be used")
         self.score = {self.pieces[i]: sp.get_score(i) for i in plain}
         self.automaton = ahocorasick.Automaton()
         for p in self.id_of:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.longest = max(map(len, self.id_of))
-        self.hard = {c: not any(c in p and len(p) > 1 for p in self.id_of) for c in "\n"}
+        self.lines = not any("\n" in p and len(p) > 1 for p in self.id_of)
         self._agree: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -111,7 +148,7 @@ class PieceCodec:
             if length > 1:
                 starts[end + 1 - length].append(length)
         agree = self._agree
-        failed = 0
+        failed = bytearray(n // 8 + 1)  # a bit for each position from which no piece works
         out: list[str] = []
         # chosen[k]: how many longer candidates than the kept one are left at piece k
         tries: list[int] = []
@@ -122,7 +159,7 @@ class PieceCodec:
             while at >= 0:
                 length = here[at - 1] if at else 1
                 end = pos + length
-                if not failed >> end & 1:
+                if not failed[end >> 3] >> (end & 7) & 1:
                     piece = text[pos:end]
                     ok = agree.get((prev, piece))
                     if ok if ok is not None else self.agree(prev, piece):
@@ -138,7 +175,7 @@ class PieceCodec:
                 continue
             if not out:
                 return self.merge(text)
-            failed |= 1 << pos
+            failed[pos >> 3] |= 1 << (pos & 7)
             pos -= len(out.pop())
             at = tries.pop() - 1
             prev = out[-1] if out else ""
@@ -161,12 +198,7 @@ class PieceCodec:
 
     def encode_chunk(self, text: str) -> list[int]:
         """Ids of a chunk in which spaces are already written as the space sign."""
-        if _TIED_RUN in text:
-            pieces = self.merge(text)
-        elif len(text) > 4096:
-            pieces = self._long(text)
-        else:
-            pieces = self.backtrack(text)
+        pieces = self.backtrack(text)
         ids: list[int] = []
         get = self.id_of.get
         for p in pieces:
@@ -177,32 +209,6 @@ class PieceCodec:
                 ids.append(i)
         return ids
 
-    def _long(self, text: str) -> list[str]:
-        """A chunk without spaces that is too long for one bitfield integer: the
-        same search over pieces of text, cut at characters that no longer piece
-        holds; where there is none, the merge rule over the whole."""
-        cuts = [i for i, c in enumerate(text) if not self.inner(c)]
-        if not cuts:
-            return self.merge(text)
-        out: list[str] = []
-        before = 0
-        for i in cuts:
-            if i > before:
-                out += self._part(text[before:i])
-            out.append(text[i])
-            before = i + 1
-        return out + self._part(text[before:])
-
-    def _part(self, text: str) -> list[str]:
-        return self.backtrack(text) if len(text) <= 4096 else self.merge(text)
-
-    def inner(self, c: str) -> bool:
-        """Whether a piece of more than one character holds ``c``."""
-        known = self.hard.get(c)
-        if known is None:
-            known = self.hard[c] = not any(c in p and len(p) > 1 for p in self.id_of)
-        return not known
-
     def encode(self, text: str, ends: bool = True) -> list[int]:
         """Ids of a whole text, with begin and end ids unless ``ends`` is false."""
         ids: list[int] = []
@@ -215,9 +221,8 @@ class PieceCodec:
         """Chunks with the leading space that the model puts before every text."""
         if SPACE in text:
             text = text.replace(SPACE, " ")
-        if self.hard["\n"]:
-            return [c for c in split_chunks(" " + text) if c]
-        return [c for part in [" " + text.replace("\n", "\x00")] for c in split_chunks(part) if c] if "\n" not in text else [" " + text]
+        # where a piece may hold a line feed, the text is one chunk
+        return [c for c in split_chunks(" " + text) if c] if self.lines else [" " + text]
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids: control ids vanish, runs of byte ids become characters
@@ -303,42 +308,48 @@ def _codec(model_file: str) -> tuple[PieceCodec, ChunkMemo]:
 def encode_column(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """All columns of ``df`` plus ``piece_ids`` (array of int, with begin and end
     ids) and ``piece_text`` (the ids decoded). Null texts count as empty; an empty
-    text has the begin and end ids only. A column of either name is replaced."""
+    text has the begin and end ids only. A column of either name is replaced; the other
+    columns come back as they are, whatever their types."""
     keep = [c for c in df.columns if c not in ("piece_ids", "piece_text")]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", piece_ids array<int>, piece_text string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, _ = _codec(model_file)
         for b in batches:
-            ids = [codec.encode(t or "") for t in b[text]]
-            yield b[keep].assign(piece_ids=ids, piece_text=[codec.decode(i) for i in ids])
+            for part in byte_slices(b, text):
+                ids = [codec.encode(t or "") for t in part.column(text).to_pylist()]
+                made = [pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, "piece_ids", "piece_text"])
 
-    return df.mapInPandas(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def digest_column(df: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, ``n_tokens``, ``ids_sha256`` of the ids as little-endian
     32-bit integers and ``decoded_sha256`` of the decoded text.
 
-    Rows are taken as they are: repeated keys give repeated rows, null texts count
-    as empty, and an empty text has two ids (begin, end) and decodes to nothing.
+    Rows are taken as they are: repeated keys give repeated rows, keys of any type and
+    null ones come back unchanged, null texts count as empty, and an empty text has two
+    ids (begin, end) and decodes to nothing.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, memo = _codec(model_file)
         bos, eos = codec.bos.to_bytes(4, "little"), codec.eos.to_bytes(4, "little")
         for b in batches:
-            rows = []
-            for t in b["_text"]:
+            counts, ids_sha, text_sha = [], [], []
+            for t in b.column("_text"):
+                t = t.as_py()
                 ids = b"".join([bos, *map(memo.__getitem__, codec.chunks(t) if t else ()), eos])
                 decoded = codec.decode_array(np.frombuffer(ids, "<u4"))
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+                counts.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                 memo.trim()
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, key, b["_key"].to_numpy())
-            yield out
+            made = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), *made], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).mapInPandas(
+    return small_batches(df.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))).mapInArrow(
         run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
