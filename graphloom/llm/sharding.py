@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, text_or_empty
 
-#: Hex digits of a key's hash that name its bin: 4096 bins a shard.
-BIN_DIGITS = 3
+#: Hex digits of a key's hash that name its bin, and the parts of a bin by text: 4096
+#: times 16 in a shard.
+BIN_DIGITS, PARTS = 3, 16
 
 
 def _text_of(key: str) -> Column:
@@ -57,10 +58,12 @@ def assign_shards(
     more shard of the mean weight) and slot, gapless from 0 in every shard.
 
     size is the UTF-8 bytes of the text plus 8; null texts have none. Rows with one
-    key share a shard and have slots next to each other. Empty tables give no rows.
+    key share a shard; a null key counts as a key of its own. Rows that repeat key and
+    text have slots on end. Other columns are not read. Empty tables give no rows.
 
-    Slots need no task that sees a whole shard: keys fall into 4096 bins a shard,
-    rows are numbered within their bin, and a bin starts where the bins before it end.
+    Slots need no task that sees a whole shard: keys fall into 4096 bins a shard, each
+    cut into parts by the text, rows are numbered within their part, and a part starts
+    where the parts before it end. Equal rows are counted before they are shuffled.
     """
     name, mean = _text_of(key), None if weights is None else sum(weights) / len(weights)
     rows = df.select(
@@ -72,24 +75,23 @@ def assign_shards(
         F.substring(F.md5(name), 1, BIN_DIGITS).alias("_bin"),
     )
     shard = (-F.col("_best.s")).cast("int")
-    placed = materialize(
-        rows.select(
-            "_key", "_size", "_crc", "_bin", shard.alias("_shard"),
-            # the further shard has to beat only the winner so far
-            F.when(F.col("_more") > F.col("_best.d"), F.lit(n_shards)).otherwise(shard).alias("_grown"),
-        ),
-        "shards",
-    )
-    before = Window.partitionBy("_shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_shard", "_bin").count().select("_shard", "_bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy("_shard", "_bin").orderBy("_key", "_crc", "_size")
-    return placed.join(starts, ["_shard", "_bin"]).select(
+    drawn = rows.select(
+        "_key", "_size", "_crc", "_bin", shard.alias("_shard"), F.pmod(F.xxhash64("_crc", "_size"), F.lit(PARTS)).cast("int").alias("_part"),
+        # the further shard has to beat only the winner so far
+        F.when(F.col("_more") > F.col("_best.d"), F.lit(n_shards)).otherwise(shard).alias("_grown"),
+    )
+    own = ["_shard", "_bin", "_part"]
+    placed = materialize(drawn.groupBy(*own, "_key", "_size", "_crc", "_grown").agg(F.count(F.lit(1)).alias("_times")), "shards")
+    before = Window.partitionBy("_shard").orderBy("_bin", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*own).agg(F.sum("_times").alias("n")).select(*own, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*own).orderBy("_key", "_crc", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.withColumn("_first", F.coalesce(F.sum("_times").over(inside), F.lit(0)))
+    each = first.join(starts, own).withColumn("_time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+    return each.select(
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.col("_shard").alias("shard"),
         F.col("_grown").alias("grown_shard"),
-        (F.col("_start") + F.row_number().over(inside) - 1).alias("slot"),
+        (F.col("_start") + F.col("_first") + F.col("_time")).alias("slot"),
     )
