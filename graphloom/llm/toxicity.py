@@ -1,9 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as two vectors: what the training rows say of the word (its smoothed
-log-odds and how sure they are), and the learned mean over its character trigrams,
-so that a word in a new spelling or with marks around it still resembles itself. A
-word of over 48 characters enters as its parts, cut after marks, and those still long as
+A word enters as two vectors: its own, which starts from what the training rows say of
+the word (its smoothed log-odds and how sure they are) and is trained from there, and the
+learned mean over its character trigrams, so that a word in a new spelling or with marks
+around it still resembles itself. A word of over 48 characters enters as its parts, cut after marks, and those still long as
 overlapping pieces, so that none of it is left out. A window of 32 words goes through a gated recurrent layer in both
 directions; attention pools the states; windows overlap by half, and the document's
 logit is the log-sum-exp of its windows', put on the scale of probabilities by a
@@ -20,18 +20,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_or_empty
+from graphloom.llm.common import byte_slices, small_batches, text_or_empty
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
 #: Hidden units of a direction; word and character dimensions; their table sizes.
-HIDDEN, DIM, SEEN, WORDS, GRAMS = 8, 8, 2, 1 << 17, 1 << 13
-#: Labelled rows that training takes at most, and the words of such a row at most.
-TRAIN_ROWS, TRAIN_WORDS = 5000, 4096
+HIDDEN, DIM, SEEN, WORDS, GRAMS = 8, 8, 6, 1 << 17, 1 << 13
+#: Labelled rows that training takes at most, and the characters of them all together.
+TRAIN_ROWS, TRAIN_CHARS = 5000, 40_000_000
+#: Passes over so many rows; fewer rows are passed over more often, by the square root.
+PASSES, PASSES_ROWS = 4, 4000
 _MARKS = ".,;:!?()[]{}<>\"'`#*$%&-_+=~|/\\@^…“”‘’«»¿¡"
 _PAD = 0
 #: Characters of a word that is taken whole, and of a piece of a longer one.
@@ -125,17 +127,16 @@ class Net:
         r = np.random.default_rng(seed)
         f = lambda *shape, s: (r.standard_normal(shape) * s).astype(np.float32)
         self.p = {
-            "gram": f(GRAMS, DIM, s=0.1),
+            "gram": f(GRAMS, DIM, s=0.1), "word": np.zeros((WORDS, SEEN), np.float32),
             "wx": f(2, SEEN + DIM, 3 * HIDDEN, s=0.35), "wh": f(2, HIDDEN, 3 * HIDDEN, s=0.35), "b": np.zeros((2, 3 * HIDDEN), np.float32),
             "att": f(2 * HIDDEN, s=0.3), "out": f(2 * HIDDEN, s=0.5), "bias": np.array([-3.0], np.float32),
         }
-        self.word = np.zeros((WORDS, SEEN), np.float32)
         self.scale = (1.0, 0.0)
 
     def inputs(self, ids: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Vectors of words from their rows and trigrams, ``counts`` to a word."""
         mean = np.add.reduceat(self.p["gram"][grams], np.cumsum(counts) - counts) / counts[:, None].astype(np.float32)
-        return np.concatenate([self.word[ids], mean.astype(np.float32)], axis=1)
+        return np.concatenate([self.p["word"][ids], mean.astype(np.float32)], axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """A word's share of the gates in both directions: n x 2 x 3H."""
@@ -229,7 +230,7 @@ def _layout(counts: list[int], stride: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.array(at)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, passes: int = 4) -> Net:
+def train(texts: list[str], labels: list[int], seed: int = 7) -> Net:
     """Fit a network; a fifth of the rows sets the scale of probabilities."""
     net, r = Net(seed), np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
@@ -239,13 +240,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7, passes: int = 4) -
         net.scale = (0.0, float(np.clip(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), -5, 5)) if len(y) else 0.0)
         return net
     order = r.permutation(len(docs))
-    fit = [i for i in order[len(order) // 5 :] if 0 < len(docs[i]) <= TRAIN_WORDS]
+    fit = [i for i in order[len(order) // 5 :] if docs[i]]
     known = _Vocabulary([docs[i] for i in fit])
     coded = dict(zip(fit, known.docs))
     _start_from_odds(net, [known.ids[d] for d in known.docs], y[fit])
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
-    for turn in range(passes if len(fit) > 1500 else 3 * passes):
+    step, passes = 0, max(1, round(PASSES * (PASSES_ROWS / max(1, len(fit))) ** 0.5))
+    for turn in range(passes):
         for batch in _batches([fit[i] for i in r.permutation(len(fit))], docs):
             step += 1
             words, places = np.unique(np.concatenate([coded[i] for i in batch]), return_inverse=True)
@@ -265,14 +266,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7, passes: int = 4) -
             grads["b"] = rows.sum(axis=0)
             gx = sum(rows[:, d] @ net.p["wx"][d].T for d in (0, 1))
             grads["gram"] = _sums(np.repeat(gx[:, SEEN:] / counts[:, None], counts, axis=0), grams, GRAMS)
-            # every row of the table is touched by few words: it moves slowly
-            speed = 0.02 * 0.6 ** (turn if len(fit) > 1500 else turn / 3)
+            own = known.ids[words]
+            grads["word"] = _sums(gx[:, :SEEN], own, WORDS)
+            # every row of the tables is touched by few words: they move slowly
+            speed = 0.02 * 0.6 ** (PASSES * turn / passes)
             for k, grad in grads.items():
-                m, v = state[k]
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad * grad - v)
-                rate = speed * (0.1 if k == "gram" else 1)
-                net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                # of the words only those of the batch move
+                at = np.unique(own) if k == "word" else slice(None)
+                m, v, g = state[k][0][at], state[k][1][at], grad[at]
+                m = m + 0.1 * (g - m)
+                v = v + 0.01 * (g * g - v)
+                state[k][0][at], state[k][1][at] = m, v
+                rate = speed * (0.1 if k in ("gram", "word") else 1)
+                net.p[k][at] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     back = order[: max(1, len(order) // 5)]
     net.scale = _fit_scale(logits_of(net, [texts[i] for i in back]), y[back])
     return net
@@ -288,8 +294,8 @@ def _start_from_odds(net: Net, docs: list[np.ndarray], y: np.ndarray) -> None:
     seen = hits.sum(axis=0)
     # a word of one or two rows says more about those rows than about words
     sure = np.maximum(seen - 2, 0) / (seen + 3)
-    net.word[:, 0] = np.clip(np.log(rate[1] / rate[0]), -4, 4) * sure
-    net.word[:, 1] = sure
+    net.p["word"][:, 0] = np.clip(np.log(rate[1] / rate[0]), -4, 4) * sure
+    net.p["word"][:, 1] = sure
 
 
 def _batches(order: list[int], docs: list[list[str]], most: int = 12_000) -> Iterator[list[int]]:
@@ -370,10 +376,13 @@ def logits_of(net: Net, texts: list[str]) -> np.ndarray:
     return np.concatenate([scorer.logits(texts[i : i + 64]) for i in range(0, len(texts), 64)]) if texts else np.empty(0)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Net:
-    """Train on at most ``rows`` labelled documents, picked by a hash of their keys
-    among those that are not held out. Null labels and keys are left out; of several
-    labels for one key the largest counts."""
+def fit_on(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS
+) -> Net:
+    """Train on at most ``rows`` labelled documents of ``chars`` characters together,
+    picked by a hash of their keys among those that are not held out; each is taken
+    whole. Null labels and keys are left out; of several labels for one key the largest
+    counts. Without labelled rows the network gives everything one score."""
     ids = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
         .groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
@@ -381,8 +390,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     )
     # as many ids as the bound says, so they may be broadcast
     found = docs.select(F.col(key).alias("_k"), text_or_empty(text).alias("_t")).join(F.broadcast(ids), "_k")
-    sample = found.orderBy(F.xxhash64("_k"), "_k", "_t").limit(rows).toPandas()
-    return train(sample["_t"].tolist(), sample["_y"].tolist())
+    sample = found.orderBy(F.xxhash64("_k"), "_k", "_t").limit(rows)
+    so_far = F.sum(F.length("_t")).over(Window.orderBy(F.xxhash64("_k"), "_k", "_t").rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.withColumn("_c", so_far).filter(F.col("_c") <= chars).select("_t", "_y").collect()
+    return train([r["_t"] for r in sample], [r["_y"] for r in sample])
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -390,27 +401,24 @@ _SCORERS: dict[int, Scorer] = {}
 
 def score(df: DataFrame, net: Net, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns of ``df`` and ``score`` (0 to 1) and ``predicted``; columns of these
-    names are replaced. Null texts count as empty; a text without words gets the score
-    of one blank window. Rows are taken as they are, whole texts in all windows."""
+    names are replaced, the others come back as they are, whatever their types. Null
+    texts count as empty; a text without words gets the score of one blank window. Rows
+    are taken as they are, whole texts in all windows."""
     shared = df.sparkSession.sparkContext.broadcast(net)
     keep = [c for c in df.columns if c not in ("score", "predicted")]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        scorer = _SCORERS.setdefault(id(net), Scorer(net))
-        a, b = net.scale
-        for rows in batches:
-            sizes = rows[text].map(lambda t: len(t) if t else 0).to_numpy()
-            out, i = [], 0
-            while i < len(rows):
-                j, held = i, 0
-                while j < len(rows) and (j == i or held + sizes[j] <= 400_000) and j - i < 256:
-                    held += sizes[j]
-                    j += 1
-                out.append(scorer.logits([t or "" for t in rows[text].iloc[i:j]]))
-                i = j
-            p = 1 / (1 + np.exp(-np.clip(a * np.concatenate(out) + b, -60, 60))) if out else np.empty(0)
-            yield rows[keep].assign(score=p, predicted=(p >= threshold).astype(np.int32))
-
-    return df.mapInPandas(run, schema)
+        if id(net) not in _SCORERS:  # one network's words are remembered at a time
+            _SCORERS.clear()
+            _SCORERS[id(net)] = Scorer(net)
+        scorer, (a, b) = _SCORERS[id(net)], net.scale
+        for batch in batches:
+            for part in byte_slices(batch, text, 400_000):
+                logits = scorer.logits([t or "" for t in part.column(text).to_pylist()])
+                p = 1 / (1 + np.exp(-np.clip(a * logits + b, -60, 60)))
+                made = [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, "score", "predicted"])
+
+    return small_batches(df).mapInArrow(run, schema)
