@@ -1,11 +1,11 @@
 """Exact deduplication of incoming texts against immutable snapshots.
 
-Each snapshot has static binary-fuse filters, one for each bucket of digests, built
-once. An incoming batch is grouped by digest on its own first; the distinct digests
-are screened by the filters. Those that pass meet the snapshot's exact buckets;
-those that don't are new without another look. Equal SHA-256 digests
-count as equal texts: texts are compared byte by byte only with the neighbour in the
-same part of a digest, so most pairs, and those of snapshot and batch, are not.
+Digests go ahead, and texts stay where they are. Each snapshot has static binary-fuse
+filters, one for each bucket of its digests, built once. An incoming batch is grouped by
+digest on its own first; its distinct digests are screened by the filters. Those that
+pass meet the snapshot's exact buckets; those that don't are new without another look.
+At the end the texts of rows that have copies travel, no others: each is compared byte by
+byte with one text of its group, and an error says so should two texts share a digest.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, text_or_empty
+from graphloom.llm.components import FEW
 
-#: Digests of a snapshot that one filter holds, about; bounds a build task's memory.
+#: Digests of a bucket, about, on either side; bounds the memory of a task that builds or asks.
 PER_BUCKET = 200_000
 #: Parts into which the rows of one digest are dealt.
 SALTS = 64
@@ -136,29 +137,16 @@ def group_texts(df: DataFrame, in_snapshot: Column, key: str = "doc_id", text: s
     group_size, kept and text_sha256.
 
     ``in_snapshot`` parts the rows into the immutable snapshot (true) and the
-    incoming batch. Null texts count as empty, and all empty texts are equal. A null
-    key counts as smaller than any other. Of rows that repeat both key and text one
-    alone is kept. Empty tables give no rows.
+    incoming batch; either may be empty. Null texts count as empty, and all empty texts
+    are equal. A null key counts as smaller than any other. Of rows that repeat both key
+    and text one alone is kept. Other columns are not read but by ``in_snapshot``. Empty
+    tables give no rows.
     """
-    rows = df.select(
-        F.col(key).alias("id"),
-        text_or_empty(text).alias("body"),
-        F.coalesce(in_snapshot, F.lit(False)).alias("old"),
-    ).withColumn("digest", F.unhex(F.sha2("body", 256))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    # texts travel once, to lie beside those of their digest: a byte check with the
-    # neighbour in each part; parts of one digest are joined by SHA-256 alone
-    beside = Window.partitionBy("digest", "salt").orderBy("id")
-    agree = F.coalesce(F.lag("body").over(beside) == F.col("body"), F.lit(True))
-    checked = materialize(
-        rows.withColumn("same", agree)
-        .withColumn("old", F.when(F.col("same"), F.col("old")).otherwise(F.raise_error(F.lit("two texts share one digest")).cast("boolean")))
-        .select("id", "digest", "salt", "old"),
-        "digests",
-    )
-    parts = checked.groupBy("digest", "salt", "old").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-    groups = materialize(parts.groupBy("digest", "old").agg(F.sum("n").alias("n"), F.max("top").alias("top")), "groups")
+    digest = F.unhex(F.sha2(text_or_empty(text), 256))
+    rows = materialize(df.select(F.col(key).alias("id"), digest.alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old")), "digests")
+    groups = materialize(rows.groupBy("digest", "old").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")), "groups")
     snapshot, batch = groups.filter("old").drop("old"), groups.filter("not old").drop("old")
-    buckets = max(8, -(-snapshot.count() // PER_BUCKET))
+    buckets = max(8, -(-max(snapshot.count(), batch.count()) // PER_BUCKET))
     filters = materialize(build_filters(snapshot, buckets), "filters")
     screened = materialize(screen(batch, filters, buckets), "screened")
     positives = screened.filter("maybe").select("digest", F.col("n").alias("n2"), F.col("top").alias("top2"))
@@ -168,14 +156,32 @@ def group_texts(df: DataFrame, in_snapshot: Column, key: str = "doc_id", text: s
         F.greatest("top", "top2").alias("keep_id"),
     )
     fresh = screened.filter("not maybe").select("digest", F.col("n").alias("group_size"), F.col("top").alias("keep_id"))
-    whole = met.unionByName(fresh)
-    # back to the rows by part, so that no digest's rows meet in one task
-    dealt = checked.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("_")).drop("_").join(whole, "digest")
-    first = F.row_number().over(Window.partitionBy("digest", "salt").orderBy(F.col("id").desc())) == 1
-    return checked.join(dealt, ["digest", "salt"]).withColumn("first", first).select(
+    whole = materialize(met.unionByName(fresh), "whole")
+    _compare_texts(df.select(F.col(key).alias("id"), text_or_empty(text).alias("body"), digest.alias("digest")), whole.filter("group_size > 1").select("digest"))
+    # rows that repeat key and digest travel as one; those of one digest are dealt to
+    # parts, so that they don't meet in one task
+    own = rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("times")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    dealt = own.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("_")).drop("_").join(whole, "digest")
+    each = own.join(dealt, ["digest", "salt"]).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(
         F.col("id").alias(key),
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("first") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        ((F.col("time") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def _compare_texts(rows: DataFrame, shared: DataFrame) -> None:
+    """Compare every text whose digest several rows have (``shared``) with one text of
+    that digest; a difference is an error. The one text goes to each part of its digest's
+    rows."""
+    shared = materialize(shared, "shared")
+    few = F.broadcast(shared) if shared.count() <= FEW else shared
+    copies = rows.join(few, "digest", "left_semi").select("digest", "body", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    # equal texts of a part are one before anything is shuffled
+    copies = materialize(copies.groupBy("digest", "salt", "body").agg(F.lit(1).alias("_")).drop("_"), "copies")
+    one = copies.groupBy("digest").agg(F.min("salt").alias("salt")).join(copies, ["digest", "salt"]).select("digest", F.col("body").alias("other"))
+    parts = copies.select("digest", "salt").distinct().join(one, "digest")
+    if not copies.join(parts, ["digest", "salt"]).filter("body <> other").isEmpty():
+        raise ValueError("two texts share one digest")
