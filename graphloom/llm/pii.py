@@ -3,7 +3,7 @@
 Four kinds have formats that decide alone (the base kinds). Beyond them, generators
 with high recall propose spans of further kinds; boosted trees judge each candidate
 by its format and its surroundings; a threshold calibrated on held-back candidates
-selects. Of selected candidates that overlap the one with the highest score stays,
+of its kind selects. Of selected candidates that overlap the one with the highest score stays,
 and base spans always stay.
 
 The trees are fit on the driver from a few thousand generated candidates (formats
@@ -51,7 +51,9 @@ CUES = {
     "birth": r"(?i)born|birth|dob|geboren|naci|n[ée]e? le",
     "local_phone": r"(?i)tel|phone|call|mobile|fax|cell|contact",
 }
-FEATURES = ("length", "digits", "uppers", "marks", "cue", "clean_edge", "distinct", *(f"is_{k}" for k in ADDED))
+#: A sign that a value follows, right before a span.
+ASSIGNED = r"[:=]\s*[\"'`]?$"
+FEATURES = ("length", "digits", "uppers", "lowers", "marks", "cue", "assigned", "clean_edge", "distinct", *(f"is_{k}" for k in ADDED))
 CONTEXT = 24
 _MARK = "\x01"
 
@@ -62,11 +64,13 @@ _MARK = "\x01"
 class Boosted:
     """Gradient boosting for two classes: trees of depth two on logistic loss."""
 
-    def __init__(self, trees: list[tuple], start: float, threshold: float):
-        self.trees, self.start, self.threshold = trees, start, threshold
+    def __init__(self, trees: list[tuple], start: float, thresholds: dict[str, float]):
+        self.trees, self.start, self.thresholds = trees, start, thresholds
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, n_trees: int = 24, rate: float = 0.4, precision: float = 0.99) -> Boosted:
+    def fit(cls, x: np.ndarray, y: np.ndarray, kinds: list[str], n_trees: int = 40, rate: float = 0.3, precision: float = 0.95) -> Boosted:
+        """The first four fifths of the rows grow the trees; on the rest each kind's
+        threshold is set, the lowest score from which candidates are right that often."""
         cut = len(x) * 4 // 5
         fx, fy = x[:cut], y[:cut]
         start = float(np.log(fy.mean() / (1 - fy.mean())))
@@ -86,12 +90,16 @@ class Boosted:
                 f[low] += sides[-1][2]
                 f[high] += sides[-1][3]
             trees.append((j, t, *sides))
-        model = cls(trees, start, 0.0)
-        # the lowest score from which the held-back candidates are right that often
-        s, order = model.score(x[cut:]), np.argsort(-model.score(x[cut:]), kind="stable")
-        right = np.cumsum(y[cut:][order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= precision)
-        model.threshold = float(s[order[good[-1]]]) if len(good) else float("inf")
+        model = cls(trees, start, {})
+        scores, kind = model.score(x[cut:]), np.array(kinds[cut:])
+        for name in dict.fromkeys(kinds):
+            own = kind == name
+            s, right = scores[own], y[cut:][own]
+            order = np.argsort(-s, kind="stable")
+            share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+            ends = np.append(s[order][1:] < s[order][:-1], True)  # equal scores are taken together
+            good = np.flatnonzero((share >= precision) & ends)
+            model.thresholds[name] = float(s[order[good[-1]]]) if len(good) else float("inf")
         return model
 
     @staticmethod
@@ -126,40 +134,105 @@ def _features(span: str, before: str, after: str, kind: str) -> list[float]:
     import re
 
     n = max(1, len(span))
+    before = before[-CONTEXT:]
     return [
         len(span),
         sum("0" <= c <= "9" for c in span) / n,
         sum("A" <= c <= "Z" for c in span) / n,
+        sum("a" <= c <= "z" for c in span) / n,
         sum(not (c.isascii() and c.isalnum()) for c in span) / n,
         float(bool(re.search(CUES[kind], before))),
-        float(not after or after[0] in " \n\t.,;)"),
+        float(bool(re.search(ASSIGNED, before))),
+        float(not re.match("[A-Za-z0-9]", after)),
         len(set(span)) / n,
         *[float(kind == k) for k in ADDED],
     ]
 
 
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_HEX = "0123456789abcdef"
+
+
+class _Generator:
+    """Candidates filled at random: (span, before, after, whether it is one)."""
+
+    def __init__(self, seed: int):
+        self.r = np.random.default_rng(seed)
+
+    def some(self, chars: str, low: int, high: int | None = None) -> str:
+        return "".join(self.r.choice(list(chars), int(self.r.integers(low, (high or low) + 1))))
+
+    def one(self, *of):
+        return of[int(self.r.integers(len(of)))]
+
+    def words(self) -> str:
+        return " ".join(self.some(_LOWER, 2, 9) for _ in range(int(self.r.integers(1, 4)))) + self.one(" ", " ", " ", ": ", "\n", " (", ' "')
+
+    def cue(self, *names: str) -> str:
+        name = self.one(*names)
+        return self.words() + self.one(name, name.upper(), name.capitalize()) + self.one(": ", " ", " = ", "=", ' = "', ": '", '="')
+
+    def secret(self) -> tuple[str, str, bool]:
+        """True: random strings; next to a telling word also words with numbers. False:
+        words, paths, names and numbers that are as long, mostly without such a word."""
+        at_random = lambda: self.one(
+            self.some(_HEX, 32, 64), self.some(_HEX.upper(), 32, 64), self.some(_HEX, 16, 40), self.some(_DIGITS + _UPPER + _LOWER, 20, 64), self.some(_DIGITS + _UPPER, 16, 32),
+            self.one("sk-", "ghp_", "AKIA", "xoxb-") + self.some(_DIGITS + _UPPER + _LOWER, 16, 40), self.some(_DIGITS + _UPPER + _LOWER + "+/_-", 24, 300) + self.one("", "=", "=="),
+            self.some(_LOWER + _DIGITS, 20, 40),
+        )
+        chosen = lambda: self.one(self.some(_LOWER, 5, 9) + self.some(_DIGITS, 1, 4) + self.some(_LOWER + _DIGITS, 8, 14), (self.some(_LOWER, 4, 7) + self.some(_DIGITS, 1, 2)) * 3)
+        names = ("token", "api_key", "apikey", "secret", "password", "passwd", "pwd", "auth", "credential", "access key", "bearer")
+        if self.r.random() < 0.5:
+            cued = self.r.random() < 0.75
+            return (at_random() if not cued or self.r.random() < 0.7 else chosen()), (self.cue(*names) if cued else self.words()), True
+        dash = self.one("-", "_", "/")
+        like = self.one(
+            self.some(_LOWER, 10, 30) + dash + self.some(_DIGITS, 1, 6), dash.join(self.some(_LOWER, 3, 9) for _ in range(4)) + dash + self.some(_DIGITS, 1, 4), self.some(_DIGITS, 16, 24),
+            "/" + "/".join(self.some(_LOWER, 3, 8) for _ in range(4)) + "/" + self.some(_DIGITS, 1, 4), self.some(_LOWER, 16, 30) + self.some(_DIGITS, 1, 3),
+            self.some(_DIGITS, 4) + "-" + self.some(_DIGITS, 2) + "-" + self.some(_DIGITS, 2) + dash + self.some(_LOWER, 6, 20), "=" * 20 + self.some(_DIGITS, 1, 3), self.some(_UPPER, 12, 24) + "-" + self.some(_DIGITS, 1, 4),
+        )
+        return like, (self.cue("version", "name", "file", "path", "number", "id") if self.r.random() < 0.4 else self.words()), False
+
+    def iban(self) -> tuple[str, str, bool]:
+        ok = self.r.random() < 0.5
+        span = self.some(_UPPER, 2) + self.some(_DIGITS, 2) + (self.some(_DIGITS, 12, 24) if ok else self.one(self.some(_UPPER, 11, 24), self.some(_UPPER + _DIGITS, 11, 24)))
+        if ok and self.r.random() < 0.5:
+            span = " ".join(span[i : i + 4] for i in range(0, len(span), 4))
+        return span, (self.cue("iban", "account", "konto", "compte") if ok and self.r.random() < 0.6 else self.words()), ok
+
+    def _formatted(self, span: str, *names: str) -> tuple[str, str, bool]:
+        """A format that also fills ordinary tables: true where a telling word says so."""
+        ok = self.r.random() < 0.5
+        return span, (self.cue(*names) if ok == (self.r.random() < 0.98) else self.words()), ok
+
+    def ssn(self) -> tuple[str, str, bool]:
+        sep = self.one("-", " ")
+        return self._formatted(sep.join((self.some(_DIGITS, 3), self.some(_DIGITS, 2), self.some(_DIGITS, 4))), "ssn", "social security number", "insurance no")
+
+    def birth(self) -> tuple[str, str, bool]:
+        d, m, y = self.r.integers(1, 29), self.r.integers(1, 13), self.r.integers(1930, 2024)
+        return self._formatted(self.one(f"{d}.{m}.{y}", f"{m:02}/{d:02}/{y}", f"{y}-{m:02}-{d:02}"), "born", "date of birth", "dob", "geboren am", "nacido el")
+
+    def local_phone(self) -> tuple[str, str, bool]:
+        a, b, c = self.some(_DIGITS, 3), self.some(_DIGITS, 3), self.some(_DIGITS, 4)
+        return self._formatted(self.one(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"), "phone", "tel", "call", "mobile", "fax", "contact")
+
+    def rows(self, n: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        x, y, kinds = [], [], []
+        for _ in range(n):
+            kind = self.one(*ADDED, "secret", "secret")
+            span, before, ok = getattr(self, kind)()
+            after = self.one(" ", ".", "", "\n", ",", ";", ")", '"', "'", '"!!', "!", "#", " x")
+            x.append(_features(span, before, after, kind))
+            y.append(ok)
+            kinds.append(kind)
+        return np.array(x, float), np.array(y, float), kinds
+
+
 @functools.cache
-def fitted(seed: int = 11, rows: int = 4000) -> Boosted:
+def fitted(seed: int = 11, rows: int = 8000) -> Boosted:
     """Trees fit on ``rows`` generated candidates; the same on every call."""
-    r = np.random.default_rng(seed)
-    pick = lambda chars, n: "".join(r.choice(list(chars), n))
-    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    make = {
-        "iban": lambda ok: pick(upper, 2) + pick(digits, 2) + (pick(digits, int(r.integers(12, 24))) if ok else pick(upper, int(r.integers(11, 24)))),
-        "ssn": lambda ok: f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}",
-        "secret": lambda ok: str(r.choice(["", "sk-", "ghp_", "AKIA"])) + pick(digits + upper + lower, int(r.integers(20, 44))) if ok else pick(lower, int(r.integers(10, 30))) + str(r.choice(["-", "_", "/", "="])) + pick(digits, int(r.integers(1, 6))),
-        "birth": lambda ok: f"{r.integers(1, 29)}.{r.integers(1, 13)}.{r.integers(1930, 2024)}",
-        "local_phone": lambda ok: f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}" if r.random() < 0.5 else f"{pick(digits, 3)}-{pick(digits, 3)}-{pick(digits, 4)}",
-    }
-    said = {"iban": "IBAN: ", "ssn": "SSN ", "secret": "api_key = ", "birth": "born on ", "local_phone": "phone: "}
-    x, y = [], []
-    for _ in range(rows):
-        kind, ok = str(r.choice(ADDED)), bool(r.random() < 0.5)
-        # formats that also fill ordinary tables need the telling word; others mostly have it
-        cued = r.random() < (0.97 if kind in ("ssn", "birth", "local_phone") else 0.6) if ok else r.random() < 0.02
-        x.append(_features(make[kind](ok), said[kind] if cued else pick(lower, 6) + " ", str(r.choice([" ", ".", "", "\n"] if ok else [" ", ".", "x", "%"])), kind))
-        y.append(ok)
-    return Boosted.fit(np.array(x, float), np.array(y, float))
+    return Boosted.fit(*_Generator(seed).rows(rows))
 
 
 # --- expressions over the corpus --------------------------------------------------
@@ -241,9 +314,11 @@ def _scored(body: Column, spans: Column, kind: str, model: Boosted) -> Column:
             F.length(t),
             F.length(F.regexp_replace(t, "[^0-9]", "")) / n,
             F.length(F.regexp_replace(t, "[^A-Z]", "")) / n,
+            F.length(F.regexp_replace(t, "[^a-z]", "")) / n,
             F.length(F.regexp_replace(t, "[A-Za-z0-9]", "")) / n,
             before.rlike(CUES[kind]).cast("int"),
-            ((after == "") | after.rlike(r"[ \n\t.,;)]")).cast("int"),
+            before.rlike(ASSIGNED).cast("int"),
+            (~after.rlike("[A-Za-z0-9]")).cast("int"),
             F.size(F.array_distinct(F.split(t, ""))) / n,
             *[F.lit(int(kind == k)) for k in ADDED],
         ]
@@ -251,7 +326,7 @@ def _scored(body: Column, spans: Column, kind: str, model: Boosted) -> Column:
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), t.alias("text"), model.column(features).alias("score")
         )
 
-    return F.filter(F.transform(spans, one), lambda s: s["score"] >= F.lit(model.threshold))
+    return F.filter(F.transform(spans, one), lambda s: s["score"] >= F.lit(model.thresholds[kind]))
 
 
 _NO_BASE = "array<struct<kind:string,start:int,end:int,text:string>>"
@@ -263,23 +338,27 @@ def find_pii(df: DataFrame, text: str = "text", model: Boosted | None = None) ->
     text), by kind as listed in BASE and ADDED, then start; code points, end excluded.
 
     Null texts count as empty and have no spans. Columns named base or spans are
-    replaced. Rows are taken as they are.
+    replaced, others may have any name. Rows are taken as they are.
     """
     model = model or fitted()
-    keep = [c for c in df.columns if c not in ("base", "spans")]
-    out = df.select(*keep, F.translate(text_or_empty(text), _MARK, "\x02").alias("_body"))
-    numeric = F.col("_body").rlike("[0-9]")
+    own = "_"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    body, more = own + "body", own + "more"
+    keep = [df[c] for c in df.columns if c.lower() not in ("base", "spans")]
+    out = df.select(*keep, F.translate(text_or_empty(text), _MARK, "\x02").alias(body))
+    numeric = F.col(body).rlike("[0-9]")
     for kind in BASE:
-        need = F.col("_body").contains(NEEDS[kind]) if NEEDS[kind] else F.col("_body").rlike(r"[0-9](?:[\x20-]?[0-9]){12}")
+        need = F.col(body).contains(NEEDS[kind]) if NEEDS[kind] else F.col(body).rlike(r"[0-9](?:[\x20-]?[0-9]){12}")
         some = need & numeric if kind != "email" else need
-        out = out.withColumn(f"_{kind}", F.when(some, _matches(F.col("_body"), BASE_PATTERN[kind])))
-        out = out.withColumn(f"_{kind}", F.coalesce(_typed(F.filter(f"_{kind}", _validity(kind)), kind), F.array().cast(_NO_BASE)))
-    out = out.withColumn("base", F.concat(*[F.col(f"_{k}") for k in BASE])).drop(*[f"_{k}" for k in BASE])
+        out = out.withColumn(own + kind, F.when(some, _matches(F.col(body), BASE_PATTERN[kind])))
+        out = out.withColumn(own + kind, F.coalesce(_typed(F.filter(own + kind, _validity(kind)), kind), F.array().cast(_NO_BASE)))
+    out = out.withColumn("base", F.concat(*[F.col(own + k) for k in BASE])).drop(*[own + k for k in BASE])
     for kind in ADDED:
-        out = out.withColumn(f"_{kind}", F.when(numeric & F.col("_body").rlike(ADDED_PATTERN[kind]), _matches(F.col("_body"), ADDED_PATTERN[kind])))
-        out = out.withColumn(f"_{kind}", F.coalesce(_scored(F.col("_body"), F.col(f"_{kind}"), kind, model), F.array().cast(_NO_MORE)))
-    out = out.withColumn("_more", F.concat(*[F.col(f"_{k}") for k in ADDED])).drop(*[f"_{k}" for k in ADDED])
-    return out.withColumn("spans", F.concat("base", _selected(F.col("_more"), F.col("base")))).drop("_body", "_more")
+        out = out.withColumn(own + kind, F.when(numeric & F.col(body).rlike(ADDED_PATTERN[kind]), _matches(F.col(body), ADDED_PATTERN[kind])))
+        out = out.withColumn(own + kind, F.coalesce(_scored(F.col(body), F.col(own + kind), kind, model), F.array().cast(_NO_MORE)))
+    out = out.withColumn(more, F.concat(*[F.col(own + k) for k in ADDED])).drop(*[own + k for k in ADDED])
+    return out.withColumn("spans", F.concat("base", _selected(F.col(more), F.col("base")))).drop(body, more)
 
 
 def _selected(more: Column, base: Column) -> Column:
@@ -305,7 +384,8 @@ def redact(df: DataFrame, text: str = "text", model: Boosted | None = None) -> D
     """``df`` with every span in ``text`` replaced by its kind in brackets. Where spans
     overlap the first in the text names the replacement and the later one's rest goes
     with it. Texts without spans, null ones too, are returned as they were."""
-    found = find_pii(df, text, model)
+    names = {c: f"column{i}" for i, c in enumerate(df.columns)}
+    found, text = find_pii(df.toDF(*names.values()), names[text], model), names[text]
     marks = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     whole = F.col(text).cast("string")
     walk = F.aggregate(
@@ -320,4 +400,4 @@ def redact(df: DataFrame, text: str = "text", model: Boosted | None = None) -> D
         ).otherwise(F.struct(F.greatest(a["at"], -s["end"]).alias("at"), a["out"].alias("out"))),
         lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(whole, a["at"] + 1, F.length(whole)))), ""),
     )
-    return found.withColumn(text, F.when(F.size("spans") > 0, walk).otherwise(F.col(text))).drop("base", "spans").select(*df.columns)
+    return found.withColumn(text, F.when(F.size("spans") > 0, walk).otherwise(F.col(text))).select(*names.values()).toDF(*df.columns)
