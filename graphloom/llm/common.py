@@ -20,12 +20,14 @@ BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 2000, 8 << 20, 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where that is unset
-    (tests on one machine) a temporary folder of our own is used.
+    ``spark.checkpoint.dir`` names it on a cluster, and must; only on one machine (in
+    tests) a temporary folder of our own is used where it is unset.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if sc.getCheckpointDir() is None:
