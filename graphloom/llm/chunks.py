@@ -28,7 +28,7 @@ class ChunkMemo(dict):
     chunks can't fill memory.
     """
 
-    def __init__(self, compute: Callable[[str], object], most: int = 400_000, longest: int = 64):
+    def __init__(self, compute: Callable[[str], object], most: int = 150_000, longest: int = 64):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
 

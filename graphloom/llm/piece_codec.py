@@ -131,7 +131,7 @@ class PieceCodec:
         known = self._agree.get(key)
         if known is None:
             known = self.merge(a + b) == ([a, b] if a else [b])
-            if len(self._agree) >= 1_000_000:
+            if len(self._agree) >= 200_000:
                 self._agree.clear()
             self._agree[key] = known
         return known

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,12 +96,21 @@ def _sums(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+class _Names(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Vocabulary:
     """The words of training rows, each hashed once: its row and its trigrams."""
 
-    def __init__(self, docs: list[list[str]]):
-        names = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-        self.docs = [np.fromiter(map(names.__getitem__, d), np.int64, len(d)) for d in docs]
+    def __init__(self, texts: Iterable[str]):
+        names = _Names()
+        # one text's words at a time: as strings those of all texts take much memory
+        self.docs = [np.array([names[w] for w in words_of(t)], np.int32) for t in texts]
         self.ids = _word_ids(list(names))
         self.grams, self.at = _gram_ids(list(names))
         self.counts = np.diff(np.append(self.at, len(self.grams)))
@@ -139,13 +148,13 @@ class Net:
         return np.concatenate([self.p["word"][ids], mean.astype(np.float32)], axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        """A word's share of the gates in both directions: n x 2 x 3H."""
-        return np.stack([x @ self.p["wx"][d] + self.p["b"][d] for d in (0, 1)], axis=1)
+        """A word's share of the gates in both directions: 2 x n x 3H."""
+        return np.stack([x @ self.p["wx"][d] + self.p["b"][d] for d in (0, 1)])
 
     @staticmethod
     def pad() -> np.ndarray:
         """The gates of no word: the state passes unchanged."""
-        row = np.zeros((1, 2, 3 * HIDDEN), np.float32)
+        row = np.zeros((2, 1, 3 * HIDDEN), np.float32)
         row[:, :, :HIDDEN] = 30
         return row
 
@@ -157,7 +166,7 @@ class Net:
         for d in (0, 1):
             h = np.zeros((n, h_), np.float32)
             wh = self.p["wh"][d]
-            gates = np.ascontiguousarray(table[:, d])
+            gates = table[d]
             for t in range(t_max) if d == 0 else range(t_max - 1, -1, -1):
                 x = gates[index[:, t]]
                 u = h @ wh
@@ -233,34 +242,33 @@ def _layout(counts: list[int], stride: int) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Net:
     """Fit a network; a fifth of the rows sets the scale of probabilities."""
     net, r = Net(seed), np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():  # nothing to tell apart: the base rate
         net.p["out"][:] = 0
         net.scale = (0.0, float(np.clip(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), -5, 5)) if len(y) else 0.0)
         return net
-    order = r.permutation(len(docs))
-    fit = [i for i in order[len(order) // 5 :] if docs[i]]
-    known = _Vocabulary([docs[i] for i in fit])
-    coded = dict(zip(fit, known.docs))
-    _start_from_odds(net, [known.ids[d] for d in known.docs], y[fit])
+    order = r.permutation(len(texts))
+    known = _Vocabulary(texts[i] for i in order[len(order) // 5 :])
+    docs = dict(zip(order[len(order) // 5 :].tolist(), known.docs))
+    fit = [i for i, d in docs.items() if len(d)]
+    _start_from_odds(net, [known.ids[docs[i]] for i in fit], y[fit])
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, passes = 0, max(1, round(PASSES * (PASSES_ROWS / max(1, len(fit))) ** 0.5))
     for turn in range(passes):
         for batch in _batches([fit[i] for i in r.permutation(len(fit))], docs):
             step += 1
-            words, places = np.unique(np.concatenate([coded[i] for i in batch]), return_inverse=True)
+            words, places = np.unique(np.concatenate([docs[i] for i in batch]), return_inverse=True)
             index, at = _layout([len(docs[i]) for i in batch], WINDOW)
             index = np.append(0, places + 1)[index]
             grams, counts = known.grams_of(words)
             x = net.inputs(known.ids[words], grams, counts)
-            table = np.concatenate([net.pad(), net.project(x)])
+            table = np.concatenate([net.pad(), net.project(x)], axis=1)
             logit, kept = net.forward(table, index, keep=True)
             doc = _pool(logit, at)
             err = (_sigmoid(doc) - y[batch]) / len(batch)
             sizes = np.diff(np.append(at, len(logit)))
             g = (np.repeat(err, sizes) * np.exp(logit - np.repeat(doc, sizes))).astype(np.float32)
-            grads, rows = net.backward(index, kept, g, len(table))
+            grads, rows = net.backward(index, kept, g, table.shape[1])
             rows = rows[1:]
             grads["wx"] = np.stack([x.T @ rows[:, d] for d in (0, 1)])
             grads["b"] = rows.sum(axis=0)
@@ -298,7 +306,7 @@ def _start_from_odds(net: Net, docs: list[np.ndarray], y: np.ndarray) -> None:
     net.p["word"][:, 1] = sure
 
 
-def _batches(order: list[int], docs: list[list[str]], most: int = 12_000) -> Iterator[list[int]]:
+def _batches(order: list[int], docs: dict[int, np.ndarray], most: int = 12_000) -> Iterator[list[int]]:
     batch: list[int] = []
     held = 0
     for i in order:
@@ -343,12 +351,12 @@ class _Memo(dict):
 class Scorer:
     """A network with a bounded memory of words it has met."""
 
-    def __init__(self, net: Net, most: int = 150_000):
+    def __init__(self, net: Net, most: int = 60_000):
         self.net, self.most = net, most
         self._reset()
 
     def _reset(self) -> None:
-        self.memo, self.table, self.used = _Memo(), np.concatenate([self.net.pad(), np.empty((1024, 2, 3 * HIDDEN), np.float32)]), 1
+        self.memo, self.table, self.used = _Memo(), np.concatenate([self.net.pad(), np.empty((2, 1024, 3 * HIDDEN), np.float32)], axis=1), 1
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """The document logits of texts over all their overlapping windows."""
@@ -358,16 +366,15 @@ class Scorer:
         flat = np.array([0, *[row for d in docs for row in map(self.memo.__getitem__, d)]])
         if fresh := self.memo.fresh:
             need = self.used + len(fresh)
-            if need > len(self.table):
-                self.table = np.concatenate([self.table[: self.used], np.empty((need, 2, 3 * HIDDEN), np.float32)])
+            if need > self.table.shape[1]:
+                self.table = np.concatenate([self.table[:, : self.used], np.empty((2, need, 3 * HIDDEN), np.float32)], axis=1)
             grams, at = _gram_ids(fresh)
-            self.table[self.used : need] = self.net.project(self.net.inputs(_word_ids(fresh), grams, np.diff(np.append(at, len(grams)))))
+            self.table[:, self.used : need] = self.net.project(self.net.inputs(_word_ids(fresh), grams, np.diff(np.append(at, len(grams)))))
             self.used = need
             self.memo.fresh = []
         index, at = _layout([len(d) for d in docs], STRIDE)
         index = flat[index]
-        table = self.table[: self.used]
-        parts = [self.net.forward(table, index[i : i + 4096]) for i in range(0, len(index), 4096)]
+        parts = [self.net.forward(self.table, index[i : i + 4096]) for i in range(0, len(index), 4096)]
         return _pool(np.concatenate(parts).astype(np.float64), at)
 
 
