@@ -3,9 +3,10 @@
 The neighbour graph starts from buckets of random hyperplanes. Then, again and
 again, every vector's neighbours and reverse neighbours meet in a local join, and
 whoever is nearer than the neighbours known so far takes their place: a neighbour of
-a neighbour is likely a neighbour. Queries walk the graph greedily: the best known
-nodes are expanded, the best of what they lead to are kept, until nothing changes or
-the hops are used up. Results are scored afresh on the original vectors in double
+a neighbour is likely a neighbour. Only pairs of which one is new to the group meet, the
+others have met before; the rounds end when few neighbours change. Queries walk the graph
+greedily, a fixed number of hops: the best known nodes are expanded, the best of what
+they lead to are kept. Results are scored afresh on the original vectors in double
 precision.
 
 Equal vectors are one node. Vectors travel as 8-bit integers, each with its own scale,
@@ -26,12 +27,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
 
-#: Neighbours of a node; hyperplane tables; rounds of local joins; hops of a query.
-DEGREE, TABLES, ROUNDS, HOPS = 48, 4, 4, 2
+#: Neighbours of a node; hyperplane tables; rounds of local joins at most; hops of a
+#: query, and the nodes that it holds.
+DEGREE, TABLES, ROUNDS, HOPS, BEAM = 48, 4, 3, 3, 80
 #: Vectors of a hyperplane bucket, about, and at most in one local join.
 BUCKET, JOIN = 128, 256
 #: Candidates that a local join names for each of its members.
 NAMED = 8
+#: The share of neighbours that change in a round below which the rounds end.
+SETTLED = 0.02
 #: Nodes of a group dealt by hash, which gives each node starting neighbours.
 DEALT = 32
 
@@ -77,7 +81,8 @@ def _decoded(blobs: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _local_join(groups: DataFrame, dims: int, named: int = NAMED) -> DataFrame:
     """(u, w, s): for each member u of each group, the nearest others w that beat u's
-    worst known neighbour. groups: array ``m`` of (node, q, least)."""
+    worst known neighbour, one of the two being fresh. groups: array ``m`` of (node, q,
+    least, fresh)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -90,11 +95,13 @@ def _local_join(groups: DataFrame, dims: int, named: int = NAMED) -> DataFrame:
                 least = np.array([r["least"] for r in members], np.float32)
                 scale, x = _decoded([r["q"] for r in members], dims)
                 s = (x @ x.T) * (scale[:, None] * scale)
+                fresh = np.array([r["fresh"] for r in members], bool)
+                s[~(fresh[:, None] | fresh)] = -np.inf
                 np.fill_diagonal(s, -np.inf)
                 k = min(named, n - 1)
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 score = np.take_along_axis(s, best, axis=1)
-                i, j = np.nonzero(score > least[:, None])
+                i, j = np.nonzero((score > least[:, None]) & np.isfinite(score))
                 us.append(ids[i])
                 ws.append(ids[best[i, j]])
                 ss.append(score[i, j])
@@ -123,6 +130,16 @@ def _adjacent(graph: DataFrame, degree: int) -> DataFrame:
     return out.unionByName(back).distinct()
 
 
+def _around(graph: DataFrame, degree: int) -> DataFrame:
+    """(u, w, fresh): as ``_adjacent``, and each node itself; whether w is new to u's group
+    by an edge that the last round brought."""
+    out = graph.select("u", "fresh", F.explode("near").alias("e")).select("u", F.col("e.w").alias("w"), F.array_contains("fresh", F.col("e.w")).alias("fresh"))
+    back = out.groupBy(F.col("w").alias("x"), F.pmod(F.xxhash64("u"), F.lit(degree)).alias("slot")).agg(F.min(F.struct("u", "fresh")).alias("e"))
+    own = graph.select("u", F.col("u").alias("w"), F.lit(False).alias("fresh"))
+    every = out.unionByName(back.select(F.col("x").alias("u"), F.col("e.u").alias("w"), F.col("e.fresh").alias("fresh"))).unionByName(own)
+    return every.groupBy("u", "w").agg(F.max("fresh").alias("fresh"))
+
+
 def build_graph(nodes: DataFrame, dims: int, limit: float, degree: int = DEGREE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """The neighbour graph of ``nodes`` (node, v), and the nodes' 8-bit vectors."""
     count = nodes.count()
@@ -134,27 +151,34 @@ def build_graph(nodes: DataFrame, dims: int, limit: float, degree: int = DEGREE,
     dealt_to = F.pmod(F.xxhash64("node", F.lit(DEALT)), F.lit(max(1, count // DEALT))) + F.lit(TABLES << 40)
     placed = coded.select("node", "q", F.explode(F.concat("codes", F.array(dealt_to))).alias("code"))
     parts = placed.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / JOIN).cast("int").alias("parts"))
-    member = F.struct("node", "q", F.lit(-3.0e38).cast("float").alias("least")).alias("m")
+    member = F.struct("node", "q", F.lit(-3.0e38).cast("float").alias("least"), F.lit(True).alias("fresh")).alias("m")
     dealt = placed.join(parts, "code").select("code", F.pmod(F.xxhash64("node", "code"), F.col("parts")).alias("part"), member)
     graph = materialize(_best(_local_join(dealt.groupBy("code", "part").agg(F.collect_list("m").alias("m")).select("m"), dims, 2 * NAMED), degree), "graph")
+    graph = graph.withColumn("fresh", F.transform("near", lambda e: e["w"]))
     for _ in range(rounds):
         worst = graph.select(F.col("u").alias("node"), F.when(F.size("near") >= degree, -F.element_at("near", -1)["d"]).otherwise(F.lit(-3.0e38)).cast("float").alias("least"))
-        known = coded.select("node", "q").join(worst, "node", "left").select(F.col("node").alias("w"), F.struct("node", "q", F.coalesce("least", F.lit(-3.0e38).cast("float")).alias("least")).alias("m"))
-        around = _adjacent(graph, degree).unionByName(coded.select(F.col("node").alias("u"), F.col("node").alias("w")))
-        groups = around.join(known, "w").groupBy("u").agg(F.collect_list("m").alias("m")).select("m")
-        graph = materialize(_best(_edges(graph).unionByName(_local_join(groups, dims)), degree), "graph")
+        known = coded.select("node", "q").join(worst, "node", "left").select(F.col("node").alias("w"), "q", F.coalesce("least", F.lit(-3.0e38).cast("float")).alias("least"))
+        members = _around(graph, degree).join(known, "w").select("u", F.struct(F.col("w").alias("node"), "q", "least", "fresh").alias("m"))
+        groups = members.groupBy("u").agg(F.collect_list("m").alias("m")).filter(F.exists("m", lambda m: m["fresh"])).select("m")
+        best = _best(_edges(graph).unionByName(_local_join(groups, dims)), degree)
+        before = graph.select("u", F.transform("near", lambda e: e["w"]).alias("old"))
+        names = F.transform("near", lambda e: e["w"])
+        graph = materialize(best.join(before, "u", "left").select("u", "near", F.array_except(names, F.coalesce("old", F.array().cast("array<bigint>"))).alias("fresh")), "graph")
         spark._jvm.System.gc()  # lets go of the last round's shuffle files
+        changed = graph.agg(F.sum(F.size("fresh")).alias("fresh"), F.sum(F.size("near")).alias("all")).first()
+        if changed["fresh"] is None or changed["fresh"] < SETTLED * changed["all"]:
+            break
     return graph, coded.select("node", "q")
 
 
-def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, dims: int, beam: int = DEGREE, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, dims: int, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
     """(node, found: nodes nearest first) for the query nodes ``starts`` (node).
 
     A query begins with its own neighbours in the graph; a hop expands all nodes of
     the beam that it has not expanded before.
     """
     own = coded.join(starts, "node", "left_semi")
-    adjacent = materialize(_adjacent(graph, beam).groupBy("u").agg(F.collect_list("w").alias("ws")), "adjacent")
+    adjacent = materialize(_adjacent(graph, DEGREE).groupBy("u").agg(F.collect_list("w").alias("ws")), "adjacent")
     state = graph.join(starts.withColumnRenamed("node", "u"), "u", "left_semi").select(
         F.col("u").alias("node"), F.transform("near", lambda e: F.struct(e["w"].alias("w"), (-e["d"]).alias("s"))).alias("beam"), F.array().cast("array<bigint>").alias("done")
     )
@@ -201,10 +225,10 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     # equal vectors are one node; as many of its keys as a result could need
     kept = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     nodes = materialize(kept.groupBy("v").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("ids")), "nodes")
-    graph, coded = build_graph(nodes.select("node", "v"), facts["n"], max(facts["x"], 1e-300))
+    graph, coded = build_graph(nodes.select("node", "v"), facts["n"], max(facts["x"], 1e-300), DEGREE, ROUNDS)
     asked = rows.join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     asked = materialize(asked.join(nodes.select("node", "v"), "v").select(F.col("id").alias("query_id"), "node", "v"), "queries")
-    found = search(graph, coded, asked.select("node").distinct(), facts["n"], max(DEGREE, 2 * k))
+    found = search(graph, coded, asked.select("node").distinct(), facts["n"], max(BEAM, 2 * k), HOPS)
     # all keys of the nodes found, and of the query's own
     near = asked.join(found, "node", "left").select(
         "query_id", F.col("v").alias("x"), F.explode(F.array_union(F.coalesce("found", F.array().cast("array<bigint>")), F.array("node"))).alias("node")
