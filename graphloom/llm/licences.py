@@ -34,6 +34,9 @@ _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 SALTS = 64
 #: What a word of every text weighs; words that a task counts before it passes them on.
 LEAST, HELD = 0.1, 200_000
+#: Words of so large a share of the texts are known to all tasks; there are at most
+#: 1 / COMMON times as many of them as a text has words on average.
+COMMON = 0.02
 
 
 def tokens(line: str) -> list[str]:
@@ -81,7 +84,11 @@ class Matcher:
     """Cosines of bags of words to the templates under fixed document frequencies."""
 
     def __init__(self, n: int, frequencies: dict[str, int], threshold: float):
+        """``frequencies``: of the templates' words and of all common ones."""
         self.n, self.threshold = n, threshold
+        # what any word weighs at least that is not among the common ones
+        self.floor = self.weight(COMMON * n)
+        self.common = {w: self.weight(k) for w, k in frequencies.items()}
         self.idf = {w: self.weight(frequencies.get(w, 0)) for w in _vocabulary()}
         self.names: list[str] = []
         self.holders: dict[str, list[tuple[int, float]]] = {}
@@ -99,7 +106,7 @@ class Matcher:
                     self.telling.add(w)
                     rest -= x * x
 
-    def weight(self, frequency: int) -> float:
+    def weight(self, frequency: float) -> float:
         return math.log((1 + self.n) / (1 + frequency)) + LEAST
 
     def _unit(self, counts: Counter) -> dict[str, float]:
@@ -109,11 +116,11 @@ class Matcher:
 
     def best(self, words: list[str], weights: dict[str, float]) -> tuple[float, str]:
         """The highest cosine (ties: the name that sorts first) when words of no template
-        weigh what ``weights`` says, or ``LEAST``."""
+        weigh what ``weights`` says, or the floor."""
         norm, sums = 0.0, [0.0] * len(self.names)
         for w, c in Counter(words).items():
             known = self.idf.get(w)
-            x = _damped(c) * (known if known is not None else weights.get(w, LEAST))
+            x = _damped(c) * (known if known is not None else weights.get(w, self.floor))
             norm += x * x
             if known is not None:
                 for k, y in self.holders[w]:
@@ -122,14 +129,15 @@ class Matcher:
         return min(1.0, sums[top] / (math.sqrt(norm) or 1.0)), self.names[top]
 
     def candidates(self, text: str, whole: bool) -> list[str]:
-        """The words of each passage that could reach the threshold, as sorted text: no
-        word weighs less than ``LEAST``, so the cosine with that is a bound."""
+        """The words of each passage that could reach the threshold, as sorted text: a
+        word that isn't common weighs the floor at least, so the cosine with that is a
+        bound."""
         if self.telling.isdisjoint(tokens(text)):
             return []
         found = set()
         for passage in passages(text, whole):
             words = tokens(passage)
-            if not self.telling.isdisjoint(words) and self.best(words, {})[0] >= self.threshold - 1e-9:
+            if not self.telling.isdisjoint(words) and self.best(words, self.common)[0] >= self.threshold - 1e-9:
                 found.add(" ".join(sorted(words)))
         return sorted(found)
 
@@ -167,8 +175,9 @@ def scan(df: DataFrame, path: str = "path", text: str = "text", key: str = "doc_
     """
     files = df.select(F.col(key).alias("id"), F.col(path).cast("string").alias("path"), text_or_empty(text).alias("body"))
     frequencies = materialize(document_frequencies(files.select("body")), "frequencies")
-    found = {r["word"]: r["n"] for r in frequencies.filter(F.col("word").isin(["", *sorted(_vocabulary())])).collect()}
-    matcher = Matcher(found.pop("", 0), found, threshold)
+    n = (frequencies.filter("word = ''").first() or {"n": 0})["n"]
+    known = F.col("word").isin(sorted(_vocabulary())) | (F.col("n") >= COMMON * n)
+    matcher = Matcher(n, {r["word"]: r["n"] for r in frequencies.filter(known & (F.col("word") != "")).collect()}, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
