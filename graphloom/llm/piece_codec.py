@@ -131,7 +131,7 @@ class PieceCodec:
         known = self._agree.get(key)
         if known is None:
             known = self.merge(a + b) == ([a, b] if a else [b])
-            if len(self._agree) >= 200_000:
+            if len(self._agree) >= 1_000_000:
                 self._agree.clear()
             self._agree[key] = known
         return known
@@ -301,7 +301,7 @@ def _codec(model_file: str) -> tuple[PieceCodec, ChunkMemo]:
         def compute(chunk: str) -> bytes:
             return array("I", codec.encode_chunk(chunk.replace(" ", SPACE))).tobytes()
 
-        _CODECS[model_file] = codec, ChunkMemo(compute)
+        _CODECS[model_file] = codec, ChunkMemo(compute, 400_000)
     return _CODECS[model_file]
 
 
