@@ -23,6 +23,11 @@ def literal(value: Column, datatype: str | None = None, language: str | None = N
     return F.concat(F.lit('"'), escaped, F.lit('"' + tail))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|(?<!\s)\s+\z", "")
+
+
 def is_literal(term: Column) -> Column:
     return term.startswith('"')
 
@@ -83,6 +88,62 @@ def local_name_both(uri: Column) -> Column:
     return F.substring_index(F.substring_index(uri, "#", -1), "/", -1)
 
 
+def local_name_shown(uri: Column) -> Column:
+    """After the last ``#``, then after the last ``/`` of that; the whole where nothing
+    is left."""
+    name = local_name_both(uri)
+    return F.when(name == "", uri).otherwise(name)
+
+
+def qname(uri: Column, prefixes: list[tuple[str, str]]) -> Column:
+    """prefix:rest for the longest namespace that begins the IRI, only the rest for the
+    empty prefix; the local name where none does. A bare namespace shows as it is."""
+    out = local_name_shown(uri)
+    for prefix, ns in sorted(prefixes, key=lambda x: len(x[1])):
+        if ns:
+            rest = F.substring(uri, len(ns) + 1, 1 << 30)
+            shown = F.concat(F.lit(prefix + ":"), rest) if prefix else rest
+            out = F.when(uri.startswith(ns), F.when(rest == "", uri).otherwise(shown)).otherwise(out)
+    return out
+
+
+def entity_uri(base: str, name: Column) -> Column:
+    return F.concat(F.lit(base), entity_slug(name))
+
+
+def role_uri(base: str, role: Column, activity: Column) -> Column:
+    """The role's slug of at most 32 characters, in at most 48 of the activity's name."""
+    short = slug(role, 32, F.concat(F.lit("anon-"), F.substring(F.sha1(role), 1, 8)))
+    return F.concat(F.lit(base + "role-"), short, F.lit("-in-"), F.substring(F.substring_index(activity, "/", -1), 1, 48))
+
+
+def scoped_class_uri(prefix: str, scope: Column, name: Column) -> Column:
+    """Where a class that one document proposes lives."""
+    return F.concat(F.lit(prefix), scope, F.lit("/"), name)
+
+
+def quality_uri(bearer: Column, name: Column) -> Column:
+    return F.concat_ws("/", bearer, name)
+
+
+def datum_uri(bearer: Column, name: Column) -> Column:
+    return F.concat(quality_uri(bearer, name), F.lit("-datum"))
+
+
+def slot_predicate(template: Column, slot: Column) -> Column:
+    return F.concat(F.lit("urn:tpl/"), template, F.lit("/slot/"), slot)
+
+
+def question_key(template: Column, bindings: Column, slot: Column) -> Column:
+    """One string for a question, whatever the order of its bindings (a map)."""
+    pairs = F.array_sort(F.transform(F.map_entries(bindings), lambda e: F.concat(json_text(e["key"]), F.lit(":"), json_text(e["value"]))))
+    return F.concat_ws("|", template, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), slot)
+
+
+def is_literal_range(range_: Column) -> Column:
+    return F.coalesce(range_.startswith(XSD) | (range_ == "rdfs:Literal"), F.lit(False))
+
+
 def namespace(uri: Column) -> Column:
     return F.substring(uri, F.lit(1), F.length(uri) - F.length(local_name(uri)))
 
@@ -147,7 +208,7 @@ def page_title(html: Column) -> Column:
 
 def page_body(html: Column) -> Column:
     inner = F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)</body>", 1)
-    return F.when(html.rlike(r"(?is)<body[^>]*>.*?</body>"), F.trim(inner)).otherwise(F.trim(html))
+    return F.when(html.rlike(r"(?is)<body[^>]*>.*?</body>"), strip(inner)).otherwise(strip(html))
 
 
 def anchor_marker(element: Column, css: Column) -> Column:

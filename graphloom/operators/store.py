@@ -71,6 +71,19 @@ def register(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(new.join(known.select("slug"), "slug", "left_anti"))
 
 
+def remove(registry: DataFrame, gone: DataFrame) -> DataFrame:
+    """The registry without the records whose slug ``gone`` names."""
+    return registry.join(gone.select("slug"), "slug", "left_anti")
+
+
+def status(registry: DataFrame) -> DataFrame:
+    """(slug, size, added, sources): each record with its time to the second, oldest first,
+    and how many there are."""
+    n = registry.groupBy().agg(F.count(F.lit(1)).alias("sources"))
+    # one row, whatever the size of the registry
+    return registry.crossJoin(F.broadcast(n)).select("slug", "size", F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss").alias("added"), "sources").orderBy("added", "slug")
+
+
 def resolve(probes: DataFrame, registry: DataFrame) -> DataFrame:
     """(probe, slug): by path, else by content hash, else by the slug itself."""
     by = lambda column, name: registry.groupBy(F.col(column).alias(f"_{name}")).agg(F.min("slug").alias(name))

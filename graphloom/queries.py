@@ -6,19 +6,14 @@ Both sides see the same triples: ``GEO``, ``LOG`` and so on are the SQL of
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.catalog import QUERIES, SQL, query  # noqa: F401
 from graphloom.functions import terms as T
 from graphloom.operators import bgp, consolidate, emit, html, link, ontology, store, templates
 from graphloom.sources import mapping as M
 from graphloom.sources.mapping import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 GEO = """geo AS (
   SELECT 'x:customer/' || c_custkey s, 'rdf:type' p, 'x:Customer' o FROM customer UNION ALL SELECT 'x:customer/' || c_custkey, 'x:inNation', 'x:nation/' || c_nationkey FROM customer
   UNION ALL SELECT 'x:supplier/' || s_suppkey, 'rdf:type', 'x:Supplier' FROM supplier UNION ALL SELECT 'x:supplier/' || s_suppkey, 'x:inNation', 'x:nation/' || s_nationkey FROM supplier
@@ -33,16 +28,6 @@ TREE = "tree AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part W
 UP = "up AS (SELECT child AS descendant, parent AS ancestor FROM tree UNION SELECT up.descendant, tree.parent FROM up JOIN tree ON up.ancestor = tree.child)"
 
 
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
-
-
 def _state(n: str) -> str:
     return f"SELECT scope, s, p, o FROM (SELECT *, row_number() OVER (PARTITION BY scope, s, p, o ORDER BY seq DESC, op DESC) r FROM log WHERE seq <= {n}) WHERE r = 1 AND op = 'added'"
 
@@ -857,3 +842,6 @@ def emit_recognized_files(spark, d):
 @query("emit_diagram")
 def emit_diagram(spark, d):
     return emit.diagram(M.geography(spark, d))
+
+
+from graphloom import entity_queries  # noqa: E402, F401  registers its queries
