@@ -8,7 +8,7 @@ from graphloom.catalog import query
 from graphloom.functions import payload as P
 from graphloom.functions import terms as T
 from graphloom.operators import entities as E
-from graphloom.operators import ontology, store
+from graphloom.operators import consolidate, ontology, store
 from graphloom.queries import GEO, _onto
 from graphloom.sources import files
 from graphloom.sources import mapping as M
@@ -329,6 +329,19 @@ def registry_remove(spark, d):
     return store.remove(_sources(spark, d).select("slug", "size"), gone)
 
 
+@query(
+    "registry_fresh_slugs",
+    """WITH x AS (SELECT p_partkey k, lower(p_brand) b, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') s FROM part), c AS (SELECT s, count(*) n FROM x WHERE k % 2 = 0 GROUP BY 1),
+  r AS (SELECT k, x.s, coalesce(n, 0) n, row_number() OVER (PARTITION BY x.s ORDER BY k) r FROM x LEFT JOIN c ON c.s = x.s WHERE k % 2 = 1)
+  SELECT k AS p_partkey, s AS slug, CASE WHEN n + r = 1 THEN s ELSE s || '-' || (n + r) END AS unique_slug FROM r""",
+)
+def registry_fresh_slugs(spark, d):
+    """Parts of odd number beside those of even number, which have their slugs."""
+    p = table(spark, d, "part").select("p_partkey", T.slug(F.col("p_brand")).alias("slug"))
+    known = consolidate.unique_slugs(p.filter("p_partkey % 2 = 0"), "slug", "p_partkey").select(F.col("unique_slug").alias("slug"))
+    return consolidate.fresh_slugs(p.filter("p_partkey % 2 = 1"), known, "slug", "p_partkey")
+
+
 @query("files_pdf", "SELECT doc_id AS path, CASE doc_id % 3 WHEN 0 THEN 'the file is empty' WHEN 1 THEN 'not a PDF' END AS problem, CASE WHEN doc_id % 3 = 2 THEN base64(encode('%PDF-1.7 ' || source)) END AS data FROM documents")
 def files_pdf(spark, d):
     k = F.col("doc_id")

@@ -111,3 +111,16 @@ def unique_slugs(rows: DataFrame, slug: str, order: str) -> DataFrame:
     """base, base-2, base-3 ... in ``order`` of those that share a slug."""
     n = F.row_number().over(Window.partitionBy(slug).orderBy(order))
     return rows.withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), n.cast("string"))))
+
+
+def fresh_slugs(new: DataFrame, known: DataFrame, slug: str, order: str) -> DataFrame:
+    """``new`` with ``unique_slug``, which no row of ``known`` (slug) and no other new row
+    has: the slug itself where it is free, for the first in ``order``; the others go on
+    behind the highest number that the slug has anywhere."""
+    names = known.select(F.col("slug").alias("_name"), F.lit(True).alias("_held")).unionByName(new.select(F.col(slug).alias("_name"), F.lit(False).alias("_held"))).groupBy("_name").agg(F.max("_held").alias("_held"))
+    behind = r"^(.*)-([0-9]{1,9})$"
+    top = names.filter(F.col("_name").rlike(behind)).groupBy(F.regexp_extract("_name", behind, 1).alias("_base")).agg(F.max(F.regexp_extract("_name", behind, 2).cast("long")).alias("_top"))
+    rank = F.row_number().over(Window.partitionBy(slug).orderBy(order))
+    rows = new.join(names, F.col(slug) == F.col("_name")).join(top, F.col(slug) == F.col("_base"), "left").withColumn("_n", rank - F.when(F.col("_held"), 0).otherwise(1))
+    numbered = F.concat(F.col(slug), F.lit("-"), (F.greatest(F.coalesce("_top", F.lit(1)), F.lit(1)) + F.col("_n")).cast("string"))
+    return rows.withColumn("unique_slug", F.when(F.col("_n") == 0, F.col(slug)).otherwise(numbered)).drop("_name", "_held", "_base", "_top", "_n")

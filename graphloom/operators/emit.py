@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +80,25 @@ def diagram(triples: DataFrame) -> DataFrame:
         part(~lit & (F.col("p") != "rdf:type"), F.concat("s", F.lit(" --> "), "o", F.lit(" : "), "p")),
     )
     return shown.groupBy("s").agg(F.concat(F.lit("object "), F.col("s"), F.lit(" "), kinds, F.lit(" {\n"), members, F.lit("\n}\n"), arrows).alias("text"))
+
+
+# Fixed value: the alphabet in which a diagram's text goes into an address, 6 bits each.
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
+_FROM_BASE64 = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", ALPHABET)
+
+
+def diagram_code(text: str) -> str:
+    """A text deflated without header, in that alphabet; the last group filled with zeros."""
+    raw = zlib.compress(text.encode())[2:-4]
+    return base64.b64encode(raw + bytes(-len(raw) % 3)).decode().translate(_FROM_BASE64)
+
+
+def with_diagram_code(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with ``code``, by which a diagram server is asked for the picture; null
+    texts have none."""
+
+    @F.pandas_udf("string")
+    def code(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else diagram_code(t))
+
+    return rows.withColumn("code", code(text))

@@ -828,15 +828,18 @@ def emit_entities(spark, d):
     return emit.entities(n.select(T.iri("x:nation/", n.n_nationkey).alias("uri"), n.n_name.alias("label"), F.array(F.lit("x:Nation")).alias("types"), F.array(T.iri("x:doc#id-", n.n_regionkey)).alias("fragments")))
 
 
-@query("emit_recognized_files", """WITH f AS (SELECT 'x:doc/' || doc_id AS u, * FROM documents), q(n, v, scalar, unit) AS (SELECT 1, 1, 1, 1) SELECT p, count(*) AS n FROM (
-  SELECT u, 'rdf:type' AS p FROM f UNION ALL SELECT u, 'rdfs:label' FROM f UNION ALL SELECT u, 'x:createdBy' FROM f UNION ALL SELECT u, 'lis:hasQuality' FROM f, range(4) UNION ALL SELECT u, 'rdf:type' FROM f, range(12) UNION ALL
-  SELECT u, 'lis:qualityQuantifiedAs' FROM f, range(4) UNION ALL SELECT u, 'lis:datumUOM' FROM f UNION ALL SELECT u, 'lis:datumValue' FROM f, range(4)) GROUP BY 1""")
+@query("emit_recognized_files", """WITH f AS (SELECT 'x:doc/' || doc_id AS u, * FROM documents), v AS (SELECT u, k.name, k.value FROM f, LATERAL (VALUES ('FilePath', '/d/' || doc_id), ('FileHash', sha256(text)), ('MimeType', 'text/plain')) k(name, value)),
+  q AS (SELECT u, name FROM v UNION ALL SELECT u, 'FileSize' FROM f)
+  SELECT u AS s, 'rdf:type' AS p, 'x:File' AS o FROM f UNION ALL SELECT u, 'rdfs:label', '"' || source || '"' FROM f UNION ALL SELECT u, 'x:createdBy', '"' || lang || '"' FROM f
+  UNION ALL SELECT u, 'lis:hasQuality', u || '-' || name FROM q UNION ALL SELECT u || '-' || name, 'rdf:type', 'lis:Quality' FROM q UNION ALL SELECT u || '-' || name, 'rdf:type', 'x:' || name FROM q
+  UNION ALL SELECT u || '-' || name, 'lis:qualityQuantifiedAs', u || '-' || name || '-datum' FROM q UNION ALL SELECT u || '-' || name || '-datum', 'rdf:type', CASE name WHEN 'FileSize' THEN 'lis:ScalarQuantityDatum' ELSE 'lis:QuantityDatum' END FROM q
+  UNION ALL SELECT u || '-' || name || '-datum', 'lis:datumValue', '"' || value || '"' FROM v UNION ALL SELECT u || '-FileSize-datum', 'lis:datumUOM', 'x:byte' FROM f UNION ALL SELECT u || '-FileSize-datum', 'lis:datumValue', '"' || n_chars || '"^^xsd:double' FROM f""")
 def emit_recognized_files(spark, d):
     f = table(spark, d, "documents").select(
         T.iri("x:doc/", F.col("doc_id")).alias("uri"), T.iri("/d/", F.col("doc_id")).alias("path"), F.col("n_chars").alias("size"), F.sha2("text", 256).alias("hash"), F.lit("text/plain").alias("mime"),
         F.col("source").alias("title"), F.lit(" ").alias("author"), F.col("lang").alias("producer"), F.lit("n/a").alias("pages"),
     )
-    return emit.recognized_files(f).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return emit.recognized_files(f)
 
 
 @query("emit_diagram")

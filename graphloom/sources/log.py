@@ -39,8 +39,8 @@ def scopes(log: DataFrame) -> DataFrame:
 # --- N-Triples, the exchange format ------------------------------------------------
 
 
-def to_ntriples(triples: DataFrame) -> DataFrame:
-    """One line of text per triple; line ends and tabs in literals are escaped."""
+def ntriple() -> Column:
+    """A row's line of text; line ends and tabs in literals are escaped."""
 
     def shown(c: str) -> Column:
         term = F.col(c)
@@ -49,7 +49,12 @@ def to_ntriples(triples: DataFrame) -> DataFrame:
         typed = F.regexp_replace(term, r'"\^\^([^"]*)$', r'"^^<$1>')
         return F.when(term.startswith('"'), typed).when(term.startswith("_:"), term).otherwise(F.concat(F.lit("<"), term, F.lit(">")))
 
-    return triples.select(F.concat_ws(" ", shown("s"), shown("p"), shown("o"), F.lit(".")).alias("value"))
+    return F.concat_ws(" ", shown("s"), shown("p"), shown("o"), F.lit("."))
+
+
+def to_ntriples(triples: DataFrame) -> DataFrame:
+    """One line of text per triple."""
+    return triples.select(ntriple().alias("value"))
 
 
 def from_ntriples(lines: DataFrame) -> DataFrame:
