@@ -8,7 +8,7 @@ from graphloom.catalog import query
 from graphloom.functions import payload as P
 from graphloom.functions import terms as T
 from graphloom.operators import entities as E
-from graphloom.operators import consolidate, ontology, store
+from graphloom.operators import consolidate, link, ontology, store
 from graphloom.queries import GEO, _onto
 from graphloom.sources import files
 from graphloom.sources import mapping as M
@@ -397,3 +397,34 @@ def lookup_cached(spark, d):
         return df.join(known, F.lower(F.trim("probe")) == F.col("_n")).select("key", F.concat(F.lit("x:asked "), F.col("_n")).alias("answer"), (F.col("n_nationkey") % 3 == 2).alias("failed"))
 
     return files.answered(probes, cache, ask)[0].select("c_custkey", "answer")
+
+
+@query("vector_delete", "SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0")
+def vector_delete(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    return link.remove(e, e.filter("vec_id % 3 = 0").select("vec_id"), "vec_id")
+
+
+# --- classes and constraints -------------------------------------------------------
+
+
+@query("classes_replaced_once", "SELECT p_partkey AS cls, CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 2 ELSE p_partkey END AS target FROM part")
+def classes_replaced_once(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("cls"))
+    twice = F.explode(F.array(F.expr("cls div 2"), F.col("cls") + 1)).alias("by")
+    return consolidate.replaced_once(p, p.filter("cls % 2 = 0").select("cls", twice))
+
+
+@query("shacl_datatypes", """SELECT 'x:o/' || o_orderkey AS s, 'x:total' AS path, CASE o_orderkey % 4 WHEN 1 THEN '"' || o_custkey || '"' WHEN 2 THEN 'x:c/' || o_custkey ELSE '"' || o_custkey || '"@en' END AS o FROM orders WHERE o_orderkey % 4 <> 0""")
+def shacl_datatypes(spark, d):
+    o = table(spark, d, "orders")
+    k, c = o.o_orderkey % 4, o.o_custkey
+    value = F.when(k == 0, T.literal(c, "xsd:integer")).when(k == 1, T.literal(c)).when(k == 2, T.iri("x:c/", c)).otherwise(T.literal(c, language="en"))
+    return ontology.wrong_datatypes(M.emit(o, T.iri("x:o/", o.o_orderkey), ("x:total", value), ("x:other", F.lit("x:c"))), "x:total", "xsd:integer")
+
+
+@query("shacl_classes", "SELECT 'x:c/' || c_custkey AS s, 'x:of' AS path, 'x:thing/' || c_nationkey AS o FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1")
+def shacl_classes(spark, d):
+    n, c, o = table(spark, d, "nation"), table(spark, d, "customer"), _onto(spark, d)
+    things = M.emit(n, T.iri("x:thing/", n.n_nationkey), ("rdf:type", T.iri("x:nation/", n.n_nationkey)))
+    return ontology.wrong_classes(things.unionByName(M.emit(c, T.iri("x:c/", c.c_custkey), ("x:of", T.iri("x:thing/", c.c_nationkey)))), "x:of", "x:region/1", ontology.hierarchy(o))

@@ -124,3 +124,10 @@ def fresh_slugs(new: DataFrame, known: DataFrame, slug: str, order: str) -> Data
     rows = new.join(names, F.col(slug) == F.col("_name")).join(top, F.col(slug) == F.col("_base"), "left").withColumn("_n", rank - F.when(F.col("_held"), 0).otherwise(1))
     numbered = F.concat(F.col(slug), F.lit("-"), (F.greatest(F.coalesce("_top", F.lit(1)), F.lit(1)) + F.col("_n")).cast("string"))
     return rows.withColumn("unique_slug", F.when(F.col("_n") == 0, F.col(slug)).otherwise(numbered)).drop("_name", "_held", "_base", "_top", "_n")
+
+
+def replaced_once(rows: DataFrame, replaced: DataFrame) -> DataFrame:
+    """``rows`` (cls ...) with ``target``: what the class was replaced by (cls, by; the
+    smallest of several), one hop and no further, else the class itself."""
+    step = replaced.groupBy("cls").agg(F.min("by").alias("by"))
+    return rows.join(step, "cls", "left").withColumn("target", F.coalesce("by", "cls")).drop("by")

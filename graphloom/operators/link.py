@@ -147,6 +147,11 @@ def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return store.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def remove(store: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The store without the vectors whose key ``gone`` names."""
+    return store.join(gone.select(key), key, "left_anti")
+
+
 def missing(wanted: DataFrame, store: DataFrame, key: str) -> DataFrame:
     """What has no vector yet, and only that, goes to the embedding service."""
     return wanted.join(store.select(key), key, "left_anti")

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.terms import is_literal, local_name
+from graphloom.functions.terms import datatype, is_literal, local_name
 
 _BLANK = "_:"
 #: Names that are sent to all executors at most.
@@ -187,3 +187,17 @@ def violations(triples: DataFrame, target: str, constraints: list[tuple[str, int
     counts = mine.groupBy("s").agg(*[F.count(F.when(F.col("p") == p, 1)).alias(f"n{i}") for i, (p, _, _) in enumerate(constraints)])
     rows = F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"n{i}").alias("n"), F.lit(lo).alias("lo"), F.lit(hi).cast("int").alias("hi")) for i, (p, lo, hi) in enumerate(constraints)])
     return counts.select("s", F.inline(rows)).filter("n < lo or n > hi").select("s", "path", "n")
+
+
+def wrong_datatypes(triples: DataFrame, path: str, kind: str) -> DataFrame:
+    """(s, path, o): values of a path, of any subject that has it, that aren't literals of
+    the datatype; a plain literal is a string."""
+    found = F.when(is_literal(F.col("o")), F.coalesce(datatype(F.col("o")), F.lit("xsd:string")))
+    return triples.filter((F.col("p") == path) & ~F.coalesce(found == kind, F.lit(False))).select("s", F.col("p").alias("path"), "o")
+
+
+def wrong_classes(triples: DataFrame, path: str, cls: str, up: DataFrame) -> DataFrame:
+    """(s, path, o): values of a path that are of neither the class nor one below it."""
+    below = up.filter(F.col("ancestor") == cls).select(F.col("descendant").alias("type")).unionByName(triples.sparkSession.createDataFrame([(cls,)], "type string")).distinct()
+    fits = triples.filter("p = 'rdf:type'").select(F.col("s").alias("o"), F.col("o").alias("type")).join(below, "type", "left_semi").select("o").distinct()
+    return triples.filter(F.col("p") == path).join(fits, "o", "left_anti").select("s", F.col("p").alias("path"), "o")
