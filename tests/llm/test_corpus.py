@@ -389,6 +389,32 @@ def test_near_copies_that_are_no_links_stay_apart(spark, monkeypatch, words, per
     assert minmax_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def copies_round_the_threshold(n):
+    """Near copies of one text, some of them no links, and a text without words."""
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    base, docs = r.choices(vocab, k=60), [(500, None)]
+    for k in range(n):
+        w = list(base)
+        for at in r.sample(range(60), k % 5):
+            w[at] = r.choice(vocab)
+        docs.append((k, " ".join(w)))
+    return docs
+
+
+def test_near_dedup_stage_with_more_links_than_are_broadcast(spark, monkeypatch):
+    """The pipeline's stage as on large tables, where nothing is sent to all executors."""
+    import corpus_pipeline as cp
+    from graphloom.llm import components, minmax_dedup
+
+    docs = copies_round_the_threshold(100)
+    want = {k for k, (_, c) in brute_components(docs, 5, 80).items() if k == c}
+    for module in (cp, components, minmax_dedup):
+        monkeypatch.setattr(module, "FEW", 0)
+    kept = cp.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert len(kept) == len(want) > 2 and {x.doc_id for x in kept} == want
+
+
 HARD = [(None, "one two three four five six seven"), (2**60 + 1, "one two three four five six seven"), (2**60 + 1, "one two three four five six seven"), (2**60 + 3, None), (5, ""), (6, "x " * 30000), (6, "long" * 9000), (7, "é ▁ 中\n\n🙂 <|endoftext|> 1.2.3.4")]
 CLASHES = ["id", "_key", "_text", "body", "_body", "score", "spans", "base", "digest", "salt", "n", "old", "row", "bags", "_size", "_bin", "component", "print", "predicted", "piece_ids"]
 
