@@ -415,6 +415,31 @@ def test_near_dedup_stage_with_more_links_than_are_broadcast(spark, monkeypatch)
     assert len(kept) == len(want) > 2 and {x.doc_id for x in kept} == want
 
 
+def test_op7_with_more_classes_than_are_broadcast(spark, monkeypatch, tmp_path):
+    """The query as on large tables, where nothing is sent to all executors."""
+    from graphloom.llm import components, minmax_dedup, queries
+
+    docs = copies_round_the_threshold(60)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for module in (components, minmax_dedup):
+        monkeypatch.setattr(module, "FEW", 0)
+    got = queries.op7_minmax(spark, str(tmp_path)).collect()
+    want = brute_components(docs, 3, 85)
+    assert len(got) == len(docs) and {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    assert 2 < len({c for _, c in want.values()}) < len(docs)
+
+
+def test_looked_up_columns_may_have_any_names(spark, monkeypatch):
+    from graphloom.llm import components
+
+    rows = spark.createDataFrame([(1, 10, "a"), (1, 11, "b"), (2, 12, "c")], "part long, Part0 long, x string")
+    table = spark.createDataFrame([(1, "y")], "part long, part1 string")
+    monkeypatch.setattr(components, "FEW", 0)
+    got = components.look_up(rows, table, "part", "Part0", 1, "left")
+    assert got.columns == ["part", "Part0", "x", "part1"]
+    assert sorted(map(tuple, got.collect())) == [(1, 10, "a", "y"), (1, 11, "b", "y"), (2, 12, "c", None)]
+
+
 HARD = [(None, "one two three four five six seven"), (2**60 + 1, "one two three four five six seven"), (2**60 + 1, "one two three four five six seven"), (2**60 + 3, None), (5, ""), (6, "x " * 30000), (6, "long" * 9000), (7, "é ▁ 中\n\n🙂 <|endoftext|> 1.2.3.4")]
 CLASHES = ["id", "_key", "_text", "body", "_body", "score", "spans", "base", "digest", "salt", "n", "old", "row", "bags", "_size", "_bin", "component", "print", "predicted", "piece_ids"]
 
