@@ -10,11 +10,13 @@ logit is the log-sum-exp of its windows', put on the scale of probabilities by a
 logistic fit on rows held back from training.
 
 Everything is numpy, forward and backward. Training takes a bounded sample of
-labelled rows on the driver; scoring runs on the executors over whole texts.
+labelled rows in one task, whose network is all that the driver gets; scoring runs on the
+executors over whole texts.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -389,7 +391,8 @@ def fit_on(
     """Train on at most ``rows`` labelled documents of ``chars`` characters together,
     picked by a hash of their keys among those that are not held out; each is taken
     whole. Null labels and keys are left out; of several labels for one key the largest
-    counts. Without labelled rows the network gives everything one score."""
+    counts. Without labelled rows the network gives everything one score. Neither the
+    texts nor what training needs beside them come to the driver."""
     ids = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
         .groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
@@ -399,8 +402,19 @@ def fit_on(
     found = docs.select(F.col(key).alias("_k"), text_or_empty(text).alias("_t")).join(F.broadcast(ids), "_k")
     sample = found.orderBy(F.xxhash64("_k"), "_k", "_t").limit(rows)
     so_far = F.sum(F.length("_t")).over(Window.orderBy(F.xxhash64("_k"), "_k", "_t").rowsBetween(Window.unboundedPreceding, 0))
-    sample = sample.withColumn("_c", so_far).filter(F.col("_c") <= chars).select("_t", "_y").collect()
-    return train([r["_t"] for r in sample], [r["_y"] for r in sample])
+    sample = sample.withColumn("_c", so_far).filter(F.col("_c") <= chars).select("_t", "_y")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        labels: list[int] = []
+        for b in batches:
+            texts += b.column("_t").to_pylist()
+            labels += b.column("_y").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["net"])
+
+    # the window has put all rows into one partition, in order; a plan known to be empty has none
+    made = small_batches(sample).mapInArrow(fit, "net binary").collect()
+    return pickle.loads(made[0]["net"]) if made else train([], [])
 
 
 _SCORERS: dict[int, Scorer] = {}

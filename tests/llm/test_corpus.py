@@ -171,6 +171,30 @@ def test_toxicity_learns_words_and_keeps_columns(spark):
     assert train(["a"], [0]).scale[0] == 0.0
 
 
+def test_toxicity_trains_in_a_task_not_on_the_driver(spark, monkeypatch):
+    from graphloom.llm import toxicity
+
+    texts = [" ".join(["la", "mi", "so", "vile" if i % 3 == 0 else "re"] * (1 + i % 5)) for i in range(90)]
+    docs = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (90, "no label"), (91, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, 1 - min(1, i % 3)) for i in range(90)), (91, 0)], "doc_id long, toxic int").repartition(5)
+    taken = docs.join(labels, "doc_id").filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()
+    taken = [(r.text or "", r.toxic) for r in taken]
+
+    def here(*_):
+        raise AssertionError("texts of the sample came to the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "_Vocabulary", here)  # workers import their own
+        net = toxicity.fit_on(docs, labels)
+        short = toxicity.fit_on(docs, labels, rows=40, chars=1000)
+        none = toxicity.fit_on(docs, labels.limit(0)), toxicity.fit_on(docs.limit(0), labels), toxicity.fit_on(docs.filter("doc_id = 90"), labels)
+    few = [i for i in range(40) if sum(len(t) for t, _ in taken[: i + 1]) <= 1000]
+    for got, rows in ((net, taken), (short, [taken[i] for i in few])):
+        same = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+        assert all(np.allclose(got.p[k], same.p[k], atol=1e-4) for k in same.p) and np.allclose(got.scale, same.scale, atol=1e-3)
+    assert all(n.scale == (0.0, 0.0) and not n.p["out"].any() for n in none)
+
+
 def test_toxicity_reads_long_words_to_their_end():
     from graphloom.llm.toxicity import LONG, Net, _gram_ids, logits_of, words_of
 
