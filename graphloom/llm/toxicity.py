@@ -113,9 +113,18 @@ class _Vocabulary:
         names = _Names()
         # one text's words at a time: as strings those of all texts take much memory
         self.docs = [np.array([names[w] for w in words_of(t)], np.int32) for t in texts]
-        self.ids = _word_ids(list(names))
-        self.grams, self.at = _gram_ids(list(names))
-        self.counts = np.diff(np.append(self.at, len(self.grams)))
+        words, ids, grams, counts = list(names), [], [], []
+        del names
+        for i in range(0, len(words), 20_000):
+            lot = words[i : i + 20_000]
+            found, at = _gram_ids(lot)
+            ids.append(_word_ids(lot))
+            grams.append(found.astype(np.uint16))  # less than GRAMS
+            counts.append(np.diff(np.append(at, len(found))))
+        none = [np.empty(0, np.int64)]
+        self.ids, self.counts = np.concatenate(ids or none), np.concatenate(counts or none)
+        self.grams = np.concatenate(grams or [np.empty(0, np.uint16)])
+        self.at = np.cumsum(self.counts) - self.counts
 
     def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Trigrams of ``words`` on end, and how many each has."""
