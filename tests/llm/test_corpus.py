@@ -195,6 +195,21 @@ def test_toxicity_trains_in_a_task_not_on_the_driver(spark, monkeypatch):
     assert all(n.scale == (0.0, 0.0) and not n.p["out"].any() for n in none)
 
 
+def test_toxicity_hashes_words_in_lots():
+    import tracemalloc
+
+    from graphloom.llm.toxicity import _gram_ids, _Vocabulary, _word_ids
+
+    words = [f"word{i:x}" for i in range(60_000)]
+    tracemalloc.start()
+    known = _Vocabulary([" ".join(words)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    grams, at = _gram_ids(words)
+    assert (known.grams == grams).all() and (known.at == at).all() and (known.ids == _word_ids(words)).all()
+    assert known.counts.sum() == len(grams) and peak < 18_000_000
+
+
 def test_toxicity_reads_long_words_to_their_end():
     from graphloom.llm.toxicity import LONG, Net, _gram_ids, logits_of, words_of
 
