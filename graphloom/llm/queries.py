@@ -96,3 +96,11 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat_ws("/", F.lit("corpus"), upper, lower, F.concat(F.lit("doc"), i.cast("string"))))
     )
     return scan(docs.select("doc_id", "text", name.alias("path")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first eight components, each of unit variance. A deviation
+    that a long can't hold is null."""
+    from graphloom.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
