@@ -104,3 +104,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.whitening import whiten
 
     return whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words' number, form and root."""
+    from graphloom.llm.spelling import group_variants
+
+    return group_variants(read(spark, sf_dir, "documents"))

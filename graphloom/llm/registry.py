@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_binary_fuse": q.op9_binary_fuse,
     "op10_pii": q.op10_pii,
     "op12_whitening": q.op12_whitening,
+    "op13_spelling": q.op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
