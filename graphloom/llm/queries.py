@@ -111,3 +111,10 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.spelling import group_variants
 
     return group_variants(read(spark, sf_dir, "documents"))
+
+
+def op11_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 400 bytes that start elsewhere too."""
+    from graphloom.llm.suffix_dedup import repeat_digests
+
+    return repeat_digests(read(spark, sf_dir, "documents"))

@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": q.op8_packing,
     "op9_binary_fuse": q.op9_binary_fuse,
     "op10_pii": q.op10_pii,
+    "op11_suffix_runs": q.op11_suffix_runs,
     "op12_whitening": q.op12_whitening,
     "op13_spelling": q.op13_spelling,
 }
