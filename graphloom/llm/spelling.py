@@ -51,7 +51,7 @@ def count_words(df: DataFrame, key: str = "doc_id", text: str = "text", shortest
 
 
 def _powers(n: int) -> np.ndarray:
-    return np.concatenate([[1], np.cumprod(np.full(n, BASE, np.uint64), dtype=np.uint64)]).astype(np.uint64)
+    return np.cumprod(np.full(n + 1, BASE, np.uint64), dtype=np.uint64)
 
 
 def _codes(words: list[str]) -> np.ndarray:
