@@ -296,7 +296,8 @@ def equal_windows(distinct: dict[tuple[bytes, int], int], core: int, width: int)
             if len(same) > 1:
                 for x in same:
                     if distinct[x] == 1:
-                        out[x].append((t, end - 1))
+                        before = out[x].pop()[0] if out[x] and out[x][-1][1] == t - 1 else t
+                        out[x].append((before, end - 1))
     return out
 
 
