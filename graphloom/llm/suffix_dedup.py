@@ -149,7 +149,9 @@ def _shared_texts(docs: DataFrame, length: int) -> DataFrame:
     hash occurs again, with these cells' places and the text's number of rows."""
     cells = materialize(_cells_of(docs.filter(F.length("bytes") >= length), length), "cells")
     each = cells.select("id", F.inline(F.arrays_zip("places", "cores")))
-    again = each.groupBy("cores").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cores")
+    # written, so that the join below has two plain exchanges, whose hot parts Spark can split
+    again = materialize(each.groupBy("cores").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cores"), "cores")
+    again = F.broadcast(again) if again.count() <= FEW else again
     places = materialize(each.join(again, "cores", "left_semi").groupBy("id").agg(F.collect_set("places").alias("places")), "places")
     if places.count() <= FEW:  # then texts without such cells stay where they are
         docs = docs.join(F.broadcast(places.select("id")), "id", "left_semi")
