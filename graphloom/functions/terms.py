@@ -256,17 +256,17 @@ def json_text(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(text.rlike(r"[^\x20-\x7e]"), slow).otherwise(plain), F.lit('"'))
 
 
-def binding_hash(template: str, slots: dict[str, Column], many: set[str] = frozenset()) -> Column:
+def binding_hash(template: str, slots: dict[str, Column], many: set[str] = frozenset(), lists: bool = True) -> Column:
     """16 hex digits of the hash of a template's bindings in canonical JSON: keys sorted,
     each value a list of the terms' texts, empty where a slot has none. Slots in ``many``
-    are arrays, whose order counts."""
+    are arrays, whose order counts. Without ``lists`` each value is one text."""
     said = lambda c: json_text(F.coalesce(lexical(c), c))
     entries = []
     for name in sorted(slots):
         if entries:
             entries.append(F.lit(", "))
         inner = F.array_join(F.transform(slots[name], said), ", ") if name in many else said(slots[name])
-        entries += [F.lit(f'"{name}": ['), F.coalesce(inner, F.lit("")), F.lit("]")]
+        entries += [F.lit(f'"{name}": ' + "[" * lists), F.coalesce(inner, F.lit("" if lists else "null")), F.lit("]" * lists)]
     return F.substring(F.sha2(F.concat(F.lit(template + "|{"), *entries, F.lit("}")), 256), 1, 16)
 
 

@@ -55,9 +55,11 @@ def _star(triples: DataFrame, subject: str, group: Sequence[Pattern]) -> DataFra
     return out.select(subject, *[F.col(c).alias(v) for v, c in keep.items()])
 
 
-def match(triples: DataFrame, patterns: Iterable[Pattern], single_valued: Iterable[str] = ()) -> DataFrame:
+def match(triples: DataFrame, patterns: Iterable[Pattern], single_valued: Iterable[str] = (), given: DataFrame | None = None) -> DataFrame:
     """All solutions, one column per variable. The triples are a set; ``single_valued``
-    names predicates with one object per subject."""
+    names predicates with one object per subject. ``given`` has values that variables, its
+    columns, are bound to beforehand: solutions that agree with one of its rows, as often as
+    rows agree; the patterns are matched along from there."""
     todo, single = list(dict.fromkeys(patterns)), set(single_valued)
     if not todo:
         raise ValueError("no patterns")
@@ -77,6 +79,8 @@ def match(triples: DataFrame, patterns: Iterable[Pattern], single_valued: Iterab
         free = variables(p)
         is_test = len(free) == 1 and p[1] == "rdf:type" and bound_elsewhere(free[0], p)
         (tests if is_test else parts).append((free, scan(triples, p), is_test))
+    if given is not None:
+        parts.insert(0, (given.columns, given, False))
     solved: list[tuple[set[str], DataFrame]] = []
     while parts:
         free, df, _ = parts.pop(0)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.terms import binding_hash
+from graphloom.functions.terms import binding_hash, is_literal, literal
 from graphloom.operators import bgp
 
 
@@ -17,18 +17,23 @@ class Slot:
     name: str
     required: bool = True
     multi: bool = False
+    range: str | None = None
 
 
 @dataclasses.dataclass(frozen=True)
 class Template:
     """``lowered`` is the pattern in full; variables that are no slot are intermediate.
-    ``anchor`` names the slot that is the subject, if one is."""
+    ``lifted`` is set for the pattern form: the short pattern that stands for the lowered
+    one, whose variables are the slots. ``datatypes`` are those of variables that stand for
+    literals."""
 
     uri: str
     slug: str
     subject: str
     slots: tuple[Slot, ...]
     lowered: tuple[bgp.Pattern, ...]
+    lifted: tuple[bgp.Pattern, ...] = ()
+    datatypes: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self):
         if not self.lowered:
@@ -125,11 +130,12 @@ def partial(template: Template, triples: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
-def anchor(template: Template, bindings: DataFrame) -> Column:
-    """The name of an invocation: its template and the hash of what fills its slots."""
+def anchor(template: Template, bindings: DataFrame, base: Column | str = "urn:tpl-instance/") -> Column:
+    """The name of an invocation: its template and the hash of what fills its slots, after
+    ``base``."""
     slots = {s.name: F.col(s.name) if s.name in bindings.columns else F.lit(None).cast("string") for s in template.slots}
     many = {n for n in slots if n in bindings.columns and bindings.schema[n].dataType.typeName() == "array"}
-    return F.concat(F.lit(f"urn:tpl-instance/{template.slug}-"), binding_hash(template.slug, slots, many))
+    return F.concat(F.lit(base) if isinstance(base, str) else base, F.lit(f"{template.slug}-"), binding_hash(template.slug, slots, many, not template.lifted))
 
 
 def repeated_terms(template: Template) -> set[str]:
@@ -156,16 +162,20 @@ def _term(template: Template, bindings: DataFrame, term: str, own: set[str]) ->
     return F.concat(name, F.lit("-"), F.col("_at").cast("string")) if term in own else name
 
 
-def expand(template: Template, bindings: DataFrame) -> DataFrame:
-    """Lowered triples of invocations; patterns of slots without a value are left out.
-    What hangs on the many-valued slot is written once for each of its values."""
-    multi, own = template.multi, repeated_terms(template)
-    based = bindings.withColumn("_base", anchor(template, bindings))
+def _written(template: Template, rows: DataFrame, patterns: list[bgp.Pattern], own: set[str], keep: tuple[str, ...]) -> DataFrame:
+    """Patterns filled in for each row, which knows its anchor; those that lack a value are
+    left out."""
+    terms = F.array(*[F.struct(*[_term(template, rows, t, own).alias(c) for c, t in zip("spo", p)]) for p in patterns])
+    return rows.select(*keep, F.inline(terms)).dropna(subset=["s", "p", "o"])
 
-    def written(rows: DataFrame, patterns: list[bgp.Pattern]) -> DataFrame:
-        terms = F.array(*[F.struct(*[_term(template, rows, t, own).alias(c) for c, t in zip("spo", p)]) for p in patterns])
-        return rows.select(F.inline(terms)).dropna()
 
+def expand(template: Template, bindings: DataFrame, base: Column | str = "urn:tpl-instance/", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lowered triples of invocations; patterns of slots without a value are left out.
+    What hangs on the many-valued slot is written once for each of its values. Columns
+    ``keep``, which are no slots, go with the triples."""
+    multi, own = template.multi, repeated_terms(template)
+    based = bindings.withColumn("_base", anchor(template, bindings, base))
+    written = lambda rows, patterns: _written(template, rows, patterns, own, keep)
     each = [p for p in template.lowered if own & set(p)]
     once = [p for p in template.lowered if not own & set(p)]
     parts = [written(based, once)] if once else []
@@ -174,17 +184,20 @@ def expand(template: Template, bindings: DataFrame) -> DataFrame:
         others = [c for c in based.columns if c != multi]
         rows = based.select(*others, F.posexplode(multi).alias("_at", multi)) if many else based.withColumn("_at", F.lit(0))
         parts.append(written(rows, each))
-    return reduce(lambda a, b: a.unionByName(b), parts).distinct() if parts else based.select(*[F.lit("").alias(c) for c in "spo"]).limit(0)
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct() if parts else based.select(*keep, *[F.lit("").alias(c) for c in "spo"]).limit(0)
 
 
-def lift(template: Template, bindings: DataFrame) -> DataFrame:
-    """Lifted triples: the anchor's type and one triple for every value of a slot."""
+def lift(template: Template, bindings: DataFrame, base: Column | str = "urn:tpl-instance/", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lifted triples: the anchor's type and one triple for every value of a slot, or, in
+    pattern form, the lifted patterns filled in."""
+    if template.lifted:
+        return _written(template, bindings.withColumn("_base", anchor(template, bindings, base)), list(template.lifted), set(), keep).distinct()
     slots = [s.name for s in template.slots if s.name in bindings.columns]
     listed = lambda n: F.col(n) if bindings.schema[n].dataType.typeName() == "array" else F.array(n)
     said = lambda n: lambda v: F.struct(F.lit(f"urn:tpl/{template.slug}/slot/{n}").alias("p"), v.alias("o"))
     kind = F.array(F.struct(F.lit("rdf:type").alias("p"), F.lit(template.uri).alias("o")))
     pairs = F.concat(kind, *[F.transform(F.coalesce(listed(n), F.array().cast("array<string>")), said(n)) for n in slots])
-    return bindings.select(anchor(template, bindings).alias("s"), F.inline(pairs)).dropna().distinct()
+    return bindings.select(*keep, anchor(template, bindings, base).alias("s"), F.inline(pairs)).dropna(subset=["s", "p", "o"]).distinct()
 
 
 def fold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
@@ -196,11 +209,21 @@ def fold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
     return triples.join(gone, ["s", "p", "o"], "left_anti").unionByName(made).distinct()
 
 
+def _matched(patterns: tuple[bgp.Pattern, ...], found: DataFrame) -> DataFrame:
+    """The triples that solutions of ``patterns`` rest on."""
+    term = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
+    return found.select(F.inline(F.array(*[F.struct(*[term(t).alias(c) for c, t in zip("spo", p)]) for p in patterns]))).distinct()
+
+
 def unfold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
     """The other way: lifted invocations read back, all values of a many-valued slot
     with them, and written out in full."""
     out = triples
     for t in templates:
+        if t.lifted:
+            found = bgp.match(triples, t.lifted)
+            out = out.join(_matched(t.lifted, found), ["s", "p", "o"], "left_anti").unionByName(expand(t, found.select(*[s.name for s in t.slots])))
+            continue
         mine = triples.join(triples.filter((F.col("p") == "rdf:type") & (F.col("o") == t.uri)).select("s"), "s", "left_semi")
         value = lambda s: F.when(F.col("p") == f"urn:tpl/{t.slug}/slot/{s.name}", F.col("o"))  # noqa: B023, E731
         cols = [(F.array_sort(F.collect_set(value(s))) if s.multi else F.max(value(s))).alias(s.name) for s in t.slots]
@@ -208,6 +231,23 @@ def unfold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def coerced(template: Template, bindings: DataFrame) -> DataFrame:
+    """``bindings`` whose plain texts are terms: literals, of the slot's range, where that
+    is a datatype, else of the datatype that the patterns tell of the variable; names where
+    they tell none. What is a literal already stays."""
+    told = dict(template.datatypes)
+    out = bindings
+    for s in (s for s in template.slots if s.name in bindings.columns):
+        literal_range = s.range is not None and (s.range.startswith("xsd:") or s.range == "rdfs:Literal")
+        kind = s.range if literal_range else told.get(s.name) if s.range is None else None
+        if kind is None:
+            continue
+        term = lambda v: F.when(is_literal(v), v).otherwise(literal(v, None if kind == "rdfs:Literal" else kind))  # noqa: B023, E731
+        many = bindings.schema[s.name].dataType.typeName() == "array"
+        out = out.withColumn(s.name, F.transform(s.name, term) if many else term(F.col(s.name)))
+    return out
+
+
 def validate(template: Template, bindings: DataFrame, strict: bool = True) -> DataFrame:
     """``bindings`` whose required slots all have a value and whose single-valued slots
     have one at most. Columns that are no slot are an error; with ``strict`` so are rows

@@ -847,4 +847,4 @@ def emit_diagram(spark, d):
     return emit.diagram(M.geography(spark, d))
 
 
-from graphloom import entity_queries  # noqa: E402, F401  registers its queries
+from graphloom import entity_queries, template_queries  # noqa: E402, F401  register their queries
