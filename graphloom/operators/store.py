@@ -19,6 +19,27 @@ def materialize(log: DataFrame, at_seq: int | None = None) -> DataFrame:
     return rows.groupBy(*KEYS).agg(last).filter(~F.col("last.gone")).select(*KEYS)
 
 
+def resume(state: DataFrame, steps: DataFrame, log: DataFrame, at_seq: int | None = None) -> DataFrame:
+    """``materialize`` from a kept ``state`` that holds, of each scope, the steps up to its
+    number in ``steps`` (scope, last): only later rows of ``log`` are looked at, so it may lack
+    the others. A scope that ``steps`` doesn't name is read whole."""
+    rows = log if at_seq is None else log.filter(F.col("seq") <= at_seq)
+    tail = rows.join(steps.select("scope", "last"), "scope", "left").filter(F.col("last").isNull() | (F.col("seq") > F.col("last")))
+    last = tail.groupBy(*KEYS).agg(F.max(F.struct("seq", (F.col("op") == "removed").alias("gone"))).alias("last"))
+    kept = state.select(*KEYS).withColumn("held", F.lit(True))
+    # one exchange by triple for both sides
+    both = kept.join(last, KEYS, "full").filter(F.when(F.col("last").isNull(), F.col("held")).otherwise(~F.col("last.gone")))
+    return both.select(*KEYS)
+
+
+def compact(log: DataFrame, up_to: int) -> DataFrame:
+    """The log with its steps up to ``up_to`` reduced to the operations that put there what
+    held after it, under their own numbers. States from ``up_to`` on stay the same."""
+    rest = [c for c in log.columns if c not in KEYS]
+    old = log.filter(F.col("seq") <= up_to).groupBy(*KEYS).agg(F.max_by(F.struct(*rest), F.struct("seq", (F.col("op") == "removed").alias("gone"))).alias("x"))
+    return old.select(*KEYS, "x.*").filter("op = 'added'").select(*log.columns).unionByName(log.filter(F.col("seq") > up_to))
+
+
 def diff(log: DataFrame, a: int, b: int) -> DataFrame:
     """What step ``b`` has over step ``a`` (``added``) and the other way round, found
     in one pass over the log instead of two states and two differences."""

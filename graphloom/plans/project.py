@@ -14,6 +14,7 @@ from graphloom.operators import consolidate, emit, entities, store
 from graphloom.operators.ontology import materialized
 from graphloom.plans.tasks import TaskGraph
 from graphloom.sources.log import SCHEMA, append, ntriple, read_log
+from graphloom.sources.snapshots import Snapshots
 
 #: Fields of a source's record and the predicates that say them.
 FIELDS = {n: f"x:{n}" for n in ("slug", "path", "hash", "mime", "size", "added")}
@@ -22,6 +23,7 @@ FIELDS = {n: f"x:{n}" for n in ("slug", "path", "hash", "mime", "size", "added")
 class Project:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.kept = Snapshots(spark, f"{self.root}/snapshots/kept", f"{self.root}/log")
 
     def _there(self, path: str) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,12 +35,18 @@ class Project:
         if self._there(path) and not force:
             raise ValueError(f"{self.root} holds a project")
         self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(path)
+        self._drop(f"{self.root}/snapshots")  # of what was there before
+
+    def _drop(self, path: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
     def log(self) -> DataFrame:
         return read_log(self.spark, f"{self.root}/log")
 
     def state(self, at_seq: int | None = None) -> DataFrame:
-        return store.materialize(self.log(), at_seq)
+        """From the nearest kept state and the log's tail."""
+        return self.kept.state(at_seq)
 
     def record(self, step: str, added: DataFrame | None = None, removed: DataFrame | None = None, agent: str | None = None) -> int:
         """Append what changes: additions (scope, s, p, o) that don't hold, removals that
@@ -120,11 +128,13 @@ class Project:
 
     def snapshot(self, at_seq: int | None = None) -> str | None:
         """N-Triples of every scope, a folder each, of the end or after a step; nothing is
-        written where nothing holds. The steps behind the one of the end are kept beside it."""
+        written where nothing holds. The steps behind the one of the end are kept beside it,
+        and the state itself, from which later ones start."""
         steps = materialized(self._steps())
         state = materialized(self.state(at_seq))
         if state.isEmpty():
             return None
+        self.kept.write(at_seq)
         path = f"{self.root}/snapshots/" + ("graph" if at_seq is None else f"graph.{at_seq:03d}")
         state.select("scope", ntriple().alias("value")).write.mode("overwrite").partitionBy("scope").text(path)
         if at_seq is None:

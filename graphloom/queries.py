@@ -199,6 +199,28 @@ def delta_materialize_at_seq(spark, d):
     return store.materialize(M.event_log(spark, d), 2000)
 
 
+def _kept(log, n):
+    """The state after step ``n`` and, of each scope, its last step until then."""
+    return store.materialize(log, n), log.filter(F.col("seq") <= n).groupBy("scope").agg(F.max("seq").alias("last"))
+
+
+@query("delta_resume_head", f"WITH {LOG} {_state('9223372036854775807')}")
+def delta_resume_head(spark, d):
+    log = M.event_log(spark, d)
+    return store.resume(*_kept(log, 2000), log.filter("seq > 1000"))
+
+
+@query("delta_resume_at_seq", f"WITH {LOG} {_state('700')}")
+def delta_resume_at_seq(spark, d):
+    log = M.event_log(spark, d)
+    return store.resume(*_kept(log, 300), log, 700)
+
+
+@query("delta_compact", f"WITH {LOG}, old AS ({_state('500')}) SELECT scope, s, p, o, max(seq) AS seq, true AS old FROM log JOIN old USING (scope, s, p, o) WHERE seq <= 500 AND op = 'added' GROUP BY ALL UNION ALL SELECT scope, s, p, o, seq, false FROM log WHERE seq > 500")
+def delta_compact(spark, d):
+    return store.compact(M.event_log(spark, d), 500).select("scope", "s", "p", "o", "seq", (F.col("seq") <= 500).alias("old"))
+
+
 @query("delta_diff_added", f"WITH {LOG} ({_state('5000')}) EXCEPT ({_state('2000')})")
 def delta_diff_added(spark, d):
     return store.diff(M.event_log(spark, d), 2000, 5000).filter("change = 'added'").drop("change")
