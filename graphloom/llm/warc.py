@@ -9,6 +9,7 @@ archive again gives the same records. Expressions only; nothing is shuffled.
 
 from __future__ import annotations
 
+import html.entities
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +18,37 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import text_or_empty
 
 _CRLF = "\r\n"
-#: What is taken out of a page with its contents, and what starts a new line.
-DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
-BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|nav|section|header|footer|blockquote|body|html|title)\b[^>]*>"
-TAGS = r"<[!/A-Za-z][^>]*>"
-#: Entities that are decoded; the ampersand comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: What is taken out of a page with its contents: to its end, or to the page's where it has
+#: none; a head ends where the body or another head begins. Every pattern here stops at the next
+#: ``<`` or takes what it has passed, so that no part of a page is gone over again and again.
+DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*+>|\z)|<style\b.*?(?:</style\s*+>|\z)|<head\b(?:(?!</head|<body\b|<head\b).)*+(?:</head\s*+>)?"
+#: The rest of a tag: a quoted value may hold ``>``. Tags with thousands of ``=`` are text.
+_REST = r"""(?:[^<>=]++|=\s*+(?:"[^"<]*+"|'[^'<]*+')?+){0,2000}+>"""
+#: What starts a new line.
+BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|nav|section|header|footer|blockquote|body|html|title)\b" + _REST
+TAGS = r"<[!/A-Za-z]" + _REST
+#: A reference to a character, by number or by one of HTML's names.
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMED = {f"&{name};": chr(code) for name, code in html.entities.name2codepoint.items()} | {"&apos;": "'", "&nbsp;": " "}
+
+
+def decoded(text: Column) -> Column:
+    """Character references as characters, each once; unknown names stay. Numbers that stand
+    for no character are the replacement character."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        hexed, digits = piece.rlike("^&#[xX]"), F.regexp_replace(piece, "[^0-9A-Fa-f]", "")
+        code = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        # a character from its UTF-32 bytes
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        number = F.when(bad, F.lit("�")).when(code == 160, " ").otherwise(char)
+        return F.when(piece.startswith("&#"), number).otherwise(F.coalesce(names[piece], piece))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"{ENTITY}|[^&]++|&"), 0)
+    walk = F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) > 2, F.when(p.startswith("&"), one(p)).otherwise(p)).otherwise(p)), "")
+    return F.when(text.contains("&"), walk).otherwise(text)
 
 
 def record_id(*parts: Column) -> Column:
@@ -36,13 +62,12 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: scripts, styles, head and comments go, block elements end
-    lines, entities are decoded, white space collapses, empty lines vanish."""
-    out = F.regexp_replace(html, DROPPED, " ")
-    out = F.regexp_replace(F.regexp_replace(out, BREAKS, "\n"), TAGS, "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+def plain_text(page: Column) -> Column:
+    """The text of a page: scripts, styles, head and comments go, to the page's end where
+    they aren't closed; block elements end lines, references to characters are decoded once,
+    white space collapses, empty lines vanish. Time grows with the page's length."""
+    out = F.regexp_replace(page, DROPPED, " ")
+    out = decoded(F.regexp_replace(F.regexp_replace(out, BREAKS, "\n"), TAGS, ""))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
 
@@ -69,9 +94,9 @@ def derive(responses: DataFrame) -> DataFrame:
     conversion. Repeated responses give repeated records, with equal ids.
     """
     payload = text_or_empty("payload")
-    title = F.trim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title\b[^>]*>(.*?)</title", 1), r"\s+", " "))
-    language = F.regexp_extract(payload, r"(?is)<html\b[^>]*\blang=[\"']?([A-Za-z-]+)", 1)
-    links = F.regexp_count(payload, F.lit(r"(?i)<a\b[^>]*\bhref="))
+    title = F.trim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title\b[^<>]*+>((?:(?!</title|<title\b).)*+)</title", 1), r"\s+", " "))
+    language = F.regexp_extract(payload, r"(?is)<html\b[^<>]*?\blang=[\"']?([A-Za-z-]+)", 1)
+    links = F.regexp_count(payload, F.lit(r"(?i)<a\b[^<>]*?\bhref="))
     text = plain_text(payload)
     fields = F.concat_ws(
         _CRLF,
