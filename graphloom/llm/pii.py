@@ -15,6 +15,7 @@ the trees as CASE expressions, selection and redaction.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ ADDED = ("iban", "ssn", "secret", "birth", "local_phone")
 BASE_PATTERN = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What must stand in a text for a base pattern to be worth trying.
@@ -246,20 +247,41 @@ def _matches(body: Column, pattern: str) -> Column:
     ``body``; no pattern matches the character that takes its place.
     """
     parts = F.split(F.regexp_replace(body, F.lit(f"({pattern})"), F.lit(f"{_MARK}$1{_MARK}")), _MARK, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    walk = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), empty.alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"),
-            (~s["hit"]).alias("hit"),
-            F.when(s["hit"], F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"), p.alias("text")))))
-            .otherwise(s["out"])
-            .alias("out"),
-        ),
+    def span(x: Column) -> Callable[[Column, Column], Column]:
+        """The part at ``i`` with its surroundings, from the parts next to it: three matches
+        have more characters than are looked at."""
+
+        def one(p: Column, i: Column) -> Column:
+            first = F.greatest(i - 6, F.lit(0))
+            before = F.substring(F.array_join(F.slice(x["parts"], first + 1, i - first), ""), -CONTEXT, CONTEXT)
+            after = F.substring(F.array_join(F.slice(x["parts"], i + 2, F.lit(2)), ""), 1, 1)
+            return F.struct(i.alias("i"), (x["ends"][i] - F.length(p)).alias("start"), x["ends"][i].alias("end"), p.alias("text"), before.alias("before"), after.alias("after"))
+
+        return one
+
+    every = _with(_with(parts, lambda p: F.struct(p.alias("parts"), _sums(F.transform(p, F.length)).alias("ends"))), lambda x: F.filter(F.transform(x["parts"], span(x)), lambda s: s["i"] % 2 == 1))
+    return F.transform(every, lambda s: s.dropFields("i"))
+
+
+def _sums(numbers: Column) -> Column:
+    """Running sums. Within chunks, and over the chunks: an array that grows by one is
+    copied each time, so a chunk has as many numbers as there are chunks."""
+    running = lambda xs: F.aggregate(
+        xs,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")),
         lambda s: s["out"],
     )
-    return walk
+    m = lambda x: F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / m(x)).cast("int"), F.lit(0))), lambda c: running(F.slice(x, c * m(x) + 1, m(x))))
+    lifted = lambda y: F.flatten(F.transform(y["cut"], lambda c, i: _with(F.when(i > 0, y["before"][i - 1]).otherwise(0), lambda b: F.transform(c, lambda e: e + b))))
+    both = lambda c: F.struct(c.alias("cut"), running(F.transform(c, lambda x: F.coalesce(F.get(x, F.size(x) - 1), F.lit(0)))).alias("before"))
+    return _with(numbers, lambda x: _with(_with(cut(x), both), lifted))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often its expression is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _digits(text: Column) -> Column:
@@ -303,30 +325,31 @@ def _typed(spans: Column, kind: str) -> Column:
     )
 
 
-def _scored(body: Column, spans: Column, kind: str, model: Boosted) -> Column:
+def _scored(spans: Column, kind: str, model: Boosted) -> Column:
     """The generator's spans with the trees' scores, those above the threshold."""
 
-    def one(s: Column) -> Column:
+    def features(s: Column) -> Column:
         t, n = s["text"], F.greatest(F.length(s["text"]), F.lit(1))
-        before = F.substring(body, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        after = F.substring(body, s["end"] + 1, F.lit(1))
-        features = [
+        told = [
             F.length(t),
             F.length(F.regexp_replace(t, "[^0-9]", "")) / n,
             F.length(F.regexp_replace(t, "[^A-Z]", "")) / n,
             F.length(F.regexp_replace(t, "[^a-z]", "")) / n,
             F.length(F.regexp_replace(t, "[A-Za-z0-9]", "")) / n,
-            before.rlike(CUES[kind]).cast("int"),
-            before.rlike(ASSIGNED).cast("int"),
-            (~after.rlike("[A-Za-z0-9]")).cast("int"),
+            s["before"].rlike(CUES[kind]).cast("int"),
+            s["before"].rlike(ASSIGNED).cast("int"),
+            (~s["after"].rlike("[A-Za-z0-9]")).cast("int"),
             F.size(F.array_distinct(F.split(t, ""))) / n,
-            *[F.lit(int(kind == k)) for k in ADDED],
         ]
-        return F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), t.alias("text"), model.column(features).alias("score")
-        )
+        return F.struct(s.alias("s"), *[f.alias(f"f{i}") for i, f in enumerate(told)])
 
-    return F.filter(F.transform(spans, one), lambda s: s["score"] >= F.lit(model.thresholds[kind]))
+    def score(x: Column) -> Column:
+        told = [x[f"f{i}"] for i in range(len(FEATURES) - len(ADDED))] + [F.lit(int(kind == k)) for k in ADDED]
+        s = x["s"]
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), model.column(told).alias("score"))
+
+    # first all features of a span, then the trees, which name each of them many times
+    return F.filter(F.transform(F.transform(spans, features), score), lambda s: s["score"] >= F.lit(model.thresholds[kind]))
 
 
 _NO_BASE = "array<struct<kind:string,start:int,end:int,text:string>>"
@@ -356,18 +379,63 @@ def find_pii(df: DataFrame, text: str = "text", model: Boosted | None = None) ->
     out = out.withColumn("base", F.concat(*[F.col(own + k) for k in BASE])).drop(*[own + k for k in BASE])
     for kind in ADDED:
         out = out.withColumn(own + kind, F.when(numeric & F.col(body).rlike(ADDED_PATTERN[kind]), _matches(F.col(body), ADDED_PATTERN[kind])))
-        out = out.withColumn(own + kind, F.coalesce(_scored(F.col(body), F.col(own + kind), kind, model), F.array().cast(_NO_MORE)))
+        out = out.withColumn(own + kind, F.coalesce(_scored(F.col(own + kind), kind, model), F.array().cast(_NO_MORE)))
     out = out.withColumn(more, F.concat(*[F.col(own + k) for k in ADDED])).drop(*[own + k for k in ADDED])
     return out.withColumn("spans", F.concat("base", _selected(F.col(more), F.col("base")))).drop(body, more)
 
 
+def _beaten(spans: Column, kinds: tuple[str, ...], rank: Callable[[Column], Column]) -> Column:
+    """``spans`` without those that meet one of smaller rank; spans of one kind must not
+    meet. By kind, then start.
+
+    One pass by start: of each kind the last span is held, with whether it is beaten, since
+    of those that began before, no other can still meet what comes. What became of a kind's
+    spans is written down as a text of zeros and ones: the state stays small.
+    """
+    meets = lambda held, s: F.coalesce(held["end"] > s["start"], F.lit(False))
+    said = lambda held: F.when(held["beaten"], "1").otherwise("0")
+
+    def step(a: Column, x: Column) -> Column:
+        s, own, beaten, fields = x["s"], x["r"], F.lit(False), []
+        for k in kinds:
+            beaten = beaten | (meets(a[k], s) & F.coalesce(a[k]["rank"] < own, F.lit(False)))
+        for k in kinds:
+            loses = a[k]["beaten"] | (meets(a[k], s) & F.coalesce(own < a[k]["rank"], F.lit(False)))
+            kept = F.when(a[k].isNotNull(), F.struct(a[k]["end"].alias("end"), a[k]["rank"].alias("rank"), loses.alias("beaten")))
+            fields.append(F.when(s["kind"] == k, F.struct(s["end"].alias("end"), own.alias("rank"), beaten.alias("beaten"))).otherwise(kept).alias(k))
+            fields.append(F.when((s["kind"] == k) & a[k].isNotNull(), F.concat(a[f"of_{k}"], said(a[k]))).otherwise(a[f"of_{k}"]).alias(f"of_{k}"))
+        return F.struct(*fields)
+
+    none = F.lit(None).cast(f"struct<end:int,rank:{_RANK},beaten:boolean>")
+    start = F.struct(*[x for k in kinds for x in (none.alias(k), F.lit("").alias(f"of_{k}"))])
+    end = lambda a: F.struct(*[F.concat(a[f"of_{k}"], F.when(a[k].isNull(), "").otherwise(said(a[k]))).alias(k) for k in kinds])
+
+    def left(y: Column) -> Column:
+        told = _with(F.struct(y.alias("y"), F.aggregate(y, start, step, end).alias("told")), lambda z: F.concat(*[_unbeaten(z, k) for k in kinds]))
+        return told
+
+    return _with(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("p"), s["kind"].alias("k"), rank(s).cast(_RANK).alias("r"), s.alias("s")))), left)
+
+
+def _unbeaten(z: Column, kind: str) -> Column:
+    own = F.filter(z["y"], lambda x: x["k"] == kind)
+    return F.transform(F.filter(own, lambda x, i: F.substring(z["told"][kind], i + 1, F.lit(1)) == "0"), lambda x: x["s"])
+
+
+_RANK = "struct<score:double,start:int,kind:string>"
+_SPAN = "struct<kind:string,start:int,end:int,text:string,score:double>"
+
+
 def _selected(more: Column, base: Column) -> Column:
     """Added spans that overlap no base span and no added one with a higher score
     (ties: the one that starts first, then by kind)."""
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter(more, lambda s: ~F.exists(base, lambda b: meets(s, b)))
-    rank = lambda s: F.struct(-s["score"], s["start"], s["kind"])
-    best = F.filter(free, lambda s: ~F.exists(free, lambda o: meets(s, o) & (rank(o) < rank(s))))
+    scored = lambda s, score: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score.alias("score")).cast(_SPAN)
+    # base spans go before added ones, which are equal; those that are left are judged among themselves
+    both = F.concat(F.transform(base, lambda s: scored(s, F.lit(None))), F.transform(more, lambda s: scored(s, s["score"])))
+    first = lambda s: F.struct(F.when(s["score"].isNull(), 0.0).otherwise(1.0).alias("score"), F.lit(0).alias("start"), F.lit("").alias("kind"))
+    free = F.filter(_beaten(both, (*BASE, *ADDED), first), lambda s: s["score"].isNotNull())
+    second = lambda s: F.struct((-s["score"]).alias("score"), s["start"].alias("start"), s["kind"].alias("kind"))
+    best = F.when(F.size(more) > 0, _beaten(free, ADDED, second)).otherwise(F.array().cast(f"array<{_SPAN}>"))
     order = F.transform(best, lambda s: F.struct(F.array_position(F.array(*map(F.lit, ADDED)), s["kind"]).alias("o"), s["start"].alias("p"), s.alias("s")))
     return F.transform(
         F.array_sort(order),
