@@ -136,9 +136,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / ((F.sqrt(dot(a, a)) + F.lit(1e-12)) * (F.sqrt(dot(b, b)) + F.lit(1e-12)))
 
 
-def top_cosine(vectors: DataFrame, query: list[float], k: int = 8, restrict_to: list | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, similarity): the ``k`` nearest to one vector, ties to the smaller key."""
-    rows = vectors if restrict_to is None else vectors.filter(F.col(key).isin(restrict_to))
+def top_cosine(vectors: DataFrame, query: list[float], k: int = 8, restrict_to: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, similarity): the ``k`` nearest to one vector, ties to the smaller key. Only the
+    keys that the table ``restrict_to`` has, if it is given. ``nearest.nearest`` takes many."""
+    rows = vectors if restrict_to is None else vectors.join(restrict_to.select(key), key, "left_semi")
     q = F.array(*[F.lit(float(x)) for x in query])
     return rows.select(key, F.round(cosine(F.col(vector), q), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 

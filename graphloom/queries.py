@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import QUERIES, SQL, query  # noqa: F401
 from graphloom.functions import terms as T
-from graphloom.operators import bgp, consolidate, emit, html, link, ontology, store, templates
+from graphloom.operators import bgp, consolidate, emit, html, link, nearest, ontology, store, templates
 from graphloom.sources import mapping as M
 from graphloom.sources.mapping import table
 
@@ -741,6 +741,53 @@ def vector_topk(spark, d):
     return link.top_cosine(v, v.filter("vec_id = 0").first()["embedding"])
 
 
+_SIMILAR = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
+
+
+@query("vector_topk_within", "WITH q AS (SELECT embedding e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS similarity FROM embeddings, q WHERE label = 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def vector_topk_within(spark, d):
+    v = table(spark, d, "embeddings")
+    return link.top_cosine(v, v.filter("vec_id = 0").first()["embedding"], 5, v.filter("label = 1"))
+
+
+@query(
+    "vector_nearest",
+    f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS candidate, {_SIMILAR} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 3)
+  SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, candidate) AS INTEGER) AS rank, candidate, similarity FROM p QUALIFY rank <= 8""",
+)
+def vector_nearest(spark, d):
+    """A tenth of the vectors as queries against all."""
+    v = table(spark, d, "embeddings")
+    return nearest.nearest(v.filter("vec_id % 10 = 3").select(v.vec_id.alias("query"), v.embedding.alias("vec")), v.select(v.vec_id.alias("candidate"), v.embedding.alias("vec")), 8)
+
+
+@query(
+    "vector_narrowed",
+    f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS candidate, {_SIMILAR} AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND (a.label % 2 = 0 OR b.vec_id % 50 = 0) WHERE a.vec_id % 10 = 3),
+  n AS (SELECT *, count(*) OVER (PARTITION BY query) AS n, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, candidate) AS r FROM p) SELECT query, candidate FROM n WHERE n < 30 OR r <= 8""",
+)
+def vector_narrowed(spark, d):
+    """Candidates of a query's label: all for even labels, few for odd ones."""
+    v = table(spark, d, "embeddings")
+    q, c = v.filter("vec_id % 10 = 3").select(v.vec_id.alias("query"), v.embedding.alias("vec"), "label"), v.select(v.vec_id.alias("candidate"), v.embedding.alias("vec"), "label")
+    pairs = q.select("query", "label").join(c.select("candidate", "label"), "label").filter("label % 2 = 0 or candidate % 50 = 0").select("query", "candidate")
+    return nearest.narrowed(pairs, q, c)
+
+
+@query(
+    "classes_matched",
+    f"""WITH own AS (SELECT vec_id, embedding, 'c' || CASE WHEN vec_id % 4 = 0 THEN vec_id + 1 ELSE vec_id END AS slug FROM embeddings WHERE vec_id % 2 = 0), higher AS (SELECT vec_id, embedding, 'c' || vec_id AS slug FROM embeddings WHERE vec_id % 2 = 1),
+  s AS (SELECT DISTINCT slug FROM own WHERE slug IN (SELECT slug FROM higher)), p AS (SELECT a.slug, b.slug AS match, {_SIMILAR} AS similarity FROM own a, higher b WHERE a.slug NOT IN (SELECT slug FROM s)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY similarity DESC, match) AS r FROM p) SELECT slug, slug AS match, 'slug' AS how, 1.0::DOUBLE AS similarity FROM s UNION ALL SELECT slug, match, 'vector', similarity FROM n WHERE r = 1 AND similarity >= 0.3""",
+)
+def classes_matched(spark, d):
+    """Classes of even vectors, every second under a slug that the odd ones have."""
+    v = table(spark, d, "embeddings")
+    slug = F.concat(F.lit("c"), F.when((v.vec_id % 4 == 0), v.vec_id + 1).otherwise(v.vec_id).cast("string"))
+    own, higher = (v.filter(f"vec_id % 2 = {i}").select(slug.alias("slug"), v.embedding.alias("vec")) for i in (0, 1))
+    return nearest.matched_classes(own, higher, floor=0.3)
+
+
 @query("vector_upsert", "SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 1")
 def vector_upsert(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label")
