@@ -23,7 +23,7 @@ _CRLF = "\r\n"
 #: ``<`` or takes what it has passed, so that no part of a page is gone over again and again.
 DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*+>|\z)|<style\b.*?(?:</style\s*+>|\z)|<head\b(?:(?!</head|<body\b|<head\b).)*+(?:</head\s*+>)?"
 #: The rest of a tag: a quoted value may hold ``>``. Tags with thousands of ``=`` are text.
-_REST = r"""(?:[^<>=]++|=\s*+(?:"[^"<]*+"|'[^'<]*+')?+){0,2000}+>"""
+_REST = r"""[^<>=]*+(?:=\s*+(?:"[^"<]*+"|'[^'<]*+')?+[^<>=]*+){0,2000}+>"""
 #: What starts a new line.
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|nav|section|header|footer|blockquote|body|html|title)\b" + _REST
 TAGS = r"<[!/A-Za-z]" + _REST
