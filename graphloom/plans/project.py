@@ -35,7 +35,8 @@ class Project:
         if self._there(path) and not force:
             raise ValueError(f"{self.root} holds a project")
         self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(path)
-        self._drop(f"{self.root}/snapshots")  # of what was there before
+        for kind in ("snapshots", "marks"):  # of what was there before
+            self._drop(f"{self.root}/{kind}")
 
     def _drop(self, path: str) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -120,6 +121,73 @@ class Project:
         stale = self.state().join(scoped.select("scope").distinct(), "scope", "left_semi").join(scoped.select("s").distinct(), "s", "left_semi").join(scoped, store.KEYS, "left_anti")
         return self.record("recognize", scoped, stale)
 
+    # --- classes -------------------------------------------------------------------
+
+    def _touched(self, task: str) -> DataFrame:
+        """(scope, seq): scopes with steps that ``task`` hasn't seen."""
+        path = f"{self.root}/marks/{task}"
+        steps = self._steps()
+        if not self._there(path):
+            return steps
+        seen = self.spark.read.schema("scope string, seq long").parquet(path).groupBy("scope").agg(F.max("seq").alias("seen"))
+        return steps.join(seen, "scope", "left").filter(F.col("seq") > F.coalesce("seen", F.lit(0))).select("scope", "seq")
+
+    def _mark(self, task: str) -> None:
+        """``task`` has seen all steps so far, its own too."""
+        self._touched(task).write.mode("append").parquet(f"{self.root}/marks/{task}")
+
+    def classes(self) -> DataFrame:
+        """(scope, cls, slug, anchor, label, alt_labels, comment, deprecated): classes that a scope
+        defines; the slug is what follows the last slash."""
+        state = self.state()
+        defined = state.filter("p = 'rdf:type' and o = 'owl:Class'").select("scope", "s")
+        text = lambda p: F.min(F.when(F.col("p") == p, lexical(F.col("o"))))
+        rows = state.join(defined, ["scope", "s"], "left_semi").groupBy("scope", "s").agg(
+            F.min(F.when(F.col("p") == "rdfs:subClassOf", F.col("o"))).alias("anchor"), text("rdfs:label").alias("label"), text("rdfs:comment").alias("comment"),
+            F.array_sort(F.collect_set(F.when(F.col("p") == "skos:altLabel", lexical(F.col("o"))))).alias("alt_labels"), F.coalesce(F.bool_or((F.col("p") == "owl:deprecated") & F.col("o").startswith('"true"')), F.lit(False)).alias("deprecated"),
+        )
+        return rows.select("scope", F.col("s").alias("cls"), F.substring_index("s", "/", -1).alias("slug"), "anchor", "label", "alt_labels", "comment", "deprecated")
+
+    def _classes_touched(self, task: str) -> DataFrame:
+        """All classes under slugs that a scope with new steps defines."""
+        known = materialized(self.classes())
+        slugs = known.join(self._touched(task).select("scope"), "scope", "left_semi").select("slug").distinct()
+        return known.join(slugs, "slug", "left_semi")
+
+    def promotable(self, least: int = 2) -> DataFrame:
+        """Classes to promote: one for each slug that ``least`` sources define and the project
+        doesn't, among the slugs that steps have touched since the last promotion."""
+        known = materialized(self._classes_touched("consolidate"))
+        own = known.filter("scope = 'project'").select("slug", F.lit(True).alias("promoted"))
+        defined = known.filter("scope <> 'project'").join(own, "slug", "left").withColumn("promoted", F.coalesce("promoted", F.lit(False))).withColumnRenamed("scope", "doc")
+        slugs = consolidate.candidates(defined, least).select("slug")
+        return consolidate.merge(defined.filter("not deprecated").join(slugs, "slug", "left_semi"))
+
+    def consolidate(self, least: int = 2) -> int:
+        """Promote classes to the project."""
+        made = consolidate.definitions(self.promotable(least), "x:ext/").select(F.lit("project").alias("scope"), "s", "p", "o")
+        n = self.record("consolidate", made)
+        self._mark("consolidate")
+        return n
+
+    def alignable(self) -> DataFrame:
+        """(scope, old, new): classes of sources under a slug that the project has too, among
+        the slugs touched since the last alignment."""
+        known = materialized(self._classes_touched("align"))
+        higher = known.filter("scope = 'project'").select("cls", "slug", F.lit(0).alias("priority"), "deprecated")
+        local = known.filter("scope <> 'project' and not deprecated").select("scope", "cls", "slug")
+        return local.join(consolidate.align(local.select("cls", "slug").distinct(), higher), "cls").select("scope", F.col("cls").alias("old"), F.col("target").alias("new"))
+
+    def align(self) -> int:
+        """Mark sources' classes as replaced by the project's and type their instances anew."""
+        mapping = materialized(self.alignable())
+        moved = materialized(self.state().filter("p = 'rdf:type'").join(mapping.withColumnRenamed("old", "o"), ["scope", "o"]).select("scope", "s", "p", "o", "new"))
+        said = F.array(F.struct(F.lit("owl:deprecated").alias("p"), F.lit('"true"^^xsd:boolean').alias("o")), F.struct(F.lit("dct:isReplacedBy").alias("p"), F.col("new").alias("o")))
+        added = moved.select("scope", "s", "p", F.col("new").alias("o")).unionByName(mapping.select("scope", F.col("old").alias("s"), F.inline(said)))
+        n = self.record("align", added, moved.select("scope", "s", "p", "o"))
+        self._mark("align")
+        return n
+
     def history(self) -> DataFrame:
         return store.history(self.log())
 
@@ -150,7 +218,8 @@ class Project:
         return not self._there(kept) or not self._steps().subtract(self.spark.read.schema("scope string, seq long").parquet(kept)).isEmpty()
 
     def tasks(self) -> TaskGraph:
-        """recognize where a source needs it, then a snapshot where a step came after the
+        """recognize where a source needs it, classes promoted and aligned where steps since
+        then have touched any that are to be, and a snapshot where a step came after the
         last one or there is none."""
         g = TaskGraph()
 
@@ -162,7 +231,23 @@ class Project:
         def _(ctx):
             return not self.unrecognized().isEmpty()
 
-        @g.task("recognize")
+        @g.task("recognize", name="consolidate")
+        def _(ctx):
+            ctx["promoted"] = self.consolidate()
+
+        @g.dirty("consolidate")
+        def _(ctx):
+            return not self.promotable().isEmpty()
+
+        @g.task("consolidate", name="align")
+        def _(ctx):
+            ctx["aligned"] = self.align()
+
+        @g.dirty("align")
+        def _(ctx):
+            return not self.alignable().isEmpty()
+
+        @g.task("recognize", "align")
         def snapshot(ctx):
             ctx["snapshot"] = self.snapshot()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import QUERIES, SQL, query  # noqa: F401
 from graphloom.functions import terms as T
-from graphloom.operators import bgp, consolidate, emit, html, link, nearest, ontology, store, templates
+from graphloom.operators import bgp, consolidate, emit, html, incremental, link, nearest, ontology, store, templates
 from graphloom.sources import mapping as M
 from graphloom.sources.mapping import table
 
@@ -328,6 +328,18 @@ def onto_closure(spark, d):
     return ontology.closure(M.part_tree(spark, d))
 
 
+@query(
+    "onto_closure_step",
+    """WITH RECURSIVE tree AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 97 = 0 THEN p_partkey // 3 ELSE p_partkey // 2 END AS parent FROM part WHERE p_partkey > 1),
+  up AS (SELECT child AS descendant, parent AS ancestor FROM tree UNION SELECT up.descendant, tree.parent FROM up JOIN tree ON up.ancestor = tree.child) SELECT descendant, ancestor FROM up""",
+)
+def onto_closure_step(spark, d):
+    """The closure after a step that gives some parts another parent, from the one before."""
+    edges, moved = M.part_tree(spark, d), F.col("child") % 97 == 0
+    gone = edges.filter(moved)
+    return incremental.closure_after(ontology.closure(edges), edges, gone.withColumn("parent", F.floor(F.col("child") / 3).cast("long")), gone)
+
+
 @query("onto_descendants", f"WITH RECURSIVE {TREE}, {UP} SELECT descendant FROM up WHERE ancestor = 7")
 def onto_descendants(spark, d):
     return ontology.closure(M.part_tree(spark, d)).filter("ancestor = 7").select("descendant")

@@ -58,3 +58,33 @@ def test_diagram_codes_read_back(spark):
     for r in rows[:-1]:
         assert zlib.decompressobj(-15).decompress(base64.b64decode(r.code.translate(back))).decode() == r.text
     assert rows[-1].code is None
+
+
+def classes_of(spark, doc, **labels):
+    rows = []
+    for slug, label in labels.items():
+        me = f"x:source/{doc}/{slug}"
+        rows += [(f"doc/{doc}", me, "rdf:type", "owl:Class"), (f"doc/{doc}", me, "rdfs:subClassOf", "lis:Thing"), (f"doc/{doc}", me, "rdfs:label", f'"{label}"'), (f"doc/{doc}", f"x:e/{doc}-{slug}", "rdf:type", me)]
+    return spark.createDataFrame(rows, "scope string, s string, p string, o string")
+
+
+def test_classes_are_promoted_and_aligned_where_steps_touch_them(spark, tmp_path):
+    p = Project(spark, str(tmp_path))
+    p.init()
+    p.record("extract", classes_of(spark, "a", Invoice="Invoice", Lone="Lone"))
+    assert p.tasks().run("snapshot") == ["snapshot"]
+    p.record("extract", classes_of(spark, "b", Invoice="The invoice", Other="Other"))
+    assert p.tasks().run("snapshot") == ["consolidate", "align", "snapshot"]
+    assert p.tasks().run("snapshot") == []
+    held = {tuple(r) for r in p.state().collect()}
+    assert ("project", "x:ext/Invoice", "rdfs:label", '"The invoice"') in held and ("project", "x:ext/Invoice", "skos:altLabel", '"Invoice"') in held
+    for doc in "ab":
+        assert (f"doc/{doc}", f"x:e/{doc}-Invoice", "rdf:type", "x:ext/Invoice") in held and (f"doc/{doc}", f"x:e/{doc}-Invoice", "rdf:type", f"x:source/{doc}/Invoice") not in held
+        assert (f"doc/{doc}", f"x:source/{doc}/Invoice", "dct:isReplacedBy", "x:ext/Invoice") in held
+    assert ("doc/a", "x:e/a-Lone", "rdf:type", "x:source/a/Lone") in held
+    # a later source with a promoted class is aligned alone; nothing is promoted again
+    p.record("extract", classes_of(spark, "c", Invoice="Invoice", Lone="Lone too"))
+    assert p.promotable().collect()[0].slug == "Lone" and p.alignable().count() == 1
+    assert p.tasks().run("snapshot") == ["consolidate", "align", "snapshot"] and p.tasks().run("snapshot") == []
+    steps = {(r.scope, r.seq) for r in p.history().filter("step = 'align'").collect()}
+    assert steps == {("doc/a", 2), ("doc/a", 3), ("doc/b", 2), ("doc/c", 2)}
