@@ -21,7 +21,7 @@ _CRLF = "\r\n"
 #: What is taken out of a page with its contents: to its end, or to the page's where it has
 #: none; a head ends where the body or another head begins. Every pattern here stops at the next
 #: ``<`` or takes what it has passed, so that no part of a page is gone over again and again.
-DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*+>|\z)|<style\b.*?(?:</style\s*+>|\z)|<head\b(?:(?!</head|<body\b|<head\b).)*+(?:</head\s*+>)?"
+DROPPED = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*+>|\z)|style\b.*?(?:</style\s*+>|\z)|head\b[^<]*+(?:<(?!/head|body\b|head\b)[^<]*+)*+(?:</head\s*+>)?)"
 #: The rest of a tag: a quoted value may hold ``>``. Tags with thousands of ``=`` are text.
 _REST = r"""[^<>=]*+(?:=\s*+(?:"[^"<]*+"|'[^'<]*+')?+[^<>=]*+){0,2000}+>"""
 #: What starts a new line.
