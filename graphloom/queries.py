@@ -928,4 +928,74 @@ def emit_diagram(spark, d):
     return emit.diagram(M.geography(spark, d))
 
 
+# --- names, pages and proposals that had no row --------------------------------------
+
+
+@query(
+    "scalar_uris",
+    """SELECT p_partkey, 'http://x/' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '#' ELSE '/' END AS namespace, 'part-' || p_partkey || '-is-made' AS slug,
+  CASE p_partkey % 3 WHEN 0 THEN 'http://p/' || p_partkey WHEN 1 THEN 'urn:x:' || p_partkey END AS full_name, 'x:doc#id-' || p_partkey AS fragment_uri FROM part""",
+)
+def scalar_uris(spark, d):
+    """Namespaces, slugs of templates, short names in full, fragments of a document."""
+    p = table(spark, d, "part")
+    k = p.p_partkey.cast("string")
+    uri = F.concat(F.lit("http://x/"), p.p_size.cast("string"), F.when(p.p_partkey % 2 == 0, "#").otherwise("/"), F.lit("Part"), k, F.lit("IsMade"))
+    curie = F.when(p.p_partkey % 3 == 0, F.concat(F.lit("p:"), k)).when(p.p_partkey % 3 == 1, F.concat(F.lit("urn:x:"), k)).otherwise(F.concat(F.lit("q:"), k))
+    return p.select(
+        "p_partkey", T.namespace(uri).alias("namespace"), F.regexp_replace(T.template_slug(uri), "part([0-9])", "part-$1").alias("slug"), T.expand_name(curie, {"p": "http://p/"}).alias("full_name"),
+        T.fragment_uri(F.lit("x:doc"), F.concat(F.lit(" # id-"), k)).alias("fragment_uri"),
+    )
+
+
+@query(
+    "scalar_shown",
+    r"""WITH x AS (SELECT doc_id, text, regexp_replace(regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' '), '[\x00-\x1f\x7f]', '', 'g'), '^ +| +$', '', 'g') AS flat, replace(replace(text, '"', ''''), chr(10), ' ') AS plain FROM documents)
+  SELECT doc_id, substr(replace(replace(flat, '\', '\\'), '"', '\"'), 1, 200) AS escaped, CASE WHEN length(plain) > 80 THEN substr(plain, 1, 77) || '...' ELSE plain END AS shown FROM x""",
+)
+def scalar_shown(spark, d):
+    """Texts as a query's literals and as they are shown."""
+    t = table(spark, d, "documents")
+    return t.select("doc_id", T.query_escape(F.col("text")).alias("escaped"), T.shown_literal(F.col("text")).alias("shown"))
+
+
+@query(
+    "scalar_markers",
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ' {#id-' || p_partkey || '}' WHEN 1 THEN ' {#id-' || p_partkey || ' .class-' || p_size || '}' ELSE '' END AS marker,
+  CASE WHEN p_partkey % 2 = 0 THEN '<p>' || p_name || '</p>' ELSE '<h1>' || p_name || '</h1>' END AS body FROM part""",
+)
+def scalar_markers(spark, d):
+    """Marks of anchors, and what a page holds between its body tags or, without them, at all."""
+    p = table(spark, d, "part")
+    k = p.p_partkey
+    marker = T.anchor_marker(F.when(k % 3 != 2, F.concat(F.lit("id-"), k.cast("string"))), F.when(k % 3 == 1, F.concat(F.lit("x class-"), p.p_size.cast("string"))).when(k % 3 == 0, "classy"))
+    page = F.when(k % 2 == 0, F.concat(F.lit("<html><BODY class='a'> <p>"), "p_name", F.lit("</p>\n</body></html>"))).otherwise(F.concat(F.lit(" <h1>"), "p_name", F.lit("</h1> ")))
+    return p.select("p_partkey", marker.alias("marker"), T.page_body(page).alias("body"))
+
+
+@query(
+    "classes_proposed",
+    """WITH k AS (SELECT n_name AS slug, 'a' || n_regionkey AS anchor, 'Old ' || n_name AS label, ['x'] AS alts, CASE WHEN n_nationkey % 2 = 0 THEN 'kept' END AS comment FROM nation WHERE n_nationkey % 3 <> 0),
+  p AS (SELECT n_name AS slug, 'b' || n_regionkey AS anchor, 'New ' || n_name AS label, ['x', 'y'] AS alts, 'new' AS comment FROM nation WHERE n_nationkey % 3 <> 1)
+  SELECT slug, coalesce(k.anchor, p.anchor) AS anchor, coalesce(k.label, p.label) AS label, coalesce(k.comment, p.comment) AS comment,
+    CASE WHEN k.label IS NULL THEN 'x y' WHEN p.label IS NULL THEN 'x' ELSE p.label || ' x y' END AS alt_labels FROM k FULL JOIN p USING (slug)""",
+)
+def classes_proposed(spark, d):
+    """Proposals merged into known classes: two thirds of the nations known, two thirds proposed."""
+    n = table(spark, d, "nation")
+    row = lambda lead, said, alts, comment: (F.col("n_name").alias("slug"), F.concat(F.lit(lead), F.col("n_regionkey").cast("string")).alias("anchor"), F.concat(F.lit(said), "n_name").alias("label"), F.array(*map(F.lit, alts)).alias("alt_labels"), comment.alias("comment"))
+    known = n.filter("n_nationkey % 3 <> 0").select(*row("a", "Old ", ["x"], F.when(F.col("n_nationkey") % 2 == 0, "kept")))
+    proposed = n.filter("n_nationkey % 3 <> 1").select(*row("b", "New ", ["x", "y"], F.lit("new")))
+    return consolidate.merge_proposals(known, proposed).withColumn("alt_labels", F.array_join("alt_labels", " "))
+
+
+@query("onto_extractable", "SELECT 'x:n' || n_nationkey AS term FROM nation WHERE n_nationkey % 7 <> 0")
+def onto_extractable(spark, d):
+    """Nations' classes that aren't opted out."""
+    o = _onto(spark, d)
+    n = table(spark, d, "nation")
+    named = n.select(T.iri("x:nation/", n.n_nationkey).alias("term"))
+    return ontology.extractable(named, o).select(F.regexp_replace("term", "x:nation/", "x:n").alias("term"))
+
+
 from graphloom import entity_queries, template_queries  # noqa: E402, F401  register their queries
