@@ -271,3 +271,31 @@ def test_no_words_no_rows(spark):
 
     assert group_variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert group_variants(spark.createDataFrame([(1, None), (2, "a b c"), (3, "")], "doc_id long, text string")).count() == 0
+
+
+# ---- neighbours
+
+
+def test_neighbours_of_hard_tables(spark):
+    """Nulls, other lengths, repeated keys and vectors, zero vectors, columns of any name."""
+    from graphloom.llm.nn_descent import nearest
+
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=8).round(3).tolist()) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(3, rows[3][1]), (7, [9.0] * 8), (2**60 + 20, [0.5] * 8)]
+    rows += [(200, None), (220, [0.0] * 8), (240, [1.0] * 7 + [None]), (260, [1.0] * 7 + [float("inf")]), (280, [1.0] * 5), (None, [1.0] * 8), (300, [])]
+    df = with_clashes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).withColumn("score", F.lit("own")).withColumn("rank", F.lit("own"))
+    usable = {}
+    for k, v in rows:
+        if k is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            v = np.float32(v).astype(float).tolist()
+            usable[k] = min(usable.get(k, v), v)
+    asked = df.filter("vec_id % 20 = 0")
+    got = {}
+    for x in nearest(df, asked, 20).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    assert set(got) == {k for k in usable if k % 20 == 0}
+    for q, found in got.items():
+        best = sorted((-float(np.dot(usable[q], v)), k) for k, v in usable.items() if k != q)[:20]
+        assert [k for _, k, _ in sorted(found)] == [k for _, k in best] and np.allclose([s for _, _, s in sorted(found)], [-s for s, _ in best])
+    assert nearest(df.limit(0), asked.limit(0), 20).count() == 0
