@@ -923,7 +923,13 @@ def emit_recognized_files(spark, d):
     return emit.recognized_files(f)
 
 
-@query("emit_diagram")
+@query(
+    "emit_diagram",
+    f"""WITH {GEO}, g AS (SELECT DISTINCT s, p, o, o[1] = '"' AS lit FROM geo WHERE p NOT LIKE 'rdfs:%'), n AS (SELECT s, CASE WHEN p = 'rdf:type' THEN '<<' || o || '>>' END AS kind, CASE WHEN lit THEN p || ' = ' || o END AS member,
+  CASE WHEN NOT lit AND p <> 'rdf:type' THEN s || ' --> ' || o || ' : ' || p END AS arrow FROM g)
+  SELECT s, 'object ' || s || ' ' || coalesce(string_agg(kind, chr(10) ORDER BY kind), '') || ' {{' || chr(10) || coalesce(string_agg(member, chr(10) ORDER BY member), '') || chr(10) || '}}' || chr(10) || coalesce(string_agg(arrow, chr(10) ORDER BY arrow), '') AS text
+  FROM n GROUP BY s""",
+)
 def emit_diagram(spark, d):
     return emit.diagram(M.geography(spark, d))
 
