@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, text_or_empty
-from graphloom.llm.components import FEW
+from graphloom.llm.components import FEW, look_up
 
 #: Digests of a bucket, about, on either side; bounds the memory of a task that builds or asks.
 PER_BUCKET = 200_000
@@ -132,6 +132,39 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return _with_bucket(digests, buckets).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, f"{fields}, maybe boolean")
 
 
+def keep_snapshot(df: DataFrame, path: str, text: str = "text") -> None:
+    """Write a snapshot's distinct digests and, beside them, its filters, for batches that come
+    later. A snapshot never changes; further rows are another snapshot."""
+    spark = df.sparkSession
+    df.select(F.unhex(F.sha2(text_or_empty(text), 256)).alias("digest")).distinct().write.parquet(f"{path}/digests")
+    digests = spark.read.schema("digest binary").parquet(f"{path}/digests")
+    buckets = max(8, -(-digests.count() // PER_BUCKET))
+    build_filters(digests, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+
+
+def known_texts(df: DataFrame, snapshots: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, text_sha256, snapshots), one for each row of ``df``: in which of the kept
+    ``snapshots`` its text is. A batch's distinct digests are screened by each snapshot's
+    filters as they were kept; only those that pass meet its digests. Nulls are empty texts."""
+    spark = df.sparkSession
+    rows = materialize(df.select(F.col(key).alias("id"), F.unhex(F.sha2(text_or_empty(text), 256)).alias("digest")), "batch")
+    distinct, hits = materialize(rows.select("digest").distinct(), "distinct"), []
+    for path in snapshots:
+        filters = spark.read.schema("bucket int, filter binary, buckets int").parquet(f"{path}/filters")
+        if size := filters.select("buckets").first():
+            passed = screen(distinct, filters.drop("buckets"), size["buckets"]).filter("maybe").select("digest")
+            hits.append(passed.join(spark.read.schema("digest binary").parquet(f"{path}/digests"), "digest", "left_semi").withColumn("path", F.lit(path)))
+    none = F.array().cast("array<string>")
+    if not hits:
+        return rows.select(F.col("id").alias(key), F.lower(F.hex("digest")).alias("text_sha256"), none.alias("snapshots"))
+    found = hits[0]
+    for h in hits[1:]:
+        found = found.unionByName(h)
+    found = materialize(found.groupBy("digest").agg(F.array_sort(F.collect_list("path")).alias("paths")), "known")
+    met = look_up(rows, found, "digest", "id", found.count(), "left")
+    return met.select(F.col("id").alias(key), F.lower(F.hex("digest")).alias("text_sha256"), F.coalesce("paths", none).alias("snapshots"))
+
+
 def group_texts(df: DataFrame, in_snapshot: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: key, keep_id (the largest key with that text),
     group_size, kept and text_sha256.

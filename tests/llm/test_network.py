@@ -81,3 +81,22 @@ def test_documents_pool_all_windows():
     # every window of a text is among those that it is scored by
     layout, first = toxicity._layout([3, toxicity.WINDOW + 2], 1)
     assert len(layout) == 1 + 3 and list(first) == [0, 1]
+
+
+def test_batches_against_kept_snapshots(spark, tmp_path, monkeypatch):
+    """Filters are built once; a batch is asked against several snapshots, an empty one too."""
+    from graphloom.llm import components, exact_dedup
+
+    kind, paths = "doc_id long, text string, digest string", [str(tmp_path / n) for n in "abc"]
+    frame = lambda rows: spark.createDataFrame([(i, t, "own") for i, t in rows], kind)
+    exact_dedup.keep_snapshot(frame([(i, f"text {i}") for i in range(50)] + [(99, None)]), paths[0])
+    exact_dedup.keep_snapshot(frame([(i, f"text {i}") for i in range(40, 60)] * 2), paths[1])
+    exact_dedup.keep_snapshot(frame([]), paths[2])
+    monkeypatch.setattr(exact_dedup, "build_filters", None)  # what is kept is used
+    batch = [(1, "text 3"), (2, "text 45"), (2, "text 45"), (3, "text 55"), (4, "new"), (None, ""), (5, None)]
+    want = {"text 3": paths[:1], "text 45": paths[:2], "text 55": paths[1:2], "new": [], "": paths[:1], None: paths[:1]}
+    for few in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        got = exact_dedup.known_texts(frame(batch), paths).collect()
+        assert sorted((str(r.doc_id), r.snapshots) for r in got) == sorted((str(k), want[t]) for k, t in batch)
+    assert exact_dedup.known_texts(frame([]), paths).count() == 0 and exact_dedup.known_texts(frame(batch), []).count() == 7
