@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys to two parts a core: a table that comes in one row group would
+    else be one task, however much is made of each row."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def emit(df: DataFrame, subject: Column, *pairs: tuple[str, Column]) -> DataFrame:
     """A triple for each (predicate, object) of each row; null objects give none."""
     rows = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in pairs])

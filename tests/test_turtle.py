@@ -49,3 +49,11 @@ def test_files(spark, tmp_path):
     rows = read_turtle(spark, str(tmp_path)).collect()
     assert len(rows) == 2 and len({r.s for r in rows}) == 2 and all(r.s.startswith("_:f") for r in rows)
     assert from_turtle(spark.createDataFrame([("x", None), ("y", "")], "path string, value string")).count() == 0
+
+
+def test_many_small_files_are_dealt_and_handed_on_together(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.range(400).coalesce(1).select(F.concat(F.lit("f"), "id").alias("path"), F.concat(F.lit("<urn:"), "id", F.lit("> <urn:p> 1 .")).alias("value"))
+    rows = from_turtle(files)
+    assert rows.count() == 400 and rows.select(F.spark_partition_id().alias("n")).distinct().count() > 1
