@@ -218,11 +218,11 @@ def scope_delete_repair(spark, d):
 
 def _replies(spark, d):
     """A reply for each part: in prose, in a code fence, broken, or not JSON at all."""
-    p = table(spark, d, "part")
-    k, name = p.p_partkey, F.replace(p.p_name, F.lit('"'), F.lit(""))
+    p = M.dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    k, name = F.col("p_partkey"), F.replace(F.col("p_name"), F.lit('"'), F.lit(""))
     obj = F.concat(
         F.lit('{"instances": [{"name": " '), name, F.lit(' ", "types": ["lis:A", "lis:Zzz", 7, "lis:A"], "evidence": [{"exact": "e", "anchor": "#id-'), k.cast("string"), F.lit('"}, {"exact": "lost"}]}, {"name": "  "}, {"name": "plain", "types": []}, "text"],\n'
-        ' "values": [{"property": "lis:size", "value": '), p.p_size.cast("string"), F.lit('}, {"property": "lis:size", "value": " "}, {"property": "lis:none", "value": "x"}, {"property": "lis:in", "value_entity": "'), name, F.lit('", "evidence": "said"}],\n'
+        ' "values": [{"property": "lis:size", "value": '), F.col("p_size").cast("string"), F.lit('}, {"property": "lis:size", "value": " "}, {"property": "lis:none", "value": "x"}, {"property": "lis:in", "value_entity": "'), name, F.lit('", "evidence": "said"}],\n'
         ' "invocations": [{"template": "<tpl:T>", "slots": {"a": "'), k.cast("string"), F.lit('", "b": null, "c": " "}}, {"template": "tpl:U", "slots": {"a": "1"}}, {"template": "tpl:T", "slots": {}}],\n'
         ' "subjects": ["First", "Nobody", "Second"], "confidence": 0.5, "rationale": " r ", "notes": " seen "}'),
     )

@@ -6,6 +6,8 @@ Anything that can't be read gives no rows and null notes, never an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +16,28 @@ from graphloom.functions.terms import strip
 _ITEMS = "array<variant>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def body(reply: Column) -> Column:
     """From the first ``{`` to the last ``}`` of a reply; of one that begins with a code
     fence that is closed, only of what the fence holds. Null without both."""
-    text = strip(reply)
-    inside = F.when(text.startswith("```") & (F.size(F.split(text, "```")) > 2), F.split_part(text, F.lit("```"), F.lit(2))).otherwise(text)
-    return F.nullif(F.regexp_extract(inside, r"(?s)(\{.*\})", 1), F.lit(""))
+    fenced = lambda text: text.startswith("```") & (F.size(F.split(text, "```")) > 2)
+    inside = _once(strip(reply), lambda text: F.when(fenced(text), F.split_part(text, F.lit("```"), F.lit(2))).otherwise(text))
+    return _once(F.regexp_extract(inside, r"(?s)(\{.*\})", 1), lambda found: F.nullif(found, F.lit("")))
 
 
 def parsed(reply: Column) -> Column:
     """The reply's object as a variant; null where it is none, or more than one."""
     listed = F.try_parse_json(F.concat(F.lit("["), body(reply), F.lit("]")))
-    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    return _once(listed, lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
 
 
 def said(item: Column, path: str) -> Column:
     """A field as trimmed text; null where it is missing or blank."""
-    return F.nullif(strip(F.try_variant_get(item, path, "string")), F.lit(""))
+    return _once(strip(F.try_variant_get(item, path, "string")), lambda text: F.nullif(text, F.lit("")))
 
 
 def notes(reply: Column) -> Column:
@@ -110,9 +117,12 @@ def answers(reply: Column) -> Column:
 def subjects(reply: Column, known: Column) -> Column:
     """struct(subjects, confidence, rationale): labels by a map, unknown ones left out; a
     reply that can't be read has none, with confidence 0."""
-    v = parsed(reply)
-    found = F.transform(texts(v, "$.subjects"), lambda n: known[n])
-    return F.struct(
-        F.filter(found, lambda u: u.isNotNull()).alias("subjects"), F.coalesce(F.try_variant_get(v, "$.confidence", "double"), F.lit(0.0)).alias("confidence"),
-        F.when(v.isNull(), "(parse error)").otherwise(F.coalesce(said(v, "$.rationale"), F.lit(""))).alias("rationale"),
-    )
+
+    def told(v: Column) -> Column:
+        found = F.transform(texts(v, "$.subjects"), lambda n: known[n])
+        return F.struct(
+            F.filter(found, lambda u: u.isNotNull()).alias("subjects"), F.coalesce(F.try_variant_get(v, "$.confidence", "double"), F.lit(0.0)).alias("confidence"),
+            F.when(v.isNull(), "(parse error)").otherwise(F.coalesce(said(v, "$.rationale"), F.lit(""))).alias("rationale"),
+        )
+
+    return _once(parsed(reply), told)

@@ -91,3 +91,14 @@ def test_qname_prefers_the_longest(spark):
     df = spark.createDataFrame([("h://a/b#c",), ("h://a/b#",), ("h://a/z",), ("h://q/r#s/t",)], "u string")
     got = [r[0] for r in df.select(T.qname(F.col("u"), [("", "h://a/"), ("l", "h://a/b#")])).collect()]
     assert got == ["l:c", "h://a/b#", "z", "t"]
+
+
+def test_a_reply_is_parsed_once_for_all_its_fields(spark):
+    from graphloom.entity_queries import _replies
+    from graphloom.functions import payload as P
+
+    one = spark.createDataFrame([(1, ' ```json\n{"subjects": ["A", "Z"], "confidence": 0.5}\n``` '), (2, "{"), (3, None)], "reply_id long, reply string")
+    got = one.select("reply_id", P.subjects(F.col("reply"), F.create_map(F.lit("A"), F.lit("x:a"))).alias("f"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert [(r.f.subjects, r.f.confidence, r.f.rationale) for r in got.orderBy("reply_id").collect()] == [(["x:a"], 0.5, ""), ([], 0.0, "(parse error)"), ([], 0.0, "(parse error)")]
+    assert _replies(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("n")).distinct().count() > 1
