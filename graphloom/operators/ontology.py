@@ -38,16 +38,18 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", most_rounds: int = 64) -> DataFrame:
-    """(descendant, ancestor) over one hop or more, distinct."""
-    paths = materialized(edges.select(F.col(child).alias("descendant"), F.col(parent).alias("ancestor")).distinct())
-    known = paths.count()
+    """(descendant, ancestor) over one hop or more, distinct. A round puts the walks of
+    exactly 2^k hops before all paths known, of at most as many: in a tree each further path is made
+    once. Paths are written as they are found, not again each round."""
+    paths = exact = materialized(edges.select(F.col(child).alias("descendant"), F.col(parent).alias("ancestor")).distinct())
     for _ in range(most_rounds):
-        step = paths.select(F.col("descendant").alias("mid"), F.col("ancestor").alias("far"))
-        longer = paths.join(step, paths["ancestor"] == step["mid"]).select("descendant", F.col("far").alias("ancestor"))
-        paths = materialized(paths.unionByName(longer).distinct())
-        if (now := paths.count()) == known:
+        front = exact.select("descendant", F.col("ancestor").alias("mid"))
+        over = lambda known: front.join(known.select(F.col("descendant").alias("mid"), "ancestor"), "mid").select("descendant", "ancestor")  # noqa: B023, E731
+        fresh = materialized(over(paths).join(paths, ["descendant", "ancestor"], "left_anti").distinct())
+        if fresh.isEmpty():
             return paths
-        known = now
+        exact = materialized(over(exact).distinct())
+        paths = paths.unionByName(fresh)
     raise RuntimeError("the closure did not settle")
 
 

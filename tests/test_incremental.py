@@ -52,3 +52,25 @@ def test_support_and_candidates(spark):
             want[s, d] = want.get((s, d), 0) + 1
         assert {(x.slug, x.doc): x.n for x in support.collect()} == want
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, consolidate.candidates(defined).collect()))
+
+
+def test_a_closure_writes_each_path_once(spark, monkeypatch):
+    from graphloom.operators import ontology
+
+    written, real = [], ontology.materialized
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ontology, "materialized", counted)
+    n = ontology.closure(spark.range(2, 256).selectExpr("id as child", "id div 2 as parent")).count()
+    # the paths, and walks of 2, 4 and 8 hops: less than as many again
+    assert n == sum(k.bit_length() - 1 for k in range(1, 256)) and sum(written) < 2 * n
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (2, 5), (6, 6), (7, 8), (8, 9), (9, 10), (10, 11), (11, 12)]
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in want if b == c} - want:
+        want |= more
+    rows = ontology.closure(spark.createDataFrame(edges, "child long, parent long")).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
