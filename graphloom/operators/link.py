@@ -101,21 +101,25 @@ def lookup(probes: DataFrame, library: DataFrame) -> DataFrame:
     there are alternative labels, ``alternative``: those count for equality alone.
     White space in probes is collapsed; empty ones find nothing.
 
-    A probe meets the labels on the rarest of its three-character runs (on itself if it
-    is shorter) and is then looked for in them.
+    Of entities whose labels are equal but for case the smallest answers for all. A probe
+    meets the labels on the rarest of its three-character runs (on itself if it is shorter) and
+    is then looked for in them. That join is a shuffle: runs are many times their labels, which
+    Spark's estimates don't know.
     """
     other = F.coalesce(F.col("alternative"), F.lit(False)) if "alternative" in library.columns else F.lit(False)
     ref = library.select("uri", "label", F.lower("label").alias("low"), other.alias("other"))
     asked = probes.select("probe", F.lower(F.trim(F.regexp_replace("probe", r"\s+", " "))).alias("p")).filter("p <> ''").distinct()
-    exact = asked.join(ref, F.col("p") == F.col("low")).groupBy("probe").agg(F.min(F.struct("uri", "label")).alias("m")).select("probe", "m.uri", "m.label", F.lit(1.0).alias("confidence"))
+    # equal labels hold the same probes, so one of them is enough
+    one_each = lambda rows: rows.groupBy("low").agg(F.min(F.struct("uri", "label")).alias("m"))
+    exact = asked.join(one_each(ref), F.col("p") == F.col("low")).select("probe", "m.uri", "m.label", F.lit(1.0).alias("confidence"))
     rest = asked.join(exact, "probe", "left_anti")
-    named = ref.filter(~F.col("other"))
+    named = one_each(ref.filter(~F.col("other"))).select("low", "m.uri", "m.label")
     low = F.col("low")
     grams = named.select("uri", "label", "low", F.explode(F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     mine = rest.select("probe", "p", F.explode(F.when(F.length("p") < 3, F.array("p")).otherwise(_grams(F.col("p"), 3))).alias("gram"))
     rare = mine.join(counts, "gram", "left").groupBy("probe", "p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    near = rare.join(grams, "gram").filter(F.col("low").contains(F.col("p"))).groupBy("probe", "p").agg(F.min(F.struct("uri", "label", "low")).alias("m"))
+    near = rare.join(grams.hint("merge"), "gram").filter(F.col("low").contains(F.col("p"))).groupBy("probe", "p").agg(F.min(F.struct("uri", "label", "low")).alias("m"))
     found = near.select("probe", "m.uri", "m.label", F.when(F.col("m.low") == F.col("p"), 0.7).otherwise(0.6).alias("confidence"))
     return exact.unionByName(found)
 

@@ -179,3 +179,12 @@ def test_an_iterating_task_sees_what_later_ones_did():
     assert g.run("b", ctx) == ["b", "a", "a"] and ctx["work"] == 0
     with pytest.raises(ValueError):
         g.run("b", ctx, force=["nobody"])
+
+
+def test_lookup_shuffles_runs_and_equal_labels_answer_once(spark):
+    from graphloom.operators import link
+
+    library = spark.createDataFrame([("x:2", "Green Tin"), ("x:1", "green tin"), ("x:3", "tin"), ("x:4", "GREEN TIN")], "uri string, label string")
+    found = link.lookup(spark.createDataFrame([("een",), ("Tin",), ("none",)], "probe string"), library)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("een", "x:1", "green tin", 0.6), ("Tin", "x:3", "tin", 1.0)}
