@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.terms import is_literal, lexical, literal, local_name, role_uri
 from graphloom.operators import ontology
+from graphloom.sources.mapping import dealt
 
 #: Classes that are too general to hang a new class on.
 TOO_GENERAL = ("lis:Object", "lis:Aspect")
@@ -89,8 +90,10 @@ def unlocked_properties(refined: DataFrame, selected: DataFrame, triples: DataFr
 
 def applicable_templates(entities: DataFrame, templates: DataFrame) -> DataFrame:
     """(s, template): templates (template, subject) whose subject is one of an entity's
-    types (s, type), each once."""
-    return entities.join(templates, F.col("type") == F.col("subject")).select("s", "template").distinct()
+    types (s, type), each once. Types are few and entities many: up to ``ontology.FEW``
+    templates are sent to all tasks, and entities are dealt by their names, not by type."""
+    few = templates.limit(ontology.FEW + 1).count() <= ontology.FEW
+    return dealt(entities.select("s", "type"), "s").join(F.broadcast(templates) if few else templates, F.col("type") == F.col("subject")).select("s", "template").distinct()
 
 
 # --- emitting ----------------------------------------------------------------------

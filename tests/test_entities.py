@@ -102,3 +102,10 @@ def test_a_reply_is_parsed_once_for_all_its_fields(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
     assert [(r.f.subjects, r.f.confidence, r.f.rationale) for r in got.orderBy("reply_id").collect()] == [(["x:a"], 0.5, ""), ([], 0.0, "(parse error)"), ([], 0.0, "(parse error)")]
     assert _replies(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("n")).distinct().count() > 1
+
+
+def test_applicable_templates_deal_entities_by_name(spark):
+    typed = spark.range(300).select(F.concat(F.lit("x:"), "id").alias("s"), F.lit("x:T").alias("type"))
+    known = spark.createDataFrame([("a", "x:T"), ("b", "x:T"), ("a", "x:U")], "template string, subject string")
+    found = E.applicable_templates(typed.unionByName(typed.withColumn("type", F.lit("x:U"))), known)
+    assert found.count() == 600 and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
