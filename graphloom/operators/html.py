@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a task gathers before it hands them on.
+ROWS = 2_000
 # What counts as a tag and as an attribute.
 TAG = r"<\s*(/?)([a-zA-Z][a-zA-Z0-9]*)\s*([^>]*)>"
 ATTRIBUTE = r"\b%s\s*=\s*(['\"])(.*?)\1"
@@ -81,12 +83,19 @@ def inventory(html: str, most: int = 80) -> list[dict]:
 
 
 def inventory_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, id, text, css_class, section, tag), a row per element with an id."""
+    """(key, pos, id, text, css_class, section, tag), a row per element with an id. A task
+    holds the rows of a few pages, not those of a whole batch."""
+    frame = lambda rows: pd.DataFrame(rows, columns=[key, "pos", "id", "text", "css_class", "section", "tag"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, u["id"], u["text"], u["css_class"], u["section"], u["tag"]) for k, h in zip(b[key], b[html]) for i, u in enumerate(inventory(h or ""))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "id", "text", "css_class", "section", "tag"])
+            rows: list[tuple] = []
+            for k, h in zip(b[key], b[html]):
+                rows += [(k, i, u["id"], u["text"], u["css_class"], u["section"], u["tag"]) for i, u in enumerate(inventory(h or ""))]
+                if len(rows) >= ROWS:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, id string, text string, css_class string, section string, tag string")

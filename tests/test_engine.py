@@ -188,3 +188,16 @@ def test_lookup_shuffles_runs_and_equal_labels_answer_once(spark):
     found = link.lookup(spark.createDataFrame([("een",), ("Tin",), ("none",)], "probe string"), library)
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {("een", "x:1", "green tin", 0.6), ("Tin", "x:3", "tin", 1.0)}
+
+
+def test_inventory_hands_on_rows_of_a_few_pages(spark, monkeypatch):
+    from graphloom.operators import html
+
+    real = html.pd.DataFrame
+    taken = {}
+    pages = spark.createDataFrame([(1, "<p id=a>x</p>")], "page_id long, html string")
+    monkeypatch.setattr(type(pages), "mapInPandas", lambda self, run, schema: taken.setdefault("run", run) and self, raising=False)
+    html.inventory_rows(pages)
+    page = "".join(f'<p id="i{n}">x</p>' for n in range(100))
+    sizes = [len(f) for f in taken["run"](iter([real({"page_id": range(100), "html": [page] * 100})]))]
+    assert sum(sizes) == 10_000 and max(sizes) < html.ROWS + 100
