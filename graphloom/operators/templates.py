@@ -164,7 +164,10 @@ def _term(template: Template, bindings: DataFrame, term: str, own: set[str]) ->
 
 def _written(template: Template, rows: DataFrame, patterns: list[bgp.Pattern], own: set[str], keep: tuple[str, ...]) -> DataFrame:
     """Patterns filled in for each row, which knows its anchor; those that lack a value are
-    left out."""
+    left out. Where all have one subject, rows dealt by it stay so."""
+    if len({s for s, _, _ in patterns}) == 1:
+        pairs = F.array(*[F.struct(*[_term(template, rows, t, own).alias(c) for c, t in zip("po", p[1:])]) for p in patterns])
+        return rows.select(*keep, _term(template, rows, patterns[0][0], own).alias("s"), F.inline(pairs)).dropna(subset=["s", "p", "o"])
     terms = F.array(*[F.struct(*[_term(template, rows, t, own).alias(c) for c, t in zip("spo", p)]) for p in patterns])
     return rows.select(*keep, F.inline(terms)).dropna(subset=["s", "p", "o"])
 

@@ -18,6 +18,17 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+#: Rows of a table that one part gets.
+PART_ROWS = 200_000
+
+
+def dealt_by_size(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, made of a table of so many ``rows``, dealt by its keys to parts of about
+    PART_ROWS of them, two a core at least: what a task holds doesn't grow with the table, and
+    what goes on by these keys isn't dealt again."""
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)), *keys)
+
+
 def emit(df: DataFrame, subject: Column, *pairs: tuple[str, Column]) -> DataFrame:
     """A triple for each (predicate, object) of each row; null objects give none."""
     rows = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in pairs])
@@ -36,20 +47,24 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order line as a quantity datum in pieces."""
+    """Every order line as a quantity datum in pieces, once each. A datum's name tells its
+    value, so lines are made one before there are triples: these stay dealt by it."""
     li = table(spark, sf_dir, "lineitem")
+    name = iri("x:line/", li.l_orderkey, F.lit("/"), li.l_linenumber, F.lit("/"), li.l_partkey, F.lit("/"), li.l_quantity.cast("int"))
+    named = dealt_by_size(li.select(name.alias("datum"), li.l_quantity.cast("int").alias("pieces")).filter("datum is not null"), li.count(), "datum")
+    lines = named.groupBy("datum").agg(F.first("pieces").alias("pieces"))
     return emit(
-        li, iri("x:line/", li.l_orderkey, F.lit("/"), li.l_linenumber, F.lit("/"), li.l_partkey, F.lit("/"), li.l_quantity.cast("int")),
-        ("rdf:type", F.lit("lis:ScalarQuantityDatum")), ("lis:datumUOM", F.lit("x:piece")), ("lis:datumValue", literal(li.l_quantity.cast("int"), "xsd:double")),
-    ).distinct()
+        lines, F.col("datum"), ("rdf:type", F.lit("lis:ScalarQuantityDatum")), ("lis:datumUOM", F.lit("x:piece")), ("lis:datumValue", literal(F.col("pieces"), "xsd:double"))
+    )
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and what they hold."""
+    """Orders and what they hold, dealt by order."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return emit(o, iri("x:order/", o.o_orderkey), ("rdf:type", F.lit("x:Order")), ("x:status", literal(o.o_orderstatus))).unionByName(
+    triples = emit(o, iri("x:order/", o.o_orderkey), ("rdf:type", F.lit("x:Order")), ("x:status", literal(o.o_orderstatus))).unionByName(
         emit(li, iri("x:order/", li.l_orderkey), ("x:holds", iri("x:part/", li.l_partkey)))
     )
+    return dealt_by_size(triples, li.count(), "s")
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
