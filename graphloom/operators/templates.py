@@ -200,7 +200,9 @@ def lift(template: Template, bindings: DataFrame, base: Column | str = "urn:tpl-
     said = lambda n: lambda v: F.struct(F.lit(f"urn:tpl/{template.slug}/slot/{n}").alias("p"), v.alias("o"))
     kind = F.array(F.struct(F.lit("rdf:type").alias("p"), F.lit(template.uri).alias("o")))
     pairs = F.concat(kind, *[F.transform(F.coalesce(listed(n), F.array().cast("array<string>")), said(n)) for n in slots])
-    return bindings.select(*keep, anchor(template, bindings, base).alias("s"), F.inline(pairs)).dropna(subset=["s", "p", "o"]).distinct()
+    # named before there are rows for its values, else it would be hashed for each of them
+    named = bindings.withColumn("_base", anchor(template, bindings, base))
+    return named.select(*keep, F.col("_base").alias("s"), F.inline(pairs)).dropna(subset=["s", "p", "o"]).distinct()
 
 
 def fold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
