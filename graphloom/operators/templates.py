@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.terms import binding_hash, is_literal, literal
 from graphloom.operators import bgp
+from graphloom.operators.ontology import materialized
 
 
 @dataclasses.dataclass(frozen=True)
@@ -176,6 +177,11 @@ def expand(template: Template, bindings: DataFrame, base: Column | str = "urn:tp
     """Lowered triples of invocations; patterns of slots without a value are left out.
     What hangs on the many-valued slot is written once for each of its values. Columns
     ``keep``, which are no slots, go with the triples."""
+    return _expanded(template, bindings, base, keep).distinct()
+
+
+def _expanded(template: Template, bindings: DataFrame, base: Column | str = "urn:tpl-instance/", keep: tuple[str, ...] = ()) -> DataFrame:
+    """As ``expand``, a triple as often as rows say it."""
     multi, own = template.multi, repeated_terms(template)
     based = bindings.withColumn("_base", anchor(template, bindings, base))
     written = lambda rows, patterns: _written(template, rows, patterns, own, keep)
@@ -187,7 +193,7 @@ def expand(template: Template, bindings: DataFrame, base: Column | str = "urn:tp
         others = [c for c in based.columns if c != multi]
         rows = based.select(*others, F.posexplode(multi).alias("_at", multi)) if many else based.withColumn("_at", F.lit(0))
         parts.append(written(rows, each))
-    return reduce(lambda a, b: a.unionByName(b), parts).distinct() if parts else based.select(*keep, *[F.lit("").alias(c) for c in "spo"]).limit(0)
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else based.select(*keep, *[F.lit("").alias(c) for c in "spo"]).limit(0)
 
 
 def lift(template: Template, bindings: DataFrame, base: Column | str = "urn:tpl-instance/", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -207,9 +213,10 @@ def lift(template: Template, bindings: DataFrame, base: Column | str = "urn:tpl-
 
 def fold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
     """The graph with what templates recognise put in lifted form. All are recognised
-    before anything is taken out, so that overlapping ones each lift."""
-    found = [(t, recognize(t, triples)) for t in templates]
-    gone = reduce(lambda a, b: a.unionByName(b), [expand(t, b) for t, b in found]).distinct()
+    before anything is taken out, so that overlapping ones each lift; what is found is written,
+    since it is taken out and put in."""
+    found = [(t, materialized(recognize(t, triples))) for t in templates]
+    gone = reduce(lambda a, b: a.unionByName(b), [_expanded(t, b) for t, b in found]).distinct()
     made = reduce(lambda a, b: a.unionByName(b), [lift(t, b) for t, b in found])
     return triples.join(gone, ["s", "p", "o"], "left_anti").unionByName(made).distinct()
 
@@ -222,17 +229,21 @@ def _matched(patterns: tuple[bgp.Pattern, ...], found: DataFrame) -> DataFrame:
 
 def unfold_graph(templates: list[Template], triples: DataFrame) -> DataFrame:
     """The other way: lifted invocations read back, all values of a many-valued slot
-    with them, and written out in full."""
+    with them, and written out in full. The graph is written first where it is read for its
+    invocations, their slots and the rest."""
+    if not all(t.lifted for t in templates):
+        triples = materialized(triples)
     out = triples
     for t in templates:
         if t.lifted:
             found = bgp.match(triples, t.lifted)
-            out = out.join(_matched(t.lifted, found), ["s", "p", "o"], "left_anti").unionByName(expand(t, found.select(*[s.name for s in t.slots])))
+            out = out.join(_matched(t.lifted, found), ["s", "p", "o"], "left_anti").unionByName(_expanded(t, found.select(*[s.name for s in t.slots])))
             continue
-        mine = triples.join(triples.filter((F.col("p") == "rdf:type") & (F.col("o") == t.uri)).select("s"), "s", "left_semi")
+        ids = triples.filter((F.col("p") == "rdf:type") & (F.col("o") == t.uri)).select("s")
+        mine = triples.join(ids, "s", "left_semi")
         value = lambda s: F.when(F.col("p") == f"urn:tpl/{t.slug}/slot/{s.name}", F.col("o"))  # noqa: B023, E731
         cols = [(F.array_sort(F.collect_set(value(s))) if s.multi else F.max(value(s))).alias(s.name) for s in t.slots]
-        out = out.join(mine.select("s").distinct(), "s", "left_anti").unionByName(expand(t, mine.groupBy("s").agg(*cols).drop("s")))
+        out = out.join(ids, "s", "left_anti").unionByName(_expanded(t, mine.groupBy("s").agg(*cols).drop("s")))
     return out.distinct()
 
 
