@@ -782,8 +782,7 @@ def vector_narrowed(spark, d):
     """Candidates of a query's label: all for even labels, few for odd ones."""
     v = table(spark, d, "embeddings")
     q, c = v.filter("vec_id % 10 = 3").select(v.vec_id.alias("query"), v.embedding.alias("vec"), "label"), v.select(v.vec_id.alias("candidate"), v.embedding.alias("vec"), "label")
-    pairs = q.select("query", "label").join(c.select("candidate", "label"), "label").filter("label % 2 = 0 or candidate % 50 = 0").select("query", "candidate")
-    return nearest.narrowed(pairs, q, c)
+    return nearest.narrowed_by(q, c.filter("label % 2 = 0 or candidate % 50 = 0"), ["label"])
 
 
 @query(
