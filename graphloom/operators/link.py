@@ -39,7 +39,8 @@ def mentions(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Texts and labels meet on hashes of a label's first words (or its first character,
     where it has no word); texts stay behind and come back to the rows that met, to be
-    searched for the whole label.
+    searched for the whole label. A label is looked for once, however many have it; who has
+    it is joined to what was found, and rows are made distinct only for those with several.
     """
     low = labels.select("s", F.lower("label").alias("said")).filter("said <> ''").withColumn("w", words(F.col("said")))
     sign = F.xxhash64(F.concat(F.lit("\x00"), F.substring("said", 1, 1)))
@@ -49,16 +50,20 @@ def mentions(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     edge = lambda c, inside, outside: F.when(inner(c), inside).otherwise(outside)
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("said"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     pattern = F.concat(edge(F.col("said"), f"(?<![{WORD}])", f"(?<=[{WORD}])"), quoted, edge(last, f"(?![{WORD}])", f"(?=[{WORD}])"))
-    heads = low.select("s", "said", head.alias("head"), pattern.alias("pattern"))
+    heads = low.select("said", "w").distinct().select("said", head.alias("head"), pattern.alias("pattern"))
     bodies = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.lower(text).alias("_body"))
     starting = lambda n: lambda _, i: _head(F.col("w"), i + 1, n)
     runs = [F.transform(F.col("w"), starting(n)) for n in range(1, HEAD + 1)]
     signs = F.transform(_marks(F.col("_body")), lambda c: F.xxhash64(F.concat(F.lit("\x00"), c)))
     keys = bodies.select("_k", "_body", words(F.col("_body")).alias("w")).select("_k", F.explode(F.array_distinct(F.concat(*runs, signs))).alias("head"))
     # labels are few beside the words of all texts: what no label begins with goes first
-    met = keys.join(heads.select("head").distinct(), "head", "left_semi").join(heads, "head").select("_k", "s", "said", "pattern").distinct()
+    met = keys.join(heads.select("head").distinct(), "head", "left_semi").join(heads, "head").select("_k", "said", "pattern").distinct()
     hits = met.join(bodies, "_k").filter(F.col("_body").contains(F.col("said")) & F.rlike("_body", F.col("pattern")))
-    return hits.select(F.col("_k").alias(key), "s").distinct()
+    hits = hits.select(F.col("_k").alias(key), "said").distinct()
+    owners = low.groupBy("s").agg(F.collect_set("said").alias("labels"))
+    one = hits.join(owners.filter(F.size("labels") == 1).select("s", F.col("labels")[0].alias("said")), "said").select(key, "s")
+    several = hits.join(owners.filter(F.size("labels") > 1).select("s", F.explode("labels").alias("said")), "said").select(key, "s").distinct()
+    return one.unionByName(several)
 
 
 def infer_links(entities: DataFrame, allowed: DataFrame, taken: DataFrame, ok: DataFrame) -> DataFrame:
