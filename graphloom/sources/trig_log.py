@@ -126,8 +126,9 @@ def from_trig(files: DataFrame, short: dict[str, str] | None = None, vocabulary:
     held = rows.join(own, ["path", "graph"]).select("path", "scope", "seq", "parent_seq", "step", "agent", "ts", op, *TERMS)
     # from the files' side, so that a file of which nothing is left is looked at too
     each = files.select("path").join(whole, "path", "left").join(held, "path", "left")
-    fine = F.when(F.col("whole"), True).otherwise(F.raise_error(F.concat("path", F.lit(": no graph of additions"))).cast("boolean"))
-    return each.filter(fine).filter("s is not null").drop("path", "whole")
+    # one condition: a filter on s alone would make the join an inner one, and of an empty one Spark runs neither side
+    fine = F.when(F.col("whole"), F.col("s").isNotNull()).otherwise(F.raise_error(F.concat("path", F.lit(": no graph of additions"))).cast("boolean"))
+    return each.filter(fine).drop("path", "whole")
 
 
 def compact(spark: SparkSession, path: str, prefixes: dict[str, str] | None = None, vocabulary: str = VOCABULARY) -> str:

@@ -81,6 +81,17 @@ def test_a_delta_without_additions_is_an_error(spark):
             from_trig(files(fine=empty, bad=bad)).collect()
 
 
+def test_a_delta_without_additions_is_an_error_where_nothing_else_is_held(spark):
+    empty = "@prefix d: <urn:graphloom:delta#> . <urn:a> a d:GraphAddition ; d:scope <urn:scope/s> ; d:seq 3 . "
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the empty side is known before the other is joined
+    try:
+        with pytest.raises(Exception, match="bad: no graph of additions"):
+            from_trig(spark.createDataFrame([("fine", empty), ("bad", "")], "path string, value string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_terms(spark):
     said = {"x:a": "x:a", "http://x/b.c": "x:b.c", "http://x/b.": "<http://x/b.>", "http://x/": "<http://x/>", "_:b": "_:b", '"a"': '"a"', '"a\tb"@de': '"a\\tb"@de', '"1"^^x:i': '"1"^^x:i', '"1"^^y:i': '"1"^^<y:i>'}
     got = spark.createDataFrame([(k,) for k in said], "t string").select("t", shown_term(F.col("t"), PREFIXES).alias("v")).collect()
